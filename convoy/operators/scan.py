@@ -18,22 +18,18 @@ from convoy.session import cut
 PART = "_part"
 
 
-def part_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def split_in_order(
     df: DataFrame, keys: list[str], order: list[str], parts: int | None = None
 ) -> DataFrame:
     """Range-split on (keys, order) and tag each row with its part, in a fixed copy.
 
     ``order`` must be unique within a key. The checkpoint makes the part numbers the same for
-    every later pass, also when an executor is lost between them.
+    every later pass, also when an executor is lost between them. Unless ``parts`` is given,
+    the session's shuffle partitions are used and small neighbours are merged at run time.
     """
-    n = parts or part_count(df)
-    return cut(
-        df.repartitionByRange(n, *keys, *order).withColumn(PART, F.spark_partition_id())
-    )
+    by = [*keys, *order]
+    split = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return cut(split.withColumn(PART, F.spark_partition_id()))
 
 
 def _within(keys: list[str], order: list[str]) -> WindowSpec:

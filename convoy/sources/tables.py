@@ -51,8 +51,12 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift_reports_of(table(spark, sf_dir, "events"))
+
+
+def drift_reports_of(events: DataFrame) -> DataFrame:
     """Drift incidents derived from error events; every hundredth names no vehicle."""
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select(
+    return events.where("event_type = 'error'").select(
         F.concat(F.lit("drift-"), F.col("event_id").cast("string")).alias("incident_id"),
         F.lit("INCIDENT_SEVERITY_CRITICAL").alias("severity"),
         F.lit("drift-monitor").alias("source_service"),
