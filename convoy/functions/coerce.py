@@ -30,7 +30,17 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.length(strip(text)) < 1)
+    """True for null and for text of white space only."""
+    return text.isNull() | ~text.rlike(r"(?U)\S")
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep the optimizer from copying the frame's column expressions into later filters.
+
+    A filter on a derived column is normally pushed below it as a copy of its expression, so
+    a parsed payload would be parsed again for every rule that reads a field of it.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def number(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,7 @@ def p_value(n: int, m: int, statistic: float) -> float:
     return limiting_p_value(n, m, statistic)
 
 
+@lru_cache(maxsize=16)
 def p_value_table(n: int, m: int) -> np.ndarray:
     """p-value for every statistic k / lcm(n, m) that the two sample sizes can give."""
     steps = math.lcm(n, m)

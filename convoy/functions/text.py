@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convoy.functions.coerce import strip
 
@@ -45,37 +50,24 @@ def without_wrappers(question: Column) -> Column:
     return strip(F.regexp_replace(strip(question), WRAPPER, ""))
 
 
-def hash_embedding(text: Column, dim: int = DIM) -> Column:
-    """Deterministic unit vector from a chain of SHA-256 digests of the text.
+def _chain(text: str, rounds: int) -> bytes:
+    seed = hashlib.sha256(text.encode("utf-8")).digest()
+    digests = []
+    for _ in range(rounds):
+        seed = hashlib.sha256(seed).digest()
+        digests.append(seed)
+    return b"".join(digests)
 
-    Every digest gives eight big-endian 32-bit numbers, scaled to [-1, 1].
-    """
-    rounds = -(-dim // 8)
-    start = F.struct(
-        F.sha2(F.encode(text, "UTF-8"), 256).alias("seed"), F.array().cast("array<string>").alias("hex")
-    )
-
-    def chain(acc: Column, _: Column) -> Column:
-        following = F.sha2(F.unhex(acc["seed"]), 256)
-        return F.struct(following.alias("seed"), F.array_append(acc["hex"], following).alias("hex"))
-
-    digests = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, chain, lambda a: a["hex"])
-    words = F.flatten(
-        F.transform(
-            digests,
-            lambda d: F.transform(
-                F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(d, i * 8 + 1, F.lit(8)), 16, 10)
-            ),
-        )
-    )
-    values = F.transform(
-        F.slice(words, 1, dim), lambda w: w.cast("double") / F.lit(4294967295.0) * 2.0 - 1.0
-    )
-    return unit_vector(values)
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hash_embedding(text: pd.Series) -> pd.Series:
+    """Deterministic unit vector from a chain of SHA-256 digests of the text.
 
-def unit_vector(values: Column) -> Column:
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v))
-    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    scaled = F.transform(F.array(F.struct(values.alias("v"), safe.alias("n"))), lambda s: F.transform(s["v"], lambda x: x / s["n"]))
-    return scaled[0]
+    Every digest gives eight big-endian 32-bit numbers, scaled to [-1, 1]. Only the hashing is
+    per row; scaling and norms are done on the whole Arrow batch.
+    """
+    rounds = -(-DIM // 8)
+    words = np.frombuffer(b"".join(_chain(t, rounds) for t in text), dtype=">u4")
+    values = words.reshape(len(text), -1)[:, :DIM] / 4294967295.0 * 2.0 - 1.0
+    norms = np.linalg.norm(values, axis=1, keepdims=True)
+    return pd.Series(list(values / np.where(norms > 0, norms, 1.0)))

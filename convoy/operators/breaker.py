@@ -9,7 +9,7 @@ row per part, and every part is replayed on its own from its true entry state.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -231,31 +231,37 @@ def timeline(decided: DataFrame, cfg: BreakerSettings = BreakerSettings()) -> Da
         T.StructField("tripped", T.BooleanType()),
         T.StructField("recovered", T.BooleanType()),
     ]
-    schema = T.StructType([*decided.schema.fields, *added])
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
     keep = decided.columns
-
-    def replay(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ORDER])
-        first = rows.slice(0, 1).select(["in_kind", "in_opened_us", "in_successes"]).to_pylist()[0]
-        state = Breaker()
-        if first["in_kind"] is not None:
-            state = Breaker(first["in_kind"], first["in_opened_us"], first["in_successes"])
-        times = rows["event_time"].cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
-        out: list[tuple] = []
-        for at, trip in zip(times, rows["trip"].to_pylist()):
-            result = step(state, at, trip, cfg)
-            opened = result.after.opened_us if result.after.kind == OPEN else None
-            out.append((state.kind, result.after.kind, opened, result.tripped, result.recovered))
-            state = result.after
-        table = rows.select(keep)
-        for field, values in zip(added, zip(*out)):
-            kind = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
-            table = table.append_column(
-                field.name, pa.array(values, kind[field.dataType.simpleString()])
-            )
-        return table
-
-    replayed = entered.groupBy("vehicle_id", scan.PART).applyInArrow(replay, schema)
+    group = ["vehicle_id", scan.PART]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows arrive sorted, so the state is carried from row to row and from batch to
+        # batch; no vehicle's rows are gathered.
+        current, state = None, Breaker()
+        for rows in batches:
+            times = rows["event_time"].cast(pa.timestamp("us", "UTC")).cast(pa.int64())
+            columns = [rows[c].to_pylist() for c in (*group, *_ENTRIES.names[2:], "trip")]
+            out: list[tuple] = []
+            for vehicle, part, kind, opened, successes, trip, at in zip(*columns, times.to_pylist()):
+                if (vehicle, part) != current:
+                    current = (vehicle, part)
+                    state = Breaker() if kind is None else Breaker(kind, opened, successes)
+                done = step(state, at, trip, cfg)
+                since = done.after.opened_us if done.after.kind == OPEN else None
+                out.append((state.kind, done.after.kind, since, done.tripped, done.recovered))
+                state = done.after
+            if out:
+                new = [pa.array(v, k) for v, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows[c] for c in keep), *new], [*keep, *(f.name for f in added)]
+                )
+
+    replayed = (
+        entered.repartition(*group)
+        .sortWithinPartitions(*group, *ORDER)
+        .mapInArrow(replay, T.StructType([*decided.schema.fields, *added]))
+    )
     counted = scan.running(
         replayed, ["vehicle_id"], ORDER, sums={"trip_count": F.col("tripped").cast("long")}
     )

@@ -32,10 +32,8 @@ def _rule(field: str, name: str, bad: Column, message: Column | str) -> Rule:
 
 
 def _nonempty(field: str, value: Column, *, trimmed: bool = True) -> Rule:
-    text = coerce.strip(value) if trimmed else value
-    return _rule(
-        field, "required_nonempty", value.isNull() | (F.length(text) < 1), f"{field} is required"
-    )
+    empty = coerce.is_blank(value) if trimmed else value.isNull() | (value == "")
+    return _rule(field, "required_nonempty", empty, f"{field} is required")
 
 
 def _vehicle(value: Column) -> Rule:
@@ -47,14 +45,15 @@ def _vehicle(value: Column) -> Rule:
     )
 
 
-def _timestamp(value: Column) -> list[Rule]:
+def _timestamp(value: Column, parsed: Column | None = None) -> list[Rule]:
     missing = value.isNull() | (value == "")
+    instant = coerce.iso_instant(value) if parsed is None else parsed
     return [
         _rule("timestamp", "required", missing, "timestamp is required"),
         _rule(
             "timestamp",
             "iso8601",
-            ~missing & coerce.iso_instant(value).isNull(),
+            ~missing & instant.isNull(),
             F.concat(F.lit("timestamp not ISO-8601: "), coerce.quoted(value)),
         ),
     ]
@@ -119,11 +118,15 @@ def _numbers(df: DataFrame, reject_nan: bool) -> list[Rule]:
 
 
 def stream_rules(df: DataFrame) -> list[Rule]:
-    """The QA gate's rules, in the order violations are reported."""
+    """The QA gate's rules, in the order violations are reported.
+
+    Normalised records already carry the parsed instant; it is not parsed again.
+    """
+    parsed = F.col("event_time") if "event_time" in df.columns else None
     return [
         _vehicle(F.col("vehicle_id")),
         _nonempty("trip_id", F.col("trip_id")),
-        *_timestamp(F.col("timestamp")),
+        *_timestamp(F.col("timestamp"), parsed),
         *_numbers(df, reject_nan=False),
         _symbol("sensor_status", "SensorStatus", F.col("sensor_status"), settings.SENSOR_STATUSES),
         _symbol("device_type", "DeviceType", F.col("device_type"), settings.DEVICE_TYPES),

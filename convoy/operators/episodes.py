@@ -172,10 +172,10 @@ def with_status(table: DataFrame, status: str = "") -> DataFrame:
 
 
 def for_vehicle(table: DataFrame, vehicle_id: str) -> tuple[DataFrame, DataFrame]:
-    """The vehicle's incidents (any case, at most 50 listed) and their full count."""
+    """The vehicle's incidents (any case, the first 50 listed) and their full count."""
     wanted = vehicle_id.strip().upper()
     mine = table.where(F.upper("vehicle_id") == wanted) if wanted else table
-    return mine.limit(MAX_LISTED), mine.agg(F.count(F.lit(1)).alias("count"))
+    return mine.orderBy("first_trip").limit(MAX_LISTED), mine.agg(F.count(F.lit(1)).alias("count"))
 
 
 def summaries(table: DataFrame) -> DataFrame:

@@ -19,15 +19,24 @@ PART = "_part"
 
 
 def split_in_order(
-    df: DataFrame, keys: list[str], order: list[str], parts: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    parts: int | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Range-split on (keys, order) and tag each row with its part, in a fixed copy.
 
     ``order`` must be unique within a key. The checkpoint makes the part numbers the same for
     every later pass, also when an executor is lost between them. Unless ``parts`` is given,
     the session's shuffle partitions are used and small neighbours are merged at run time.
+
+    Finding the ranges reads the input once before the split does. ``settle`` shuffles the
+    rows evenly first, so that what is read twice is that shuffle and not a parsing scan.
     """
     by = [*keys, *order]
+    if settle:
+        df = df.repartition(*order)
     split = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
     return cut(split.withColumn(PART, F.spark_partition_id()))
 
@@ -100,7 +109,7 @@ def keyed_sequence(
     parts: int | None = None,
 ) -> DataFrame:
     """Dense 0-based row number per key (fleet-wide when ``keys`` is empty)."""
-    tagged = split_in_order(df, keys, order, parts)
+    tagged = split_in_order(df, keys, order, parts, settle=True)
     numbered = running(tagged, keys, order, sums={name: F.lit(1).cast("long")})
     return numbered.withColumn(name, F.col(name) - 1).drop(PART)
 

@@ -575,7 +575,7 @@ def _chunk_ctes(prefix: str, source: str, text: str) -> None:
 
 
 _chunk_ctes("chunk", "documents", "text")
-_chunk_ctes("edited", "documents where lang = 'en'", "upper(text)")
+_chunk_ctes("edited", "documents where lang = 'en'", "'Second edition. ' || text")
 
 _cte(
     "chain",
@@ -717,7 +717,7 @@ _o["incident_action_outcomes"] = _sql(
 _o["incident_list"] = _sql(
     "slow_ep",
     """select incident_id, vehicle_id, status, retrip_count, count(*) over () as full_count from slow_ep
- where status = 'open' and upper(vehicle_id) = 'VH-0000001'""",
+ where status = 'resolved' and upper(vehicle_id) = 'VH-0000000' order by first_trip limit 50""",
 )
 _SYMBOLS = """'INCIDENT_SEVERITY_' || upper(severity) as severity, 'INCIDENT_STATUS_' || upper(status) as status, summary as reason"""
 _o["incident_summary"] = _sql("slow_ep", f"select incident_id, vehicle_id, {_SYMBOLS} from slow_ep")

@@ -338,8 +338,8 @@ def incident_action_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def incident_list(spark: SparkSession, sf: str) -> DataFrame:
-    table = episodes.with_status(episodes.episodes(timeline(spark, sf, SLOW_BREAKER)), "open")
-    listed, count = episodes.for_vehicle(table, "vh-0000001")
+    table = episodes.with_status(episodes.episodes(timeline(spark, sf, SLOW_BREAKER)), "resolved")
+    listed, count = episodes.for_vehicle(table, "vh-0000000")
     return listed.select("incident_id", "vehicle_id", "status", "retrip_count", count.scalar().alias("full_count"))
 
 
@@ -748,7 +748,7 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.table(spark, sf, "documents")
     base = search.chunk_documents(docs, "doc_id", "text").select("chunk_id", "text", F.lit(1).alias("version"))
-    edited = docs.where("lang = 'en'").withColumn("text", F.upper("text"))
+    edited = docs.where("lang = 'en'").withColumn("text", F.concat(F.lit("Second edition. "), "text"))
     changes = search.chunk_documents(edited, "doc_id", "text").select("chunk_id", "text", F.lit(2).alias("version"))
     out = search.upsert(base, changes, "chunk_id", "version")
     return out.select("chunk_id", "point_id", "text", F.col("version").cast("long").alias("version"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convoy import settings
+from convoy.functions.coerce import computed_once
 
 # Fields are read as text first, so that a wrong type is a rule violation and not a lost row.
 RAW_FIELDS = T.StructType([T.StructField(f, T.StringType()) for f in settings.TELEMETRY_FIELDS])
@@ -47,9 +48,10 @@ def decode(messages: DataFrame, value: str = "value", keep: list[str] | None = N
     """Parse payloads; ``codec`` is json, or raw for anything that is not a JSON object."""
     good = F.try_parse_json(value).isNotNull() & is_object(F.col(value))
     parsed = F.when(good, F.from_json(value, RAW_FIELDS))
-    return messages.select(
+    fields = messages.select(
         *(keep or []),
         F.when(good, "json").otherwise("raw").alias("codec"),
         parsed.alias("_m"),
         F.col(value).alias("raw_value"),
     ).select(*(keep or []), "codec", "raw_value", "_m.*")
+    return computed_once(fields)

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoy.functions.coerce import computed_once
 from convoy.session import prepare
 
 # One telemetry record per event, kept dirty on purpose: blank and malformed ids, bad
@@ -43,7 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def telemetry_of(events: DataFrame) -> DataFrame:
-    return events.selectExpr(*[f"{expr} as {name}" for name, expr in _TELEMETRY.items()])
+    derived = events.selectExpr(*[f"{expr} as {name}" for name, expr in _TELEMETRY.items()])
+    return computed_once(derived)
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
