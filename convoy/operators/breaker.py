@@ -187,7 +187,11 @@ def correlated_events(
 
 
 def _entry_states(decided: DataFrame, cfg: BreakerSettings) -> DataFrame:
-    """Entry state of every part but the first, for vehicles that span several parts."""
+    """Entry states of the parts of vehicles that span several parts.
+
+    A part boundary splits at most one vehicle, so there are fewer such vehicles than parts,
+    whatever the table's size, and both frames below are safe to broadcast.
+    """
     spread = (
         decided.groupBy("vehicle_id")
         .agg(F.min(scan.PART).alias("_first"), F.max(scan.PART).alias("_last"))
@@ -196,7 +200,7 @@ def _entry_states(decided: DataFrame, cfg: BreakerSettings) -> DataFrame:
     )
     slim = decided.select(
         "vehicle_id", scan.PART, *ORDER, F.unix_micros("event_time").alias("at_us"), "trip"
-    ).join(spread, "vehicle_id", "left_semi")
+    ).join(F.broadcast(spread), "vehicle_id", "left_semi")
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDER)
@@ -223,7 +227,8 @@ def timeline(decided: DataFrame, cfg: BreakerSettings = BreakerSettings()) -> Da
 
     Adds ``prior_state``, ``state``, ``opened_at``, ``tripped``, ``recovered``, ``trip_count``.
     """
-    entered = decided.join(_entry_states(decided, cfg), ["vehicle_id", scan.PART], "left")
+    states = F.broadcast(_entry_states(decided, cfg))
+    entered = decided.join(states, ["vehicle_id", scan.PART], "left")
     added = [
         T.StructField("prior_state", T.StringType()),
         T.StructField("state", T.StringType()),

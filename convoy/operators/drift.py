@@ -54,12 +54,16 @@ def two_sample(
         .agg(F.count_if(is_current).alias("_a"), F.count_if(~F.col(is_current)).alias("_b"))
     )
     tagged = scan.split_in_order(counts, keys, [value])
-    sizes = tagged.groupBy(*keys).agg(F.sum("_a").alias("n_current"), F.sum("_b").alias("n_reference"))
-    upto = scan.running(tagged, keys, [value], sums={"_ca": F.col("_a"), "_cb": F.col("_b")})
+    upto = scan.running(
+        tagged,
+        keys,
+        [value],
+        sums={"_ca": F.col("_a"), "_cb": F.col("_b")},
+        totals={"n_current": "_ca", "n_reference": "_cb"},
+    )
     gap = F.abs(F.col("_ca") / F.col("n_current") - F.col("_cb") / F.col("n_reference"))
     tested = (
-        upto.join(sizes, keys)
-        .where("n_current > 0 and n_reference > 0")
+        upto.where("n_current > 0 and n_reference > 0")
         .groupBy(*keys, "n_current", "n_reference")
         .agg(F.max(gap).alias("ks_statistic"))
         .withColumn("p_value", ks_p_value("n_current", "n_reference", "ks_statistic"))

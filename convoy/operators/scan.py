@@ -49,9 +49,12 @@ def _within(keys: list[str], order: list[str]) -> WindowSpec:
     )
 
 
+def _whole(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
 def _before(keys: list[str]) -> WindowSpec:
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return by.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    return _whole(keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running(
@@ -62,18 +65,20 @@ def running(
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running sums, running maxima and last-non-null values to a part-tagged frame.
 
     ``df`` carries the ``_part`` column, increasing with ``order`` within each key. Keys must
-    not be null.
+    not be null. ``totals`` adds, under a new name, what a running sum reaches at the key's
+    end; it comes from the summary, so no join on the bare key is needed.
     """
-    sums, maxima, lasts = sums or {}, maxima or {}, lasts or {}
+    sums, maxima, lasts, totals = sums or {}, maxima or {}, lasts or {}, totals or {}
     within, before = _within(keys, order), _before(keys)
     values = {f"_v_{name}": col for name, col in {**sums, **maxima, **lasts}.items()}
     base = df.withColumns(values)
 
-    totals = (
+    summary = (
         [F.sum(f"_v_{c}").alias(f"_t_{c}") for c in sums]
         + [F.max(f"_v_{c}").alias(f"_t_{c}") for c in maxima]
         + [
@@ -87,8 +92,9 @@ def running(
         [F.sum(f"_t_{c}").over(before).alias(f"_c_{c}") for c in sums]
         + [F.max(f"_t_{c}").over(before).alias(f"_c_{c}") for c in maxima]
         + [F.last(f"_t_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in lasts]
+        + [F.sum(f"_t_{c}").over(_whole(keys)).alias(name) for name, c in totals.items()]
     )
-    carry = base.groupBy(*keys, PART).agg(*totals).select(*keys, PART, *carried)
+    carry = base.groupBy(*keys, PART).agg(*summary).select(*keys, PART, *carried)
 
     local = {f"_l_{c}": F.sum(f"_v_{c}").over(within) for c in sums}
     local |= {f"_l_{c}": F.max(f"_v_{c}").over(within) for c in maxima}
@@ -98,7 +104,7 @@ def running(
     out = {c: F.coalesce(f"_c_{c}", F.lit(0)) + F.coalesce(f"_l_{c}", F.lit(0)) for c in sums}
     out |= {c: F.greatest(f"_c_{c}", f"_l_{c}") for c in maxima}
     out |= {c: F.coalesce(f"_l_{c}", f"_c_{c}") for c in lasts}
-    return joined.select(*df.columns, *[col.alias(c) for c, col in out.items()])
+    return joined.select(*df.columns, *[col.alias(c) for c, col in out.items()], *totals)
 
 
 def keyed_sequence(
@@ -152,10 +158,9 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     )
     tagged = split_in_order(counts, keys, [value])
-    ranked = running(tagged, keys, [value], sums={"_upto": F.col("_n")})
-    sizes = tagged.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    ranked = running(tagged, keys, [value], sums={"_upto": F.col("_n")}, totals={"_size": "_upto"})
     spots = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in probs.items()])
-    at = ranked.join(sizes, keys).withColumn("_spot", F.explode(spots)).withColumn(
+    at = ranked.withColumn("_spot", F.explode(spots)).withColumn(
         "_rank", F.col("_spot.p") * (F.col("_size") - 1)
     )
     first, after = F.col("_upto") - F.col("_n"), F.col("_upto")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,35 @@ def upsert(existing: DataFrame, changes: DataFrame, key: str, version: str) -> D
     return newest.select(key, point, "_r.*")
 
 
-def _blocks(df: DataFrame, rows_per_block: int) -> int:
-    return max(1, math.ceil(df.count() / rows_per_block))
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of a list column as unit vectors."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    m = flat.reshape(len(vectors), -1)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms > 0, norms, 1.0)
+
+
+def _best(
+    q_ids: pa.Array, q_m: np.ndarray, items: pa.Table, take: int
+) -> pa.Table:
+    """The ``take`` nearest of the items for each query; the lower id wins among equals."""
+    items = items.sort_by("id")
+    i_ids, i_m = items["id"].combine_chunks(), _matrix(items["vector"].combine_chunks())
+    take, found = min(take, len(items)), []
+    for at in range(0, len(q_m), 256):
+        scores = np.round(q_m[at : at + 256] @ i_m.T, 12)
+        rows = np.argsort(-scores, axis=1, kind="stable")[:, :take]
+        owners = np.repeat(np.arange(at, at + len(scores)), take)
+        found.append(
+            pa.table(
+                {
+                    "query_id": q_ids.take(pa.array(owners)),
+                    "item_id": i_ids.take(pa.array(rows.ravel())),
+                    "score": np.take_along_axis(scores, rows, 1).ravel(),
+                }
+            )
+        )
+    return pa.concat_tables(found)
 
 
 def top_k(
@@ -94,76 +122,92 @@ def top_k(
     k: int,
     *,
     exclude_self: bool = False,
-    grid: tuple[int, int] | None = None,
+    query_block: int = QUERY_BLOCK,
+    item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """Exact cosine top-k of every query over all items.
 
-    Both sides have (id, vector) and are hashed into blocks; each pair of blocks is one task
-    that multiplies two matrices and returns k rows per query. ``k`` is clamped to 1..10. With
-    one query block the items move once. The best of the blocks are merged at the end.
+    Both sides have (id, vector); ``k`` is clamped to 1..10. Queries are counted first. Up to
+    one block of them goes to every task and the items are searched where they are. More are
+    hashed into blocks, as are the items, and each pair of blocks is one task. Either way a
+    task returns k rows per query, and the best of all tasks are merged at the end.
     """
     k = max(MIN_K, min(k, MAX_K))
-    n_q, n_i = grid or (_blocks(queries, QUERY_BLOCK), _blocks(items, ITEM_BLOCK))
-    n_i = max(n_i, min(queries.sparkSession.sparkContext.defaultParallelism, 8) if grid is None else n_i)
-    id_type = queries.schema["id"].dataType
-    item_type = items.schema["id"].dataType
-
-    def side(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
-        block = F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int")
-        return df.select("id", F.col("vector").cast("array<double>").alias("vector"), block.alias(own)).withColumn(other, every)
-
-    q = side(queries, "q_block", n_q, "i_block", n_i).groupBy("q_block", "i_block")
-    i = side(items, "i_block", n_i, "q_block", n_q).groupBy("q_block", "i_block")
+    take = k + 1 if exclude_self else k
+    q = queries.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    i = items.select("id", F.col("vector").cast("array<double>").alias("vector"))
     schema = T.StructType(
         [
-            T.StructField("query_id", id_type),
-            T.StructField("item_id", item_type),
+            T.StructField("query_id", q.schema["id"].dataType),
+            T.StructField("item_id", i.schema["id"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
-
-    def matrix(rows: pa.Table) -> np.ndarray:
-        flat = rows["vector"].combine_chunks().flatten().to_numpy()
-        m = flat.reshape(len(rows), -1)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norms > 0, norms, 1.0)
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[pa.Table] = []
-        if len(left) and len(right):
-            right = right.sort_by("id")
-            q_m, i_m = matrix(left), matrix(right)
-            q_ids, i_ids = left["id"], right["id"]
-            take = min(len(right), k + 1 if exclude_self else k)
-            for at in range(0, len(left), 256):
-                scores = np.round(q_m[at : at + 256] @ i_m.T, 12)
-                # A stable sort keeps the lower id first among equal scores.
-                rows = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-                found.append(
-                    pa.table(
-                        {
-                            "query_id": q_ids.slice(at, len(scores)).take(
-                                np.repeat(np.arange(len(scores)), take)
-                            ),
-                            "item_id": i_ids.take(rows.ravel()),
-                            "score": np.take_along_axis(scores, rows, 1).ravel(),
-                        }
-                    )
-                )
-        if not found:
-            return pa.table(
-                {"query_id": left["id"].slice(0, 0), "item_id": right["id"].slice(0, 0), "score": pa.array([], pa.float64())}
-            )
-        return pa.concat_tables(found)
-
-    near = q.cogroup(i).applyInArrow(best, schema)
+    count = q.limit(query_block + 1).count()
+    near = _search_in_place(q, i, take, schema) if count <= query_block else _search_grid(
+        q, i, take, schema, query_block, item_block
+    )
     if exclude_self:
         near = near.where("query_id <> item_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _search_in_place(q: DataFrame, i: DataFrame, take: int, schema: T.StructType) -> DataFrame:
+    """At most one block of queries, known to be small, is sent to every task."""
+    asked = q.toArrow()
+    if not len(asked):
+        return i.limit(0).select(
+            F.lit(None).cast(schema["query_id"].dataType).alias("query_id"),
+            F.col("id").alias("item_id"),
+            F.lit(0.0).alias("score"),
+        )
+    sent = i.sparkSession.sparkContext.broadcast(
+        (asked["id"].to_pylist(), _matrix(asked["vector"].combine_chunks()))
+    )
+    id_type = asked["id"].type
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, m = sent.value
+        for batch in batches:
+            if len(batch):
+                found = _best(pa.array(ids, id_type), m, pa.Table.from_batches([batch]), take)
+                yield from found.combine_chunks().to_batches()
+
+    return i.mapInArrow(search, schema)
+
+
+def _search_grid(
+    q: DataFrame, i: DataFrame, take: int, schema: T.StructType, query_block: int, item_block: int
+) -> DataFrame:
+    """Blocks of queries against blocks of items, one pair of blocks per task."""
+    n_q = math.ceil(q.count() / query_block)
+    n_i = max(1, math.ceil(i.count() / item_block))
+
+    def side(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
+        return df.withColumn(own, block).withColumn(other, every)
+
+    pairs = ["q_block", "i_block"]
+    left = side(q, "q_block", n_q, "i_block", n_i).groupBy(*pairs)
+    right = side(i, "i_block", n_i, "q_block", n_q).groupBy(*pairs)
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asked) or not len(held):
+            return pa.table(
+                {
+                    "query_id": asked["id"].slice(0, 0),
+                    "item_id": held["id"].slice(0, 0),
+                    "score": pa.array([], pa.float64()),
+                }
+            )
+        vectors = _matrix(asked["vector"].combine_chunks())
+        return _best(asked["id"].combine_chunks(), vectors, held.select(["id", "vector"]), take)
+
+    return left.cogroup(right).applyInArrow(search, schema)
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     """Search embedded chunks for each question; hits carry their text and score."""
     asked = questions.select("id", hash_embedding(F.col("text")).alias("vector"))

@@ -813,6 +813,16 @@ _o["column_drift"] = _sql(
     "ks_half",
     "select feature, round(ks_statistic, 6) as drift_score, drift_detected from ks_half where feature <> 'embedding'",
 )
+_cte(
+    "sim_long",
+    "val",
+    _UNPIVOT.format(keep="device_type = 'DEVICE_TYPE_SIMULATOR' as current", src="val"),
+)
+_ks("ks_sim", "sim_long")
+_o["column_drift_share"] = _sql(
+    "ks_sim",
+    "select count(*) filter (drift_detected) / count(*) as share_of_drifted_columns from ks_sim where feature <> 'embedding'",
+)
 _MEANS = ", ".join(
     f"avg({_z[f]}) filter (event_time >= timestamp '2024-01-16') as a_{f}, avg({_z[f]}) filter (event_time < timestamp '2024-01-16') as b_{f}"
     for f in FEATURES
@@ -872,10 +882,21 @@ _o["throughput_2s"] = _sql(
     "acc",
     f"select {_at('t')} as window_start, n as events, n / 2 as per_second from (select {_TWO} as t, count(*) as n from acc group by 1 order by 1 desc limit 40)",
 )
+_RATES = [
+    ("escalations_5m", "5 minutes", 300, "slow", "'all'", "tripped"),
+    ("escalations_15m", "15 minutes", 900, "slow", "'all'", "tripped"),
+    ("ingest_2m", "2 minutes", 120, "qa", "'all'", "true"),
+    ("qa_records_1m", "1 minute", 60, "qa", "route", "true"),
+    ("incident_events_5m", "5 minutes", 300, "inc", "'all'", "true"),
+]
 _o["operational_rates"] = _sql(
-    "qa",
-    f"""select {_at('t')} as window_start, route, n as events, round(n / 21600, 9) as per_second
- from (select {_SIX.format(c='event_time')} as t, route, count(*) as n from qa group by 1, 2)""",
+    "slow qa inc",
+    " union all ".join(
+        f"""select '{name}' as rate, {_at('t')} as window_start, result, n as events, round(n / {seconds}, 9) as per_second
+ from (select time_bucket(interval '{width}', event_time, timestamp '1970-01-01') as t, {key} as result, count(*) as n
+   from {source} where {cond} group by 1, 2)"""
+        for name, width, seconds, source, key, cond in _RATES
+    ),
 )
 _o["open_breakers"] = _sql(
     "openb",

@@ -506,6 +506,15 @@ def column_drift(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("feature", F.round("drift_score", 6).alias("drift_score"), "drift_detected")
 
 
+@query
+def column_drift_share(spark: SparkSession, sf: str) -> DataFrame:
+    rows = validated(spark, sf)
+    # Simulators against all other devices.
+    simulated = F.col("device_type") == "DEVICE_TYPE_SIMULATOR"
+    scores = drift.column_drift(rows.where(~simulated), rows.where(simulated))
+    return drift.drifted_share(scores)
+
+
 @query
 def embedding_centroids(spark: SparkSession, sf: str) -> DataFrame:
     rows = validated(spark, sf)
@@ -623,8 +632,24 @@ def throughput_2s(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def operational_rates(spark: SparkSession, sf: str) -> DataFrame:
-    out = slo.event_rate(gated(spark, sf), SLOT, by=["route"])
-    return _shown(out.drop("window_end"), "window_start").withColumn("per_second", F.round("per_second", 9))
+    gate, incidents = gated(spark, sf), tables.drift_reports(spark, sf)
+    trips = session.cut(timeline(spark, sf, SLOW_BREAKER).where("tripped").select("event_time"))
+    all_rows = F.lit("all").alias("result")
+    rates = [
+        ("escalations_5m", slo.event_rate(trips, "5 minutes").withColumn("result", all_rows)),
+        ("escalations_15m", slo.event_rate(trips, "15 minutes").withColumn("result", all_rows)),
+        ("ingest_2m", slo.event_rate(gate, "2 minutes").withColumn("result", all_rows)),
+        ("qa_records_1m", slo.event_rate(gate, "1 minute", by=["route"]).withColumnRenamed("route", "result")),
+        ("incident_events_5m", slo.event_rate(incidents, "5 minutes").withColumn("result", all_rows)),
+    ]
+    out = None
+    for name, rate in rates:
+        named = rate.select(
+            F.lit(name).alias("rate"), text_of("window_start").alias("window_start"), "result", "events",
+            F.round("per_second", 9).alias("per_second"),
+        )
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 @query
