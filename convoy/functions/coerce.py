@@ -34,13 +34,16 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
-def computed_once(df: DataFrame) -> DataFrame:
+def computed_once(df: DataFrame, plain: list[str] | None = None) -> DataFrame:
     """Keep the optimizer from copying the frame's column expressions into later filters.
 
     A filter on a derived column is normally pushed below it as a copy of its expression, so
-    a parsed payload would be parsed again for every rule that reads a field of it.
+    a parsed payload would be parsed again for every rule that reads a field of it. Columns
+    named in ``plain`` stay outside, so that filters on them still reach the scan.
     """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    plain = plain or []
+    derived = [c for c in df.columns if c not in plain]
+    return df.select(*plain, F.inline(F.array(F.struct(*derived))))
 
 
 def number(text: Column) -> Column:

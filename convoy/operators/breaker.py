@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from convoy.functions import policy as rules
 from convoy.operators import scan
+from convoy.session import cut
 from convoy.settings import BreakerSettings, PolicySettings
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
@@ -99,6 +100,8 @@ def summarise(times: list[int], trips: list[bool], cfg: BreakerSettings) -> list
     last = bisect.bisect_left(times, times[0] + cooldown) if n else 0
     for i in range(min(last + 1, n)):
         probe = half[0][i if cfg.probe_on_advance else i + 1]
+        if exits[-1].kind == OPEN and exits[-1][3:] == probe:
+            exits.pop()  # Later probes that end alike are one exit.
         exits.append(Exit(OPEN, times[i], 0, *probe))
     return exits
 
@@ -226,7 +229,10 @@ def timeline(decided: DataFrame, cfg: BreakerSettings = BreakerSettings()) -> Da
     """Replay the breaker over part-tagged decisions.
 
     Adds ``prior_state``, ``state``, ``opened_at``, ``tripped``, ``recovered``, ``trip_count``.
+    The decisions and the replayed rows are read by several steps, so each is computed once
+    and kept in the shared folder.
     """
+    decided = cut(decided)
     states = F.broadcast(_entry_states(decided, cfg))
     entered = decided.join(states, ["vehicle_id", scan.PART], "left")
     added = [
@@ -262,7 +268,7 @@ def timeline(decided: DataFrame, cfg: BreakerSettings = BreakerSettings()) -> Da
                     [*(rows[c] for c in keep), *new], [*keep, *(f.name for f in added)]
                 )
 
-    replayed = (
+    replayed = cut(
         entered.repartition(*group)
         .sortWithinPartitions(*group, *ORDER)
         .mapInArrow(replay, T.StructType([*decided.schema.fields, *added]))

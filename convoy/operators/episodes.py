@@ -115,7 +115,11 @@ def episodes(timeline: DataFrame, actions: DataFrame | None = None) -> DataFrame
 
 
 def _acknowledged(table: DataFrame, actions: DataFrame) -> DataFrame:
-    """Apply acknowledgements; a retrip after one puts the episode back to open."""
+    """Apply acknowledgements; a retrip after one puts the episode back to open.
+
+    The summary is one text that holds every standing note, so the notes of an episode do
+    come together; they are typed by operators.
+    """
     acks = actions.where("action = 'acknowledge'").select("incident_id", "action_at", "note")
     spans = table.select("incident_id", "last_trip", "resolved_at")
     standing = (

@@ -128,7 +128,7 @@ def with_halo(
     Copies carry ``_own = false``. Windows of up to ``reach`` preceding rows can then be taken
     inside a block; returns the frame and the grouping columns.
     """
-    home = F.floor(F.col(seq) / F.lit(block)).cast("long")
+    home = F.expr(f"{seq} div {block}")
     near_end = (F.col(seq) % F.lit(block)) >= F.lit(max(block - reach, 0))
     out = (
         df.withColumn("_home", home)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoy.operators import scan
+from convoy.session import cut
 from convoy.settings import DriftSettings, PolicySettings, QaSettings
 
 # Closed windows per block when one vehicle's windows are scanned in pieces.
@@ -42,7 +43,7 @@ def count_windows(
     size = qa.window_size
     rate = quarantine_rate(F.col("total"), F.col("quarantined"))
     return (
-        numbered.groupBy("vehicle_id", F.floor(F.col("seq") / size).cast("long").alias("window_no"))
+        numbered.groupBy("vehicle_id", F.expr(f"seq div {size}").alias("window_no"))
         .agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if("bad").alias("quarantined"),
@@ -90,8 +91,9 @@ def rolling_quality(
         .withColumnRenamed("_block", scan.PART)
     )
     good = F.when(~F.col("exceeded"), F.col("window_no"))
+    # The scan reads its input twice; keep it rather than close the windows twice.
     last_good = scan.running(
-        rolled, ["vehicle_id"], ["window_no"], maxima={"_last_good": good}
+        cut(rolled), ["vehicle_id"], ["window_no"], maxima={"_last_good": good}
     ).drop(scan.PART)
     streak = F.col("window_no") - F.coalesce("_last_good", F.lit(-1))
     return last_good.withColumn("streak", streak).drop("_last_good")

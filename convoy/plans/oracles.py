@@ -200,8 +200,8 @@ _cte(
 _cte(
     "cor0",
     "roll inc",
-    """select vehicle_id, window_end as event_time, 0 as kind, lpad(cast(window_no as varchar), 12, '0') as ref,
-   rolling_rate, batch_count, streak, 0 as drift_count from roll
+    """select vehicle_id, window_end as event_time, 0::bigint as kind, lpad(cast(window_no as varchar), 12, '0') as ref,
+   rolling_rate, batch_count, streak, 0::bigint as drift_count from roll
   union all
   select vehicle_id, event_time, 1, incident_id, null, null, null, cast(observed_value as bigint) from inc""",
 )
@@ -482,7 +482,7 @@ _SCORE_LIST = "[" + ", ".join(f"{f}_score" for f in SCORED) + "]"
 _cte(
     "sig",
     "dw",
-    f"""select window_end as generated_at, 50 as window_size, speed_mph_score,
+    f"""select window_end as generated_at, 50::bigint as window_size, speed_mph_score,
    len(list_filter({_SCORE_LIST}, lambda x: x > 0)) as drifted_feature_count, list_max({_SCORE_LIST}) as max_drift_score
   from dw where (window_no + 1) % 1500 = 0""",
 )
@@ -600,7 +600,7 @@ _o["normalize_structural"] = _sql(
  case issue when 'empty_vehicle_id' then 'vehicle_id' else 'timestamp' end as field,
  case issue when 'empty_vehicle_id' then 'required_nonempty' else 'iso8601' end as rule,
  case issue when 'empty_vehicle_id' then 'vehicle_id is empty' else 'timestamp is missing or unparseable' end as reason,
- 1 as n_violations from norm where issue is not null""",
+ 1::bigint as n_violations from norm where issue is not null""",
 )
 _o["normalized_records"] = _sql(
     "acc",
@@ -619,7 +619,7 @@ _o["enum_aliases"] = _sql(
 _o["qa_route_counts"] = _sql(
     "norm qa win",
     """select (select count(*) from norm) as consumed, (select count(issue) from norm) as structural_failures,
- 0 as decode_failures, (select count(*) from qa where route = 'validated') as validated,
+ 0::bigint as decode_failures, (select count(*) from qa where route = 'validated') as validated,
  (select count(*) from qa where route = 'quarantine') as quarantined, (select count(*) from win) as metrics_emitted""",
 )
 _o["qa_violations"] = _sql(
@@ -664,7 +664,7 @@ _o["contract_coverage"] = _sql(
         f" count(*) - count(*) filter ({_PRESENT.get(f, 'true')}) as missing from tel"
         for f in settings.TELEMETRY_FIELDS
     )
-    + " union all select 'extra_key', false, count(*) filter (event_id % 10 = 0), null from tel",
+    + " union all select 'extra_key', false, count(*) filter (event_id % 10 = 0), 0 from tel",
 )
 
 _o["qa_window_rate"] = _sql(
@@ -691,7 +691,7 @@ _o["stream_breaker"] = _sql(
 )
 _o["breaker_snapshot"] = _sql(
     "slow",
-    f"""select vehicle_id, state, case state when 'closed' then 0 when 'half_open' then 1 else 2 end as state_code, trip_count,
+    f"""select vehicle_id, state, (case state when 'closed' then 0 when 'half_open' then 1 else 2 end)::bigint as state_code, trip_count,
  {_at('event_time')} as last_event from (
   select vehicle_id, trip_count, event_time,
     case when state = 'open' and timestamp '2024-01-31' - opened_at >= interval 2 day then 'half_open' else state end as state
@@ -758,7 +758,7 @@ _cte(
 )
 _o["feature_asof"] = _sql(
     "val daily",
-    f"""select v.event_id, case when live then {_at('s.computed_at')} end as computed_at, case when live then row_count end as row_count,
+    f"""select v.event_id, case when live then {_at('s.computed_at')} end as computed_at, case when live then row_count else 0 end as row_count,
  case when live then round(speed_mph_mean, 6) end as speed_mph_mean, case when live then round(speed_mph_p95, 6) end as speed_mph_p95
  from (select v.event_id, s.*, s.computed_at is not null and v.event_time <= s.computed_at + interval 7 day as live
    from val v asof left join daily s on v.device_type = s.device_type and v.event_time >= s.computed_at) s join val v using (event_id)""",
@@ -770,8 +770,8 @@ _o["quarantine_audit"] = _sql(
    row_number() over (order by count(*) desc, {d}) as rank from qrec where {d} is not null group by {d}) where rank <= 10"""
         for d in ("reason", "field", "vehicle_id")
     )
-    + """ union all select 'source_topic', source_topic, count(*), null from qrec group by source_topic
-  union all select 'total', 'all', count(*), null from qrec""",
+    + """ union all select 'source_topic', source_topic, count(*), 0 from qrec group by source_topic
+  union all select 'total', 'all', count(*), 0 from qrec""",
 )
 _o["reason_histogram"] = _sql(
     "qrec", "select reason, count(*) as n from qrec group by 1 order by 2 desc, 1 limit 20"
@@ -806,7 +806,7 @@ _o["incident_retention"] = _sql(
     "select incident_id, row_number() over (order by first_trip desc, incident_id desc) > 500 as expired from slow_ep",
 )
 
-_KS = "feature, n_current, n_reference, round(ks_statistic, 6) as ks_statistic, drift_detected"
+_KS = "feature, n_current::bigint as n_current, n_reference::bigint as n_reference, round(ks_statistic, 6) as ks_statistic, drift_detected"
 _o["ks_features"] = _sql("ks_dev", f"select {_KS} from ks_dev")
 _o["ks_order_lines"] = _sql("ks_line", f"select {_KS} from ks_line")
 _o["column_drift"] = _sql(
@@ -900,7 +900,7 @@ _o["operational_rates"] = _sql(
 )
 _o["open_breakers"] = _sql(
     "openb",
-    f"select {_at('window_start')} as window_start, breakers_open, trips, round(breaker_trip_rate, 9) as breaker_trip_rate from openb",
+    f"select {_at('window_start')} as window_start, breakers_open::bigint as breakers_open, trips, round(breaker_trip_rate, 9) as breaker_trip_rate from openb",
 )
 _o["latency_quantiles"] = f"""select {_at('t')} as window_start, round(p50, 6) as p50, round(p95, 6) as p95 from (
  select {_SIX.format(c='ts')} as t, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.95) as p95 from events group by 1)"""
@@ -952,7 +952,7 @@ _o["sensor_fusion"] = _sql(
 _o["calibration_fusion"] = _sql(
     "frame",
     f"""select scenario_id, frame_idx, {_at('timestamp')} as timestamp, 57.6::double as fx, 43.2::double as fy, 32.0::double as cx,
- 24.0::double as cy, round(degrees(atan2(qz, qw) * 2.0), 6) as camera_yaw, 16 as beams, 1.8::double as lidar_tz from frame""",
+ 24.0::double as cy, round(degrees(atan2(qz, qw) * 2.0), 6) as camera_yaw, 16::bigint as beams, 1.8::double as lidar_tz from frame""",
 )
 _o["fusion_gaps"] = _sql(
     "frame", f"select scenario_id, {_at('timestamp')} as timestamp from frame where speed_mph < 5.0"
@@ -962,11 +962,11 @@ _o["doc_chunks"] = _sql("chunk", "select chunk_id, text, title from chunk")
 _o["chunk_upsert"] = _sql(
     "chunk edited",
     """select chunk_id, sha256(chunk_id) as point_id, coalesce(e.text, c.text) as text,
- case when e.chunk_id is null then 1 else 2 end as version from chunk c full join edited e using (chunk_id)""",
+ (case when e.chunk_id is null then 1 else 2 end)::bigint as version from chunk c full join edited e using (chunk_id)""",
 )
 _o["hash_embed"] = _sql(
     "word",
-    """select chunk_id, 384 as dim, """
+    """select chunk_id, 384::bigint as dim, """
     + ", ".join(f"round(max(v) filter (dim = {i}) / n, 6) as v{i}" for i in (0, 1, 7, 8, 200, 383))
     + """, round(sum(v) / n, 6) as total from word join (select chunk_id, sqrt(sum(v * v)) as n from word group by 1) using (chunk_id)
  group by chunk_id, n""",
@@ -1026,7 +1026,7 @@ _o["batch_publish"] = _sql(
 )
 _o["snapshot_read"] = _sql(
     "val",
-    """select device_type, count(*) as records, max(case when event_time < timestamp '2024-01-11' then 1 else 2 end) as newest_commit
+    """select device_type, count(*) as records, max(case when event_time < timestamp '2024-01-11' then 1 else 2 end)::bigint as newest_commit
  from val where event_time < timestamp '2024-01-21' group by 1""",
 )
 _o["gold_artifacts"] = _sql(

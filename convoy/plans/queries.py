@@ -235,7 +235,7 @@ def contract_coverage(spark: SparkSession, sf: str) -> DataFrame:
             )
         ).alias("raw_payload")
     )
-    return contracts.field_coverage(payload)
+    return contracts.field_coverage(payload).fillna(0, ["missing"])
 
 
 # --- count windows, policy, breaker, episodes -------------------------------------------
@@ -407,7 +407,7 @@ def feature_asof(spark: SparkSession, sf: str) -> DataFrame:
     stats = gold.daily_feature_statistics(rows)
     events = rows.select("event_id", "event_time", "device_type")
     return gold.features_as_of(events, stats).select(
-        "event_id", text_of("computed_at").alias("computed_at"), "row_count",
+        "event_id", text_of("computed_at").alias("computed_at"), F.coalesce("row_count", F.lit(0)).alias("row_count"),
         F.round("speed_mph_mean", 6).alias("speed_mph_mean"), F.round("speed_mph_p95", 6).alias("speed_mph_p95"),
     )
 
@@ -415,7 +415,7 @@ def feature_asof(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def quarantine_audit(spark: SparkSession, sf: str) -> DataFrame:
     out = gold.quarantine_audit(quarantined(spark, sf))
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    return out.withColumn("rank", F.coalesce(F.col("rank"), F.lit(0)).cast("long"))
 
 
 @query
@@ -697,9 +697,7 @@ def slo_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _physics(spark: SparkSession, sf: str) -> DataFrame:
-    events = tables.table(spark, sf, "events")
-    users = events.select("user_id", *[F.expr(e).alias(n) for n, e in tables._TELEMETRY.items()])
-    return frames.physics(frames.frames_of(users))
+    return frames.physics(frames.frames_of(tables.frame_records(spark, sf)))
 
 
 @query
@@ -977,8 +975,12 @@ def stream_qa(spark: SparkSession, sf: str) -> DataFrame:
 def stream_qa_window(spark: SparkSession, sf: str) -> DataFrame:
     stateful.use_state_store(spark)
     root = session.new_dir(spark, "stream-window")
-    rows = contracts.gate(norm.accepted(norm.normalize(_raw_stream(spark, sf))))
-    closed = stateful.count_windows(windows.outcomes(rows))
+    rows = norm.accepted(norm.normalize(_raw_stream(spark, sf)))
+    jobs.drain(jobs.gate_stream(rows, F.col("event_ts"), root, os.path.join(root, "gate-checkpoint")))
+    # The gate checks the rules once; the windows read its narrow outcomes.
+    topic = os.path.join(root, "outcomes")
+    outcomes = spark.readStream.schema(spark.read.parquet(topic).schema).parquet(topic)
+    closed = stateful.count_windows(outcomes.drop(jobs.BATCH))
     jobs.drain(jobs.table_stream(closed, os.path.join(root, "metrics"), os.path.join(root, "checkpoint")))
     return _shown(spark.read.parquet(os.path.join(root, "metrics")), "window_end")
 

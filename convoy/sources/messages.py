@@ -54,4 +54,4 @@ def decode(messages: DataFrame, value: str = "value", keep: list[str] | None = N
         parsed.alias("_m"),
         F.col(value).alias("raw_value"),
     ).select(*(keep or []), "codec", "raw_value", "_m.*")
-    return computed_once(fields)
+    return computed_once(fields, keep)

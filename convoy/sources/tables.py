@@ -45,13 +45,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def telemetry_of(events: DataFrame) -> DataFrame:
     derived = events.selectExpr(*[f"{expr} as {name}" for name, expr in _TELEMETRY.items()])
-    return computed_once(derived)
+    return computed_once(derived, ["event_id", "event_ts"])
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_of(table(spark, sf_dir, "events"))
 
 
+def frame_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the telemetry records that sensor frames are built from."""
+    names = ("event_id", "event_ts", "gps_lat", "gps_lon", "speed_mph", "brake_pressure")
+    events = table(spark, sf_dir, "events")
+    return events.selectExpr("user_id", *[f"{_TELEMETRY[n]} as {n}" for n in names])
+
+
 def drift_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift_reports_of(table(spark, sf_dir, "events"))
 

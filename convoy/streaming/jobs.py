@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from convoy.operators import contracts
+from convoy.operators import contracts, windows
 from convoy.operators import normalize as norm
 from convoy.sources import lake
 
@@ -62,7 +62,11 @@ def normalize_stream(
 def gate_stream(
     normalized: DataFrame, rejected_at: Column, out: str, checkpoint: str
 ) -> DataStreamWriter:
-    """Normalised records to validated, quarantine, and the batch's counters."""
+    """Normalised records to validated, quarantine, outcomes and counters.
+
+    The rules are evaluated once per record. ``outcomes`` holds the narrow columns that the
+    count windows read, so they need not check the rules again.
+    """
 
     def body(batch: DataFrame, batch_id: int) -> None:
         validated = batch.where("route = 'validated'").drop("route")
@@ -70,8 +74,10 @@ def gate_stream(
         bad = batch.where("route = 'quarantine'").drop("route")
         records = contracts.quarantine_records(bad, rejected_at)
         _write(records, os.path.join(out, "quarantine"), batch_id)
+        if "event_id" in batch.columns:
+            _write(windows.outcomes(batch), os.path.join(out, "outcomes"), batch_id)
         counters = batch.groupBy("route").agg(F.count(F.lit(1)).alias("records"))
-        _write(counters, os.path.join(out, "metrics"), batch_id)
+        _write(counters, os.path.join(out, "counters"), batch_id)
 
     return _each_batch(contracts.gate(normalized), checkpoint, body)
 

@@ -126,7 +126,7 @@ def test_message_stream_to_topics(spark):
     jobs.drain(jobs.gate_stream(again, F.current_timestamp(), f"{root}/g", f"{root}/c2"))
     assert spark.read.parquet(f"{root}/g/validated").count() == 1
     assert [r.rule for r in spark.read.parquet(f"{root}/g/quarantine").collect()] == ["in_range[-90.0,90.0]"]
-    counts = {r.route: r.records for r in spark.read.parquet(f"{root}/g/metrics").collect()}
+    counts = {r.route: r.records for r in spark.read.parquet(f"{root}/g/counters").collect()}
     assert counts == {"validated": 1, "quarantine": 1}
 
 
