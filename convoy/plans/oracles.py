@@ -577,19 +577,28 @@ def _chunk_ctes(prefix: str, source: str, text: str) -> None:
 _chunk_ctes("chunk", "documents", "text")
 _chunk_ctes("edited", "documents where lang = 'en'", "'Second edition. ' || text")
 
-_cte(
-    "chain",
-    "chunk",
-    """select chunk_id, 0 as i, sha256(text) as seed from chunk
-   union all select chunk_id, i + 1, sha256(unhex(seed)) from chain where i < 48""",
-)
-_cte(
-    "word",
-    "chain",
-    """select chunk_id, (i - 1) * 8 + j as dim,
+def _embedding_ctes(prefix: str, source: str, key: str) -> None:
+    """The digest chain by recursion, its 32-bit words, and the vector of each text."""
+    _cte(
+        f"{prefix}_chain",
+        source if source in _CTE else "",
+        f"""select {key} as id, 0 as i, sha256(text) as seed from {source}
+   union all select id, i + 1, sha256(unhex(seed)) from {prefix}_chain where i < 48""",
+    )
+    _cte(
+        f"{prefix}_word",
+        f"{prefix}_chain",
+        f"""select id, (i - 1) * 8 + j as dim,
     (('0x' || substr(seed, cast(j * 8 + 1 as bigint), 8))::ubigint)::double / 4294967295.0 * 2.0 - 1.0 as v
-   from chain cross join range(8) r(j) where i > 0""",
-)
+   from {prefix}_chain cross join range(8) r(j) where i > 0""",
+    )
+    _cte(
+        f"{prefix}_vec", f"{prefix}_word", f"select id, list(v order by dim) as v from {prefix}_word group by id"
+    )
+
+
+_embedding_ctes("c", "chunk", "chunk_id")
+_embedding_ctes("b", "benchmark", "item_id")
 
 ORACLES: dict[str, str] = {}
 _o = ORACLES
@@ -965,11 +974,18 @@ _o["chunk_upsert"] = _sql(
  (case when e.chunk_id is null then 1 else 2 end)::bigint as version from chunk c full join edited e using (chunk_id)""",
 )
 _o["hash_embed"] = _sql(
-    "word",
-    """select chunk_id, 384::bigint as dim, """
+    "c_word",
+    """select id as chunk_id, 384::bigint as dim, """
     + ", ".join(f"round(max(v) filter (dim = {i}) / n, 6) as v{i}" for i in (0, 1, 7, 8, 200, 383))
-    + """, round(sum(v) / n, 6) as total from word join (select chunk_id, sqrt(sum(v * v)) as n from word group by 1) using (chunk_id)
- group by chunk_id, n""",
+    + """, round(sum(v) / n, 6) as total from c_word join (select id, sqrt(sum(v * v)) as n from c_word group by 1) using (id)
+ group by id, n""",
+)
+_o["retrieval"] = _sql(
+    "c_vec b_vec chunk",
+    """select query_id, item_id, round(score, 6) as score, rank, title from (
+  select query_id, item_id, score, row_number() over (partition by query_id order by round(score, 12) desc, item_id) as rank
+  from (select b.id as query_id, c.id as item_id, list_cosine_similarity(b.v, c.v) as score from b_vec b cross join c_vec c))
+ join chunk on chunk_id = item_id where rank <= 4""",
 )
 _o["vector_topk"] = """select query_id, item_id, round(score, 6) as score, rank from (
  select q.vec_id as query_id, i.vec_id as item_id, list_cosine_similarity(q.embedding::double[], i.embedding::double[]) as score,
@@ -986,7 +1002,7 @@ _o["vehicle_mentions"] = _sql(
     "tel",
     """select event_id, case when vehicle_id like 'VH-%' then 'VH-' || lpad(cast(user_id as varchar), cast(greatest(4, length(cast(user_id as varchar))) as int), '0') end as vehicle_id from tel""",
 )
-_o["guarded_query"] = _sql(
+_o["guarded_sql"] = _sql(
     "val qrec",
     """select device_type, count(*) as records, round(avg(speed_mph), 6) as mean_speed, (select count(*) from qrec) as rejected
  from val group by 1""",

@@ -22,12 +22,12 @@ from convoy.operators import (
     episodes,
     frames,
     gold,
-    guarded_sql,
     retrain,
     search,
     slo,
     windows,
 )
+from convoy.operators import guarded_sql as sql_guard
 from convoy.operators import normalize as norm
 from convoy.sources import lake, tables
 from convoy.streaming import jobs, stateful
@@ -822,9 +822,9 @@ def vehicle_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def guarded_query(spark: SparkSession, sf: str) -> DataFrame:
-    guarded_sql.register_views(lake.telemetry_rows(validated(spark, sf)), quarantined(spark, sf))
-    return guarded_sql.query(
+def guarded_sql(spark: SparkSession, sf: str) -> DataFrame:
+    sql_guard.register_views(lake.telemetry_rows(validated(spark, sf)), quarantined(spark, sf))
+    return sql_guard.query(
         spark,
         "SELECT t.device_type, count(*) AS records, round(avg(t.speed_mph), 6) AS mean_speed,"
         " (SELECT count(*) FROM fleet.quarantine) AS rejected"
