@@ -93,21 +93,18 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return m / np.where(norms > 0, norms, 1.0)
 
 
-def _best(
-    q_ids: pa.Array, q_m: np.ndarray, items: pa.Table, take: int
-) -> pa.Table:
-    """The ``take`` nearest of the items for each query; the lower id wins among equals."""
+def _best(q_m: np.ndarray, items: pa.Table, take: int) -> pa.Table:
+    """The ``take`` nearest of the items for each query row; lower ids win among equals."""
     items = items.sort_by("id")
     i_ids, i_m = items["id"].combine_chunks(), _matrix(items["vector"].combine_chunks())
     take, found = min(take, len(items)), []
     for at in range(0, len(q_m), 256):
         scores = np.round(q_m[at : at + 256] @ i_m.T, 12)
         rows = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-        owners = np.repeat(np.arange(at, at + len(scores)), take)
         found.append(
             pa.table(
                 {
-                    "query_id": q_ids.take(pa.array(owners)),
+                    "q": np.repeat(np.arange(at, at + len(scores)), take),
                     "item_id": i_ids.take(pa.array(rows.ravel())),
                     "score": np.take_along_axis(scores, rows, 1).ravel(),
                 }
@@ -116,6 +113,26 @@ def _best(
     return pa.concat_tables(found)
 
 
+def _merge(found: list[pa.Table], take: int) -> pa.Table:
+    """The best ``take`` rows per query of several results."""
+    every = pa.concat_tables(found).sort_by(
+        [("q", "ascending"), ("score", "descending"), ("item_id", "ascending")]
+    )
+    q = every["q"].to_numpy()
+    rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+    return every.filter(pa.array(rank < take))
+
+
+def _named(found: pa.Table, q_ids: pa.Array) -> pa.Table:
+    return pa.table(
+        {
+            "query_id": q_ids.take(found["q"].combine_chunks()),
+            "item_id": found["item_id"],
+            "score": found["score"],
+        }
+    )
+
+
 def top_k(
     queries: DataFrame,
     items: DataFrame,
@@ -168,11 +185,15 @@ def _search_in_place(q: DataFrame, i: DataFrame, take: int, schema: T.StructType
     id_type = asked["id"].type
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One partition keeps only its best rows per query, however many batches it reads.
         ids, m = sent.value
+        best: list[pa.Table] = []
         for batch in batches:
             if len(batch):
-                found = _best(pa.array(ids, id_type), m, pa.Table.from_batches([batch]), take)
-                yield from found.combine_chunks().to_batches()
+                best.append(_best(m, pa.Table.from_batches([batch]), take))
+                best = [_merge(best, take)]
+        if best:
+            yield from _named(best[0], pa.array(ids, id_type)).combine_chunks().to_batches()
 
     return i.mapInArrow(search, schema)
 
@@ -203,7 +224,8 @@ def _search_grid(
                 }
             )
         vectors = _matrix(asked["vector"].combine_chunks())
-        return _best(asked["id"].combine_chunks(), vectors, held.select(["id", "vector"]), take)
+        found = _best(vectors, held.select(["id", "vector"]), take)
+        return _named(found, asked["id"].combine_chunks())
 
     return left.cogroup(right).applyInArrow(search, schema)
 

@@ -32,7 +32,9 @@ def telemetry_rows(validated: DataFrame) -> DataFrame:
         f: F.col(f).cast("string") if t == "string" else coerce.numeric_field(validated, f)
         for f, t in _TELEMETRY_TYPES.items()
     }
-    typed["timestamp"] = event_instant(validated)
+    # Normalised records already carry the parsed instant.
+    parsed = "event_time" in validated.columns
+    typed["timestamp"] = F.col("event_time") if parsed else event_instant(validated)
     missing = F.lit(False)
     for column in typed.values():
         missing = missing | column.isNull()

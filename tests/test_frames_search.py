@@ -76,6 +76,7 @@ def test_top_k_in_place_and_on_a_grid(spark, blocks, same):
     rng = np.random.default_rng(8)
     items = rng.normal(0, 1, (60, 6))
     items[10] = items[20]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
     queries = items if same else rng.normal(0, 1, (25, 6))
     make = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
     got = search.top_k(
@@ -87,6 +88,7 @@ def test_top_k_in_place_and_on_a_grid(spark, blocks, same):
         order = sorted((-s, i) for i, s in enumerate(scores[q]) if not (same and i == q))[:3]
         mine = sorted((r["rank"], r.item_id) for r in got if r.query_id == q)
         assert [i for _, i in mine] == [i for _, i in order]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_chunks_split_on_headings_then_length(spark):
