@@ -265,9 +265,15 @@ def incidents(scored: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
     )
 
 
-def signals(scored: DataFrame, chosen: Column, window_size: int = 50) -> DataFrame:
-    """Drift signals of the chosen windows: scores, how many are above zero, and the largest."""
+def signals(
+    scored: DataFrame, chosen: Column, window_size: int = 50, count_flagged: bool = False
+) -> DataFrame:
+    """Drift signals of the chosen windows: scores, how many are above zero, and the largest.
+
+    ``count_flagged`` counts the features that drifted instead of the scores above zero.
+    """
     scores = F.map_values("feature_scores")
+    above_zero = F.size(F.filter(scores, lambda v: v > 0.0))
     return scored.where(chosen).select(
         F.col("window_end").alias("generated_at"),
         F.concat(F.lit("data_drift_"), F.date_format("window_end", "yyyyMMdd'T'HHmmss'Z'")).alias(
@@ -275,10 +281,10 @@ def signals(scored: DataFrame, chosen: Column, window_size: int = 50) -> DataFra
         ),
         F.lit(window_size).alias("window_size"),
         score_map().alias("feature_scores"),
+        F.col("drifted_count").cast("int").alias("_flagged"),
     ).withColumns(
         {
-            # Counts scores above zero, not flagged features.
-            "drifted_feature_count": F.size(F.filter(scores, lambda v: v > 0.0)),
+            "drifted_feature_count": F.col("_flagged") if count_flagged else above_zero,
             "max_drift_score": F.array_max(scores),
         }
-    )
+    ).drop("_flagged")

@@ -1058,3 +1058,10 @@ _o["stream_qa"] = _sql(
     "qa",
     "select event_id, case when route = 'validated' then 'validated' else 'quarantine' end as topic, violations[1].message as reason from qa",
 )
+# Only windows that the watermark, ten minutes behind the newest record, has passed.
+_o["stream_pass_ratio"] = _sql(
+    "qa",
+    f"""select {_at('t')} as window_start, count(*) filter (route = 'validated') as validated, count(*) filter (route = 'quarantine') as quarantined
+ from (select {_SIX.format(c='event_time')} as t, route from qa)
+ where t + interval 6 hour <= (select max(event_time) - interval 10 minute from qa) group by t""",
+)

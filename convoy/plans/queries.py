@@ -1012,3 +1012,12 @@ def stream_lake(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "vehicle_id", text_of("timestamp").alias("timestamp"), "device_type",
         F.col("event_day").cast("string").alias("event_day"),
     )
+
+
+@query
+def stream_pass_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    root = session.new_dir(spark, "stream-ratio")
+    rows = contracts.gate(norm.accepted(norm.normalize(_raw_stream(spark, sf))))
+    ratio = jobs.windowed_pass_ratio(rows, SLOT)
+    jobs.drain(jobs.table_stream(ratio, os.path.join(root, "ratio"), os.path.join(root, "checkpoint")))
+    return _shown(spark.read.parquet(os.path.join(root, "ratio")), "window_start")

@@ -151,6 +151,18 @@ def test_retrain_reasons(spark):
     assert retrain.runs(retrain.decide(df)).count() == 3
 
 
+def test_signals_count_scores_or_flags(spark):
+    x = telemetry(np.random.default_rng(6), 110)
+    scored = drift.windows(windows.drift_sequence(frame(spark, x), SMALL), SMALL)
+    plain = drift.signals(scored, F.lit(True), 10).orderBy("generated_at").collect()
+    flagged = drift.signals(scored, F.lit(True), 10, count_flagged=True).orderBy("generated_at").collect()
+    counts = [r.drifted_count for r in scored.orderBy("window_no").collect()]
+    assert [r.drifted_feature_count for r in flagged] == counts
+    for r in plain:
+        assert r.drifted_feature_count == sum(v > 0 for v in r.feature_scores.values())
+        assert r.max_drift_score == max(r.feature_scores.values())
+
+
 def test_every_nth_and_retention(spark):
     df = spark.range(1, 4501).select(F.col("id").alias("n"))
     hits = [r.n for r in df.where(windows.every_nth(F.col("n"))).orderBy("n").collect()]
