@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, mixing
+from convoy.llm import bpe, exact_dedup, mixing, substring_dedup, suffix_dedup
 from convoy.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,30 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def _removed() -> Column:
+    return F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("n_tokens").alias("n_bytes"),
+        _removed().alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("n_tokens").alias("n_words"),
+        _removed().alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("removed").cast("long").alias("n_spans"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -45,7 +69,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mixing": op10_mixing,
 }
