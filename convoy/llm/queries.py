@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, mixing, substring_dedup, suffix_dedup
+from convoy.llm import bpe, exact_dedup, mixing, neighbours, substring_dedup, suffix_dedup
 from convoy.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
@@ -73,5 +77,6 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_neighbours": op9_neighbours,
     "op10_mixing": op10_mixing,
 }
