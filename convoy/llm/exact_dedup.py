@@ -24,8 +24,13 @@ from pyspark.sql import functions as F
 from convoy.llm.common import scratch, stored, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# State on disk; files grow as they are written instead of being laid out in advance.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +56,9 @@ def first_seen(spark: SparkSession, rows: DataFrame, files_per_trigger: int = 64
     """
     source, changes = scratch(spark, "digests"), scratch(spark, "digest-state")
     rows.write.parquet(source)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         state = (
             spark.readStream.schema(rows.schema)
@@ -78,10 +84,11 @@ def first_seen(spark: SparkSession, rows: DataFrame, files_per_trigger: int = 64
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     if query.lastProgress is None:
         return spark.createDataFrame([], schema)
     changed = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(changes)
