@@ -129,7 +129,7 @@ def exact_dedup(
     )
     # Full texts of hits only, each compared with the text of the row that the state names.
     hits = state.where("size > 1").select("digest", F.col("first.at.doc_id").alias("first_id"))
-    members = texts.join(hits, "digest")
+    members = stored(texts.join(hits, "digest"), "dedup-members")
     named = (
         members.where(F.col("doc_id").eqNullSafe(F.col("first_id")))
         .dropDuplicates(["digest"])
