@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from convoy.llm.common import slices
+from convoy.llm.common import in_arrow, slices
 
-MEMO = 1 << 18
+MEMO = 1 << 17
 CHUNK = 1 << 16
 # Odd multipliers of a 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
@@ -211,7 +211,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_column: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value)
         for whole in batches:
-            for batch in slices(whole, text_column):
+            for batch in slices(whole, text_column, 1 << 20):
                 texts = batch.column(text_column).cast(pa.binary())
                 ids = [encoder.encode((t.as_py() or b"").decode("utf-8", "replace")) for t in texts]
                 offsets = np.zeros(len(ids) + 1, np.int32)
@@ -219,20 +219,20 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_column: str = "text", ids
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield _replaced(batch, ids_column, values)
 
-    return df.mapInArrow(run, _with(df, ids_column, T.ArrayType(T.IntegerType())))
+    return in_arrow(df, run, _with(df, ids_column, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
     """``df`` with the bytes that its token ids stand for."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value.words
+        words = shared.value
         for batch in batches:
             rows = (None if i is None else b"".join(map(words.__getitem__, i)) for i in _lists(batch, ids_column))
             yield _replaced(batch, bytes_column, pa.array(rows, pa.binary()))
 
-    return df.mapInArrow(run, _with(df, bytes_column, T.BinaryType()))
+    return in_arrow(df, run, _with(df, bytes_column, T.BinaryType()))
 
 
 def _lists(batch: pa.RecordBatch, column: str) -> Iterator[list[int] | None]:

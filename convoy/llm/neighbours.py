@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.llm.common import stored
+from convoy.llm.common import in_arrow, stored
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -107,7 +107,7 @@ def _hashed(rows: DataFrame, width: int, dim: int, top: float, tables: int, prob
                     out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.ravel())))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "vector", "cells", "probes"])
 
-    return rows.mapInArrow(run, "id long, vector binary, cells array<int>, probes array<int>")
+    return in_arrow(rows, run, "id long, vector binary, cells array<int>, probes array<int>")
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.llm.common import buffers, slices, stored, text_or_empty
+from convoy.llm.common import buffers, in_arrow, slices, stored, text_or_empty
 
 SLICE = 2 << 20
 CHUNK = 1 << 20
@@ -290,7 +290,7 @@ def repeated_anchors(texts: DataFrame, tokenise: Tokenise, size: int, gram: int)
                 docs = batch.column("doc").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(docs[row])], names=["code", "doc"])
 
-    anchors = stored(texts.select("doc", "text").mapInArrow(run, "code long, doc long"), "anchors")
+    anchors = stored(in_arrow(texts.select("doc", "text"), run, "code long, doc long"), "anchors")
     several = anchors.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
     return anchors.join(several, "code", "left_semi").groupBy("doc").agg(F.collect_set("code").alias("codes"))
 
@@ -309,7 +309,7 @@ def cut_segments(texts: DataFrame, tokenise: Tokenise, size: int, gram: int) ->
                 yield _cut(batch, tokenise, size, gram)
 
     joined = texts.join(codes, "doc").select("doc", "alt", "text", "codes")
-    return joined.mapInArrow(run, SEGMENT)
+    return in_arrow(joined, run, SEGMENT)
 
 
 def _pieces(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -435,7 +435,7 @@ def repeated_runs(texts: DataFrame, tokenise: Tokenise, compare: Compare, size:
             yield compare_bucket(pa.Table.from_batches(held), tokenise, compare, size)
 
     dealt = cut.where("piece is not null").repartitionByRange(parts, "code", "doc", "alt", "first")
-    compared = stored(dealt.mapInArrow(run, RUN), "runs")
+    compared = stored(in_arrow(dealt, run, RUN), "runs")
     settled = cut.where("piece is null").select("doc", "alt", "first", "last")
     # Across boundaries: the same window in several buckets.
     open_ = compared.where("window is not null").withColumn("at", F.struct("doc", "alt", "first"))
@@ -478,7 +478,7 @@ def without_repeats(docs: DataFrame, tokenise: Tokenise, compare: Compare, size:
 
     id_type = dict(docs.dtypes)[id_column]
     joined = texts.join(found, ["doc", "alt"], "left").select(F.col("doc_id").cast("long"), "text", "runs")
-    return joined.mapInArrow(run, schema).withColumn("doc_id", F.col("doc_id").cast(id_type))
+    return in_arrow(joined, run, schema).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def _remove(batch: pa.RecordBatch, tokenise: Tokenise, size: int) -> pa.RecordBatch:
