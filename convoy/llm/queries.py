@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, mixing, neighbours, substring_dedup, suffix_dedup
+from convoy.llm import bpe, exact_dedup, jaccard_join, mixing, neighbours, substring_dedup, suffix_dedup
 from convoy.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,6 +59,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "rep_id", "n_links")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_neighbours": op9_neighbours,
     "op10_mixing": op10_mixing,
