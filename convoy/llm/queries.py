@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, jaccard_join, mixing, neighbours, substring_dedup, suffix_dedup
-from convoy.llm.common import table
+from convoy.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    license_scan,
+    mixing,
+    neighbours,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+)
+from convoy.llm.common import stored, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -59,6 +70,36 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages).select("page_id", "url", "text")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base, own = F.col("places.label"), F.col("matches.label")
+
+    def joined(labels: Column) -> Column:
+        return F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.at").alias("first_word"),
+        F.array_max("places.at").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, own)).alias("labels"),
+        F.coalesce(F.array_max("matches.score"), F.lit(0.0)).alias("score"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = stored(quality.with_statistics(table(spark, sf_dir, "documents")), "text-statistics")
+    return quality.scored(values, quality.learn(values, table(spark, sf_dir, "labels")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "rep_id", "n_links")
@@ -80,7 +121,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
+    "op3_html_text": op3_html_text,
+    "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_neighbours": op9_neighbours,
