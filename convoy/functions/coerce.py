@@ -78,6 +78,27 @@ def iso_text(instant: Column) -> Column:
     return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
+def given_text(field: str) -> str:
+    """The column that keeps a coerced field's original text."""
+    return f"{field}_text"
+
+
+def record_key(df: DataFrame) -> Column:
+    """What names a record and orders it among others of the same instant.
+
+    The event id where there is one, else the place in the source, else a hash of the payload or of
+    the contract's fields.
+    """
+    if "event_id" in df.columns:
+        return F.col("event_id")
+    if {"partition", "offset"} <= set(df.columns):
+        return F.format_string("%010d-%020d", F.col("partition").cast("long"), F.col("offset").cast("long"))
+    if "raw_value" in df.columns:
+        return F.md5(F.col("raw_value").cast("binary"))
+    fields = [F.col(c) for c in settings.TELEMETRY_FIELDS if c in df.columns]
+    return F.md5(F.to_json(F.struct(*fields)).cast("binary"))
+
+
 def quoted(value: Column) -> Column:
     """The value as it is shown inside a violation message."""
     return F.coalesce(F.concat(F.lit("'"), value.cast("string"), F.lit("'")), F.lit("None"))

@@ -7,11 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Sample size above which the limiting distribution is used instead of the exact one.
-EXACT_LIMIT = 10_000
+# How significance is found; the caller names one, and no size changes it.
+EXACT, LIMITING = "exact", "limiting"
 
 
 def exact_p_value(n: int, m: int, statistic: float) -> float:
@@ -54,32 +55,45 @@ def limiting_p_value(n: int, m: int, statistic: float) -> float:
     return float(min(1.0, max(0.0, series)))
 
 
-def p_value(n: int, m: int, statistic: float) -> float:
-    """Exact while the orderings can be counted quickly, limiting beyond."""
+def p_value(n: int, m: int, statistic: float, method: str = EXACT) -> float:
+    """P(D >= statistic) by ``method``: exact takes n * m steps, limiting is a short series."""
+    if method not in (EXACT, LIMITING):
+        raise ValueError(f"unknown method: {method}")
     if n == 0 or m == 0:
         return float("nan")
-    if max(n, m) <= EXACT_LIMIT and n * m <= 1_000_000:
-        return exact_p_value(n, m, statistic)
-    return limiting_p_value(n, m, statistic)
+    return exact_p_value(n, m, statistic) if method == EXACT else limiting_p_value(n, m, statistic)
 
 
-@lru_cache(maxsize=16)
-def p_value_table(n: int, m: int) -> np.ndarray:
-    """p-value for every statistic k / lcm(n, m) that the two sample sizes can give."""
-    steps = math.lcm(n, m)
-    return np.array([p_value(n, m, k / steps) for k in range(steps + 1)])
+@lru_cache(maxsize=4096)
+def step_p_value(n: int, m: int, step: int) -> float:
+    """Exact p-value of the statistic ``step / lcm(n, m)``, the form that all of them have."""
+    return exact_p_value(n, m, step / math.lcm(n, m))
+
+
+def exact_p_values(n: int, m: int, statistics: np.ndarray) -> np.ndarray:
+    """Exact p-values of many statistics; each different one is worked out once."""
+    steps = np.rint(statistics * math.lcm(n, m)).astype(int)
+    found, at = np.unique(steps, return_inverse=True)
+    return np.array([step_p_value(n, m, int(k)) for k in found])[at].reshape(steps.shape)
 
 
-def critical_statistic(n: int, m: int, alpha: float) -> float:
-    """Smallest reachable statistic whose p-value is below ``alpha``."""
+@lru_cache(maxsize=64)
+def critical_statistic(n: int, m: int, alpha: float, method: str = EXACT) -> float:
+    """Smallest reachable statistic whose p-value is below ``alpha``, by bisection."""
     steps = math.lcm(n, m)
     lo, hi = 0, steps
     while lo < hi:
         mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if p_value(n, m, mid / steps) < alpha else (mid + 1, hi)
+        lo, hi = (lo, mid) if p_value(n, m, mid / steps, method) < alpha else (mid + 1, hi)
     return lo / steps
 
 
-@F.pandas_udf(T.DoubleType())
-def ks_p_value(n: pd.Series, m: pd.Series, statistic: pd.Series) -> pd.Series:
-    return pd.Series([p_value(int(a), int(b), float(d)) for a, b, d in zip(n, m, statistic)])
+def ks_p_value(n: Column, m: Column, statistic: Column, method: str = LIMITING) -> Column:
+    """p-value per row."""
+
+    @F.pandas_udf(T.DoubleType())
+    def values(n: pd.Series, m: pd.Series, statistic: pd.Series) -> pd.Series:
+        rows = zip(n, m, statistic, strict=True)
+        return pd.Series([p_value(int(a), int(b), float(d), method) for a, b, d in rows])
+
+    return values(n, m, statistic)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from convoy.functions.coerce import strip
 
@@ -50,24 +45,30 @@ def without_wrappers(question: Column) -> Column:
     return strip(F.regexp_replace(strip(question), WRAPPER, ""))
 
 
-def _chain(text: str, rounds: int) -> bytes:
-    seed = hashlib.sha256(text.encode("utf-8")).digest()
-    digests = []
-    for _ in range(rounds):
-        seed = hashlib.sha256(seed).digest()
-        digests.append(seed)
-    return b"".join(digests)
-
+def hash_embedding(text: Column) -> Column:
+    """Deterministic unit vector from a chain of SHA-256 digests of the text; null for a null text.
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hash_embedding(text: pd.Series) -> pd.Series:
-    """Deterministic unit vector from a chain of SHA-256 digests of the text.
-
-    Every digest gives eight big-endian 32-bit numbers, scaled to [-1, 1]. Only the hashing is
-    per row; scaling and norms are done on the whole Arrow batch.
+    Every digest after the first gives eight big-endian 32-bit numbers, scaled to [-1, 1].
     """
     rounds = -(-DIM // 8)
-    words = np.frombuffer(b"".join(_chain(t, rounds) for t in text), dtype=">u4")
-    values = words.reshape(len(text), -1)[:, :DIM] / 4294967295.0 * 2.0 - 1.0
-    norms = np.linalg.norm(values, axis=1, keepdims=True)
-    return pd.Series(list(values / np.where(norms > 0, norms, 1.0)))
+
+    def link(digests: Column, _: Column) -> Column:
+        return F.concat(digests, F.array(F.sha2(F.unhex(F.element_at(digests, -1)), 256)))
+
+    first = F.array(F.sha2(text.cast("binary"), 256))
+    chain = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, link), 2, rounds)
+
+    def numbers(digest: Column) -> Column:
+        words = [F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("double") for j in range(8)]
+        return F.array(*[w / 4294967295.0 * 2.0 - 1.0 for w in words])
+
+    values = F.slice(F.flatten(F.transform(chain, numbers)), 1, DIM)
+    # A one-element array binds the values and their norm, so that neither is worked out again.
+    bound = F.transform(
+        F.array(values),
+        lambda v: F.struct(
+            v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)).alias("norm")
+        ),
+    )
+    unit = F.transform(bound, lambda b: F.transform(b["v"], lambda x: x / b["norm"]))
+    return F.when(text.isNotNull(), unit[0])

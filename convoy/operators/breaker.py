@@ -293,9 +293,10 @@ def evaluate(
 def snapshot(
     states: DataFrame, as_of: Column, cfg: BreakerSettings = BreakerSettings()
 ) -> DataFrame:
-    """Current breaker per vehicle; the cooldown is applied at reading time."""
+    """The breaker of every vehicle at ``as_of``, from events up to then; the cooldown is applied
+    at reading time."""
     picked = ["state", "opened_at", "trip_count", "event_time"]
-    last = states.groupBy("vehicle_id").agg(
+    last = states.where(F.col("event_time") <= as_of).groupBy("vehicle_id").agg(
         F.max_by(F.struct(*picked), F.struct(*ORDER)).alias("_s")
     )
     cooled = F.unix_micros(as_of) - F.unix_micros("_s.opened_at") >= F.lit(

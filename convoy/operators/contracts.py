@@ -62,7 +62,8 @@ def _timestamp(value: Column, parsed: Column | None = None) -> list[Rule]:
 def _not_a_number(df: DataFrame, field: str, reject_nan: bool) -> tuple[Column, Rule]:
     value = coerce.numeric_field(df, field)
     bad = value.isNull() | F.isnan(value) if reject_nan else value.isNull()
-    shown = coerce.quoted(F.col(field))
+    given = coerce.given_text(field)
+    shown = coerce.quoted(F.col(given if given in df.columns else field))
     return value, _rule(
         field, "type:float", bad, F.concat(F.lit(f"{field} must be numeric, got "), shown)
     )
@@ -241,7 +242,8 @@ def quarantine_records(
 ) -> DataFrame:
     """One record per row that breaks a rule: the first violation, all violations, payload."""
     rules = stream_rules(normalized)
-    payload = F.to_json(F.struct(*settings.TELEMETRY_FIELDS))
+    fields = F.to_json(F.struct(*settings.TELEMETRY_FIELDS))
+    payload = F.col("payload") if "payload" in normalized.columns else fields
     bad = normalized.where(~passes(rules)).withColumn("violations", violations(rules))
     first = F.element_at("violations", 1)
     return bad.select(
@@ -272,6 +274,32 @@ def triage(df: DataFrame, payload: Sequence[str] = settings.TELEMETRY_FIELDS) ->
     )
 
 
+def triage_messages(decoded: DataFrame) -> DataFrame:
+    """Batch contract over decoded messages: payloads that are no objects are rejected as such.
+
+    Fields whose text cannot be checked at all (a number too large to hold) count as errors of the
+    validation itself.
+    """
+    rows = triage(decoded)
+    raw = F.col("codec") == "raw"
+    unheld = F.lit(False)
+    for field in settings.FEATURES:
+        value = coerce.numeric_field(decoded, field)
+        unheld = unheld | (F.abs(value) == float("inf"))
+    error = F.coalesce(unheld, F.lit(False))
+    return rows.withColumns(
+        {
+            "accepted": F.col("accepted") & ~raw & ~error,
+            "rejection_reason": F.when(raw, "record is not an object")
+            .when(error, "record could not be validated")
+            .otherwise(F.col("rejection_reason")),
+            "corruption_type": F.when(raw, "invalid_record_type")
+            .when(error, "validation_error")
+            .otherwise(F.col("corruption_type")),
+        }
+    )
+
+
 def rejection_gate(triaged: DataFrame, limit: float = 0.2) -> DataFrame:
     """One row: counts, rejection rate, and whether the batch may be published."""
     rejected = F.count_if(~F.col("accepted"))

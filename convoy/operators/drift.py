@@ -9,8 +9,9 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from convoy.functions.kstest import ks_p_value, p_value_table
+from convoy.functions.kstest import LIMITING, critical_statistic, exact_p_values, ks_p_value
 from convoy.operators import scan
 from convoy.settings import FEATURE_SCALE, FEATURES, DriftSettings
 
@@ -41,10 +42,14 @@ def long_features(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def two_sample(
-    df: DataFrame, keys: list[str], value: str, is_current: str, alpha: float = 0.05
+    df: DataFrame, keys: list[str], value: str, is_current: str, alpha: float = 0.05,
+    method: str = LIMITING,
 ) -> DataFrame:
     """KS test per key between the current and the reference rows.
 
+    ``method`` is how p-values are found: limiting suits whole tables, exact costs the product of
+    both sample sizes per key.
+
     Equal values are counted first, both distribution functions are running sums over the
     ordered distinct values, and the statistic is the largest gap. No sample is collected.
     """
@@ -66,7 +71,7 @@ def two_sample(
         upto.where("n_current > 0 and n_reference > 0")
         .groupBy(*keys, "n_current", "n_reference")
         .agg(F.max(gap).alias("ks_statistic"))
-        .withColumn("p_value", ks_p_value("n_current", "n_reference", "ks_statistic"))
+        .withColumn("p_value", ks_p_value(F.col("n_current"), F.col("n_reference"), F.col("ks_statistic"), method))
     )
     return tested.withColumns(
         {"drift_detected": F.col("p_value") < alpha, "drift_score": F.col("ks_statistic")}
@@ -147,6 +152,7 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
     One output row per window, at the row that closes it.
     """
     size, stride, m = drift.window, drift.stride, drift.baseline
+    key = numbered.schema["event_id"].dataType
     frozen = numbered.where("phase = 'baseline'").select(*FEATURES).limit(m).toArrow()
     base = np.column_stack([frozen[f].to_numpy() for f in FEATURES]) if len(frozen) else None
     if base is None or len(base) < m:
@@ -155,7 +161,8 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
     references = [np.sort(base[:, i]) for i in range(len(FEATURES))]
     references.append(np.sort(np.linalg.norm(z_base, axis=1)))
     centroid = z_base.mean(0) if len(base) else np.zeros(len(FEATURES))
-    p_values, steps = p_value_table(size, m), math.lcm(size, m)
+    steps = math.lcm(size, m)
+    critical = round(critical_statistic(size, m, drift.alpha) * steps)
 
     def score(block: pa.Table) -> pa.Table:
         rows = block.sort_by("pos")
@@ -167,8 +174,7 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
         stats = np.column_stack(
             [_window_statistics(s, r, size) for s, r in zip(series, references)]
         )
-        p = p_values[np.rint(stats * steps).astype(int)]
-        flags = p < drift.alpha
+        flags = np.rint(stats * steps) >= critical
         mean = sliding_window_view(z, size, axis=0).mean(axis=2)
         norms = np.linalg.norm(mean, axis=1) * np.linalg.norm(centroid)
         safe = np.where(norms > 0, norms, 1.0)
@@ -191,7 +197,7 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
         }
         for i, name in enumerate(SCORED):
             columns[f"{name}_score"] = stats[emit, i]
-            columns[f"{name}_p"] = p[emit, i]
+            columns[f"{name}_p"] = exact_p_values(size, m, stats[emit, i])
         columns["drifted_features"] = [
             [n for n, hit in zip(SCORED, row) if hit] for row in flags[emit]
         ]
@@ -208,7 +214,7 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
     fields = [
         ("window_no", pa.int64()),
         ("window_end", pa.timestamp("us", "UTC")),
-        ("last_event", pa.int64()),
+        ("last_event", pa.string() if isinstance(key, T.StringType) else pa.int64()),
     ]
     for name in SCORED:
         fields += [(f"{name}_score", pa.float64()), (f"{name}_p", pa.float64())]
@@ -231,6 +237,7 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
 
 
 _DDL = {
+    "string": "string",
     "int64": "bigint",
     "double": "double",
     "bool": "boolean",

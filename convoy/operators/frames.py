@@ -26,7 +26,7 @@ def frames_of(telemetry: DataFrame, agents: int = 3) -> DataFrame:
     Each record is sent to the ``agents`` scenarios it appears in and grouped by (scenario,
     frame), so a group never holds more than ``agents`` rows.
     """
-    keep = telemetry.where("gps_lat <> 999").select(
+    keep = telemetry.select(
         F.col("user_id"),
         "event_ts",
         "event_id",
@@ -274,3 +274,17 @@ def calibration_rows(bundles: DataFrame) -> DataFrame:
         "ego_vehicle_id",
         *[F.to_json(p).alias(f"{p}_json") for p in parts],
     )
+
+
+def publish_fusion(physical: DataFrame, peers: dict[str, DataFrame], fused: str, quarantine: str) -> None:
+    """Write complete frames to ``fused`` and the rest, with the peers they lack, to ``quarantine``.
+
+    ``peers`` has a camera and a lidar frame. No frame is left out of both tables.
+    """
+    held = physical
+    for name, peer in peers.items():
+        mark = peer.select(*KEYS).distinct().withColumn(f"_has_{name}", F.lit(True))
+        held = held.join(mark, KEYS, "left")
+    lacking = [F.when(F.col(f"_has_{name}").isNull(), F.lit(name)) for name in peers]
+    held.select(*KEYS, F.concat_ws(",", *lacking).alias("missing")).where("missing <> ''").write.parquet(quarantine)
+    fuse_sensors(physical, peers["camera"], peers["lidar"]).write.parquet(fused)

@@ -8,12 +8,8 @@ from pyspark.sql.window import Window
 
 from convoy.functions import coerce
 from convoy.operators import scan
-from convoy.session import cut
 from convoy.settings import FEATURES
 
-# Rows of a lookup side that may be broadcast.
-SMALL = 200_000
-
 _QUANTILES = {"p50": 0.5, "p95": 0.95}
 
 
@@ -68,9 +64,8 @@ def features_as_of(events: DataFrame, stats: DataFrame, ttl_days: int = 7) -> Da
 
     Each statistics row is valid from its time until the next row or the TTL. The interval is
     laid out by day, so the lookup is an equality join on (device type, day) with at most one
-    match per event; events without one keep nulls. The laid-out statistics are counted: small
-    ones are broadcast and the events stay in place, larger ones are joined by a shuffle,
-    whose heavy days the runtime splits.
+    match per event; events without one keep nulls. Which side moves is left to adaptive
+    execution, which knows their sizes and splits heavy days.
     """
     by_device = Window.partitionBy("device_type").orderBy("computed_at")
     limit = F.col("computed_at") + F.make_dt_interval(F.lit(ttl_days))
@@ -88,9 +83,6 @@ def features_as_of(events: DataFrame, stats: DataFrame, ttl_days: int = 7) -> Da
             ),
         )
     )
-    spans = cut(spans)
-    if spans.count() <= SMALL:
-        spans = F.broadcast(spans)
     valid = (
         (events["device_type"] == spans["device_type"])
         & (F.to_date(events["event_time"]) == spans["_day"])

@@ -29,6 +29,8 @@ STRUCTURAL_ISSUES = {
 # ---------------------------------------------------------------------------------------
 
 _SOFT_NUMBERS = ("brake_pressure", "lidar_temp_c", "compute_load_pct")
+# The column that carries a record's payload as it came.
+PAYLOAD = "payload"
 _NAMES = ("trip_id", "sensor_status", "hardware_version", "device_type")
 
 
@@ -53,9 +55,16 @@ def normalize(df: DataFrame, *, encode_check: bool = False) -> DataFrame:
     """Coerce raw records and add ``event_time`` and ``issue``.
 
     ``issue`` names the first structural failure in the order vehicle, timestamp, position,
-    speed; it is null for a record that goes on to the QA gate. Soft numeric fields that hold
-    other text keep that text, so that the gate reports the precise rule.
+    speed; it is null for a record that goes on to the QA gate. Soft numeric fields become
+    doubles; where the source held text, it stays beside them, so that the gate can show it.
+    ``event_id`` is added where the source has none, and the payload is kept as it came.
     """
+    soft = {}
+    for name in _SOFT_NUMBERS:
+        soft[name] = coerce.numeric_field(df, name)
+        if isinstance(df.schema[name].dataType, T.StringType):
+            soft[coerce.given_text(name)] = F.col(name)
+    held = F.col("raw_value") if "raw_value" in df.columns else as_json(df)
     lat, lon = coerce.numeric_field(df, "gps_lat"), coerce.numeric_field(df, "gps_lon")
     speed = coerce.numeric_field(df, "speed_mph")
     instant = coerce.iso_instant(F.col("timestamp"))
@@ -77,6 +86,9 @@ def normalize(df: DataFrame, *, encode_check: bool = False) -> DataFrame:
             "gps_lon": lon,
             "speed_mph": speed,
             "issue": issue,
+            "event_id": coerce.record_key(df),
+            PAYLOAD: held,
+            **soft,
         }
     )
 
@@ -85,6 +97,11 @@ def accepted(normalized: DataFrame) -> DataFrame:
     return normalized.where(F.col("issue").isNull()).drop("issue")
 
 
+def as_json(df: DataFrame) -> Column:
+    """The contract's fields as they stand, as JSON."""
+    return F.to_json(F.struct(*[c for c in settings.TELEMETRY_FIELDS if c in df.columns]))
+
+
 def _lookup(index: int) -> Column:
     chosen = F.lit(None).cast("string")
     for issue, parts in STRUCTURAL_ISSUES.items():
@@ -95,13 +112,12 @@ def _lookup(index: int) -> Column:
 def structural_quarantine(
     normalized: DataFrame, rejected_at: Column, source_topic: str = "telemetry.raw"
 ) -> DataFrame:
-    """Quarantine records of the rows that have a structural issue."""
-    payload = [c for c in settings.TELEMETRY_FIELDS if c in normalized.columns]
+    """Quarantine records of the rows that have a structural issue, with their untouched payload."""
     found = F.struct(
         _lookup(0).alias("field"), _lookup(1).alias("rule"), _lookup(2).alias("message")
     ).cast(VIOLATION)
     return normalized.where(F.col("issue").isNotNull()).select(
-        *[c for c in ("event_id",) if c in normalized.columns],
+        "event_id",
         rejected_at.alias("rejected_at"),
         F.lit(source_topic).alias("source_topic"),
         F.col("vehicle_id"),
@@ -109,5 +125,5 @@ def structural_quarantine(
         _lookup(1).alias("rule"),
         _lookup(2).alias("reason"),
         F.array(found).alias("violations"),
-        F.to_json(F.struct(*payload)).alias("raw_payload"),
+        F.col(PAYLOAD).alias("raw_payload"),
     )

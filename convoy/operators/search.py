@@ -113,16 +113,6 @@ def _best(q_m: np.ndarray, items: pa.Table, take: int) -> pa.Table:
     return pa.concat_tables(found)
 
 
-def _merge(found: list[pa.Table], take: int) -> pa.Table:
-    """The best ``take`` rows per query of several results."""
-    every = pa.concat_tables(found).sort_by(
-        [("q", "ascending"), ("score", "descending"), ("item_id", "ascending")]
-    )
-    q = every["q"].to_numpy()
-    rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
-    return every.filter(pa.array(rank < take))
-
-
 def _named(found: pa.Table, q_ids: pa.Array) -> pa.Table:
     return pa.table(
         {
@@ -144,10 +134,9 @@ def top_k(
 ) -> DataFrame:
     """Exact cosine top-k of every query over all items.
 
-    Both sides have (id, vector); ``k`` is clamped to 1..10. Queries are counted first. Up to
-    one block of them goes to every task and the items are searched where they are. More are
-    hashed into blocks, as are the items, and each pair of blocks is one task. Either way a
-    task returns k rows per query, and the best of all tasks are merged at the end.
+    Both sides have (id, vector); ``k`` is clamped to 1..10. Both are hashed into blocks, and each
+    pair of blocks is one task that returns k rows per query; the best of all tasks are merged at
+    the end. This is the exact search: its work is the product of both sides.
     """
     k = max(MIN_K, min(k, MAX_K))
     take = k + 1 if exclude_self else k
@@ -160,49 +149,18 @@ def top_k(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    count = q.limit(query_block + 1).count()
-    near = _search_in_place(q, i, take, schema) if count <= query_block else _search_grid(
-        q, i, take, schema, query_block, item_block
-    )
+    near = _search_grid(q, i, take, schema, query_block, item_block)
     if exclude_self:
         near = near.where("query_id <> item_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search_in_place(q: DataFrame, i: DataFrame, take: int, schema: T.StructType) -> DataFrame:
-    """At most one block of queries, known to be small, is sent to every task."""
-    asked = q.toArrow()
-    if not len(asked):
-        return i.limit(0).select(
-            F.lit(None).cast(schema["query_id"].dataType).alias("query_id"),
-            F.col("id").alias("item_id"),
-            F.lit(0.0).alias("score"),
-        )
-    sent = i.sparkSession.sparkContext.broadcast(
-        (asked["id"].to_pylist(), _matrix(asked["vector"].combine_chunks()))
-    )
-    id_type = asked["id"].type
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One partition keeps only its best rows per query, however many batches it reads.
-        ids, m = sent.value
-        best: list[pa.Table] = []
-        for batch in batches:
-            if len(batch):
-                best.append(_best(m, pa.Table.from_batches([batch]), take))
-                best = [_merge(best, take)]
-        if best:
-            yield from _named(best[0], pa.array(ids, id_type)).combine_chunks().to_batches()
-
-    return i.mapInArrow(search, schema)
-
-
 def _search_grid(
     q: DataFrame, i: DataFrame, take: int, schema: T.StructType, query_block: int, item_block: int
 ) -> DataFrame:
     """Blocks of queries against blocks of items, one pair of blocks per task."""
-    n_q = math.ceil(q.count() / query_block)
+    n_q = max(1, math.ceil(q.count() / query_block))
     n_i = max(1, math.ceil(i.count() / item_block))
 
     def side(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from convoy.functions import coerce
 from convoy.operators import scan
 from convoy.session import cut
 from convoy.settings import DriftSettings, PolicySettings, QaSettings
@@ -26,7 +27,7 @@ def outcomes(gated: DataFrame) -> DataFrame:
     return gated.select(
         vehicle.alias("vehicle_id"),
         F.col("event_time"),
-        F.col("event_id"),
+        coerce.record_key(gated).alias("event_id"),
         (F.col("route") == "quarantine").alias("bad"),
     )
 
@@ -101,6 +102,7 @@ def rolling_quality(
 
 def drift_sequence(rows: DataFrame, drift: DriftSettings = DriftSettings()) -> DataFrame:
     """Number the rows fleet-wide; ``phase`` is warmup, baseline or live."""
+    rows = rows.withColumn("event_id", coerce.record_key(rows))
     numbered = scan.keyed_sequence(rows, [], ["event_time", "event_id"])
     start = drift.warmup + drift.baseline
     return numbered.withColumn(

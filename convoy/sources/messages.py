@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,7 @@ from convoy import settings
 from convoy.functions.coerce import computed_once
 
 # Fields are read as text first, so that a wrong type is a rule violation and not a lost row.
+_CORRUPT = "_corrupt"
 RAW_FIELDS = T.StructType([T.StructField(f, T.StringType()) for f in settings.TELEMETRY_FIELDS])
 
 
@@ -39,19 +40,16 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int
     )
 
 
-def is_object(text: Column) -> Column:
-    """True when the text is one JSON object."""
-    return F.coalesce(F.json_object_keys(text).isNotNull(), F.lit(False)) & F.ltrim(text).startswith("{")
-
-
 def decode(messages: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Parse payloads; ``codec`` is json, or raw for anything that is not a JSON object."""
-    good = F.try_parse_json(value).isNotNull() & is_object(F.col(value))
-    parsed = F.when(good, F.from_json(value, RAW_FIELDS))
-    fields = messages.select(
-        *(keep or []),
-        F.when(good, "json").otherwise("raw").alias("codec"),
-        parsed.alias("_m"),
-        F.col(value).alias("raw_value"),
-    ).select(*(keep or []), "codec", "raw_value", "_m.*")
-    return computed_once(fields, keep)
+    # One parse: what is not a JSON object ends up whole in the column for corrupt records.
+    schema = T.StructType([*RAW_FIELDS.fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    text = F.col(value)
+    parsed = messages.select(
+        *(keep or []), text.alias("raw_value"), F.from_json(text, schema, options).alias("_m")
+    )
+    good = F.coalesce(F.col(f"_m.{_CORRUPT}").isNull() & F.ltrim("raw_value").startswith("{"), F.lit(False))
+    fields = [F.when(good, F.col(f"_m.{f}")).alias(f) for f in RAW_FIELDS.names]
+    codec = F.when(good, "json").otherwise("raw").alias("codec")
+    return computed_once(parsed.select(*(keep or []), codec, "raw_value", *fields), keep)

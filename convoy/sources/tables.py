@@ -48,6 +48,26 @@ def telemetry_of(events: DataFrame) -> DataFrame:
     return computed_once(derived, ["event_id", "event_ts"])
 
 
+# The same records as JSON text without an event id: some cut short, with words or text numbers
+# where numbers belong, or with a key that the contract does not know.
+_MESSAGE = """concat('{"vehicle_id":"', vehicle_id, '","trip_id":"', trip_id, '","timestamp":"', timestamp,
+    '","gps_lat":', if(event_id % 107 = 0, '"north"', cast(gps_lat as string)),
+    ',"gps_lon":', cast(gps_lon as string),
+    ',"speed_mph":', if(event_id % 103 = 0, '"fast"', cast(speed_mph as string)),
+    ',"brake_pressure":', if(event_id % 113 = 0, '"0.5"', cast(brake_pressure as string)),
+    ',"lidar_temp_c":', if(event_id % 109 = 0, '"hot"', cast(lidar_temp_c as string)),
+    ',"compute_load_pct":', cast(compute_load_pct as string),
+    ',"sensor_status":"', sensor_status, '","hardware_version":"', hardware_version,
+    '","device_type":"', device_type, if(event_id % 127 = 0, '","operator":"x"}', '"}'))"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All telemetry records as the text of messages (``value``)."""
+    return telemetry(spark, sf_dir).selectExpr(
+        f"if(event_id % 101 = 0, left({_MESSAGE}, 40), {_MESSAGE}) as value"
+    )
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_of(table(spark, sf_dir, "events"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -74,8 +74,7 @@ def gate_stream(
         bad = batch.where("route = 'quarantine'").drop("route")
         records = contracts.quarantine_records(bad, rejected_at)
         _write(records, os.path.join(out, "quarantine"), batch_id)
-        if "event_id" in batch.columns:
-            _write(windows.outcomes(batch), os.path.join(out, "outcomes"), batch_id)
+        _write(windows.outcomes(batch), os.path.join(out, "outcomes"), batch_id)
         counters = batch.groupBy("route").agg(F.count(F.lit(1)).alias("records"))
         _write(counters, os.path.join(out, "counters"), batch_id)
 
@@ -111,15 +110,27 @@ def drain(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
-def windowed_pass_ratio(
-    gated: DataFrame, width: str = "5 minutes", late: str = "10 minutes"
-) -> DataFrame:
-    """Pass ratio per event-time window on a stream; the watermark bounds its state."""
+def pass_ratio_stream(gated: DataFrame, out: str, checkpoint: str, width: str = "5 minutes") -> DataStreamWriter:
+    """Validated and quarantined records per event-time window, however late they come.
+
+    Every micro-batch writes the windows it has changed, with their totals so far, below its own
+    id; ``pass_ratio`` reads the newest state of each. State holds two numbers per window.
+    """
     validated = F.count_if(F.col("route") == "validated")
     total = F.count(F.lit(1))
-    return (
-        gated.withWatermark("event_time", late)
-        .groupBy(F.window("event_time", width).alias("w"))
+    ratio = (
+        gated.groupBy(F.window("event_time", width).alias("w"))
         .agg(validated.alias("validated"), (total - validated).alias("quarantined"))
         .select(F.col("w.start").alias("window_start"), "validated", "quarantined")
     )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        _write(batch, out, batch_id)
+
+    return ratio.writeStream.option("checkpointLocation", checkpoint).outputMode("update").foreachBatch(run)
+
+
+def pass_ratio(spark: SparkSession, out: str) -> DataFrame:
+    """The windows that ``pass_ratio_stream`` has written; counts only grow, so the largest are newest."""
+    newest = F.max_by(F.struct("validated", "quarantined"), F.col("validated") + F.col("quarantined"))
+    return spark.read.parquet(out).groupBy("window_start").agg(newest.alias("n")).select("window_start", "n.*")

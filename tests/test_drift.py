@@ -26,7 +26,14 @@ def test_critical_values():
 
 def test_exact_and_limiting_agree_on_large_samples():
     assert abs(kstest.exact_p_value(900, 1000, 0.06) - kstest.limiting_p_value(900, 1000, 0.06)) < 0.01
-    assert kstest.p_value(20_000, 30_000, 0.0) == 1.0
+    assert kstest.p_value(20_000, 30_000, 0.0, kstest.LIMITING) == 1.0
+    with pytest.raises(ValueError):
+        kstest.p_value(5, 5, 0.2, "auto")
+    # Literal p-values of small samples, by counting orderings.
+    assert abs(kstest.p_value(3, 3, 1.0) - 0.1) < 1e-12
+    assert abs(kstest.p_value(4, 4, 1.0) - 2 / 70) < 1e-12
+    got = kstest.exact_p_values(3, 3, np.array([[1.0, 1.0], [1 / 3, 2 / 3]]))
+    assert np.allclose(got, [[0.1, 0.1], [1.0, 0.6]])
 
 
 def test_exact_p_value_by_enumeration():

@@ -25,7 +25,7 @@ def test_feature_statistics(spark):
     assert none.lidar_temp_c_p50 == 1.0
 
 
-def test_features_as_of_respects_order_and_ttl(spark, monkeypatch):
+def test_features_as_of_respects_order_and_ttl(spark):
     stats = spark.createDataFrame(
         [("A", "2024-01-02", 1), ("A", "2024-01-04", 2), ("B", "2024-01-01", 3)],
         "device_type string, c string, row_count long",
@@ -44,10 +44,8 @@ def test_features_as_of_respects_order_and_ttl(spark, monkeypatch):
         [(i, d, t) for i, (d, t, _) in enumerate(cases)], "event_id long, device_type string, t string"
     ).withColumn("event_time", F.col("t").cast("timestamp"))
     want = [w for *_, w in cases]
-    for limit in (gold.SMALL, 0):  # Broadcast lookup, then the shuffled one.
-        monkeypatch.setattr(gold, "SMALL", limit)
-        got = gold.features_as_of(events, stats).orderBy("event_id").collect()
-        assert [r.row_count for r in got] == want
+    got = gold.features_as_of(events, stats).orderBy("event_id").collect()
+    assert [r.row_count for r in got] == want
 
 
 def test_quarantine_audit(spark):
