@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -36,6 +37,13 @@ HEADLINE = (
     "vector_topk",
     "injection_filter",
     "lake_roundtrip",
+    "retrieval",
+    "sustained_alerts",
+    "slo_report",
+    "message_windows",
+    "stream_qa_window",
+    "stream_breaker",
+    "stream_pass_ratio",
 )
 
 
@@ -48,6 +56,7 @@ def session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .getOrCreate()
     )

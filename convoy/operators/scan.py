@@ -1,44 +1,68 @@
 """Ordered scans that never put one key's whole history into one task.
 
 A window over ``partitionBy(key)`` sends all rows of a key to one task, and a fleet-wide
-order would use a single task. Here the rows are range-split on (key, order), so a key that
-holds a third of the table is spread over a third of the partitions. Each part is scanned on
-its own, one summary row per (key, part) is scanned across parts, and the two are combined.
-The summary has at most (number of keys + number of parts) rows.
+order would use a single task. Here the rows are split into ranges of (key, order), so a key that
+holds a third of the table is spread over a third of the parts. Each part is scanned on its own,
+one summary row per (key, part) is scanned across parts, and the two are combined. The summary has
+at most (number of keys + number of parts) rows.
+
+The ranges are cut at splitters from a bounded sample, and a row's part is a plain expression of
+its own values. It is the same in every pass and on every executor, so nothing has to be written
+down, and one shuffle by part serves both the scan of the parts and their summary.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from convoy.session import cut
-
 PART = "_part"
+# Rows sampled for each splitter; what comes to the driver is this times the number of parts.
+SAMPLED = 20
+# Parts per shuffle partition: more of them even out what hashing parts to partitions makes uneven.
+PARTS_PER_PARTITION = 2
+
+
+def _comparable(df: DataFrame, name: str) -> Column:
+    """The column in a form whose values come back from a sample unchanged."""
+    kind = df.schema[name].dataType
+    return F.unix_micros(F.col(name)) if isinstance(kind, T.TimestampType) else F.col(name)
+
+
+def _tree(value: Column, splitters: list[Column], low: int) -> Column:
+    """How many splitters are at or below ``value``, plus ``low``, by halving."""
+    if not splitters:
+        return F.lit(low)
+    middle = len(splitters) // 2
+    return F.when(value < splitters[middle], _tree(value, splitters[:middle], low)).otherwise(
+        _tree(value, splitters[middle + 1 :], low + middle + 1)
+    )
 
 
 def split_in_order(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    parts: int | None = None,
-    settle: bool = False,
+    df: DataFrame, keys: list[str], order: list[str], parts: int | None = None
 ) -> DataFrame:
-    """Range-split on (keys, order) and tag each row with its part, in a fixed copy.
+    """Tag each row with its part, a range of (keys, order), and bring parts together.
 
-    ``order`` must be unique within a key. The checkpoint makes the part numbers the same for
-    every later pass, also when an executor is lost between them. Unless ``parts`` is given,
-    the session's shuffle partitions are used and small neighbours are merged at run time.
-
-    Finding the ranges reads the input once before the split does. ``settle`` shuffles the
-    rows evenly first, so that what is read twice is that shuffle and not a parsing scan.
+    ``order`` must be unique within a key. The sample is the rows of least hash, so it is the same
+    whenever the rows are.
     """
     by = [*keys, *order]
-    if settle:
-        df = df.repartition(*order)
-    split = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
-    return cut(split.withColumn(PART, F.spark_partition_id()))
+    if parts is None:
+        parts = PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.struct(*[_comparable(df, c).alias(c) for c in by])
+    sample = df.select(at.alias("_at")).orderBy(F.xxhash64("_at"), "_at").limit(SAMPLED * parts)
+    rows = [r["_at"] for r in sample.orderBy("_at").collect()]
+    kinds = sample.schema["_at"].dataType
+    chosen = list(dict.fromkeys(rows[i * len(rows) // parts] for i in range(1, parts))) if rows else []
+    splitters = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds.fields, strict=True)])
+        for row in chosen
+    ]
+    tagged = df.withColumn("_at", at).withColumn(PART, _tree(F.col("_at"), splitters, 0).cast("int"))
+    return tagged.drop("_at").repartition(PART)
 
 
 def _within(keys: list[str], order: list[str]) -> WindowSpec:
@@ -94,7 +118,14 @@ def running(
         + [F.last(f"_t_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in lasts]
         + [F.sum(f"_t_{c}").over(_whole(keys)).alias(name) for name, c in totals.items()]
     )
-    carry = base.groupBy(*keys, PART).agg(*summary).select(*keys, PART, *carried)
+    # The summary asks for all columns, so that it reads the very shuffle that the scan reads.
+    same = F.max(F.xxhash64(*df.columns)).alias("_same")
+    carry = (
+        base.groupBy(*keys, PART)
+        .agg(*summary, same)
+        .where(F.col("_same").isNotNull())
+        .select(*keys, PART, *carried)
+    )
 
     local = {f"_l_{c}": F.sum(f"_v_{c}").over(within) for c in sums}
     local |= {f"_l_{c}": F.max(f"_v_{c}").over(within) for c in maxima}
@@ -115,7 +146,7 @@ def keyed_sequence(
     parts: int | None = None,
 ) -> DataFrame:
     """Dense 0-based row number per key (fleet-wide when ``keys`` is empty)."""
-    tagged = split_in_order(df, keys, order, parts, settle=True)
+    tagged = split_in_order(df, keys, order, parts)
     numbered = running(tagged, keys, order, sums={name: F.lit(1).cast("long")})
     return numbered.withColumn(name, F.col(name) - 1).drop(PART)
 
@@ -159,11 +190,20 @@ def exact_quantiles(
     )
     tagged = split_in_order(counts, keys, [value])
     ranked = running(tagged, keys, [value], sums={"_upto": F.col("_n")}, totals={"_size": "_upto"})
+    first, after = F.col("_upto") - F.col("_n"), F.col("_upto")
+
+    def near(p: Column) -> Column:
+        rank = p * (F.col("_size") - 1)
+        return (F.floor(rank) < after) & (F.ceil(rank) >= first)
+
+    wanted = None
+    for p in probs.values():
+        wanted = near(F.lit(p)) if wanted is None else wanted | near(F.lit(p))
+    # Only the few values beside a wanted rank are laid out by probability.
     spots = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in probs.items()])
-    at = ranked.withColumn("_spot", F.explode(spots)).withColumn(
+    at = ranked.where(wanted).withColumn("_spot", F.explode(spots)).withColumn(
         "_rank", F.col("_spot.p") * (F.col("_size") - 1)
     )
-    first, after = F.col("_upto") - F.col("_n"), F.col("_upto")
     lower, upper = F.floor("_rank"), F.ceil("_rank")
     has_lower = (lower >= first) & (lower < after)
     has_upper = (upper >= first) & (upper < after)

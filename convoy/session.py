@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session zone to UTC; all event times are UTC instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -20,30 +16,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    A folder on this machine is used only by a local master, where every task runs here.
+    Where that is not set, a folder beside the warehouse's tables, which all executors share too.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if configured:
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = sc.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="convoy-")
-        sc.setCheckpointDir(_LOCAL_DIRS[app])
-    return _LOCAL_DIRS[app]
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is created or overwritten here."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path under the shared folder; what is written there goes when the session ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder, so later passes read one fixed result."""
-    shared_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written to the shared folder as Parquet and read again: one fixed result."""
+    path = new_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
