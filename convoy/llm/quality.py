@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convoy.functions.coerce import computed_once
 from convoy.llm.common import text_or_empty
 
 MAX_ROWS = 20_000
@@ -68,15 +69,18 @@ class Rules:
 
     def column(self, values: dict[str, Column]) -> Column:
         """The score, from 0 to 1, of a row with these statistics."""
-        total = F.lit(self.intercept)
+        terms = [F.lit(self.intercept)]
         for rule, weight in self.rules:
             holds = None
             for at, below, bound in rule:
                 value = values[NAMES[at]]
                 test = value <= bound if below else value > bound
                 holds = test if holds is None else holds & test
-            total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+            terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
+        # Added up in pairs: a sum of hundreds of terms in a row is too deep for the optimizer.
+        while len(terms) > 1:
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
     def score(self, matrix: np.ndarray) -> np.ndarray:
         total = np.full(len(matrix), self.intercept)
@@ -213,6 +217,9 @@ def scored(values: DataFrame, rules: Rules, threshold: float = 0.7) -> DataFrame
 
 def accepted(docs: DataFrame, rules: Rules, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with the columns of ``docs``."""
-    values = F.struct(*[c.alias(n) for n, c in statistics(text_or_empty(text_column)).items()])
-    score = rules.column({n: F.col(f"_values.{n}") for n in NAMES})
-    return docs.withColumn("_values", values).where(score >= threshold).select([F.col(f"`{c}`") for c in docs.columns])
+    found = statistics(text_or_empty(text_column))
+    measured = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(f"_stat_{n}") for n, c in found.items()])
+    score = rules.column({n: F.col(f"_stat_{n}") for n in NAMES})
+    # Each statistic is worked out once, not once for every rule that compares it.
+    held = computed_once(measured, docs.columns)
+    return held.where(score >= threshold).select([F.col(f"`{c}`") for c in docs.columns])

@@ -95,3 +95,9 @@ def test_odd_rows(spark, odd, none):
     kept = quality.accepted(odd, quality.Rules([], 5.0))
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert quality.accepted(odd, quality.Rules([], -5.0)).count() == 0
+
+
+def test_hundreds_of_rules(spark, odd):
+    rules = quality.Rules([(((i % 9, i % 2 == 0, i / 400), (3, True, 0.5)), 0.01) for i in range(600)], 1.0)
+    assert quality.accepted(odd, rules).count() == odd.count()
+    assert quality.scored(quality.with_statistics(odd), rules).count() == odd.count()
