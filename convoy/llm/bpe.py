@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from convoy.llm.common import in_arrow, slices
 
-MEMO = 1 << 17
+MEMO = 1 << 18
 CHUNK = 1 << 16
 # Odd multipliers of a 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
