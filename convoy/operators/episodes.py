@@ -175,11 +175,13 @@ def with_status(table: DataFrame, status: str = "") -> DataFrame:
     return table.where(F.col("status") == status) if status else table
 
 
-def for_vehicle(table: DataFrame, vehicle_id: str) -> tuple[DataFrame, DataFrame]:
-    """The vehicle's incidents (any case, the first 50 listed) and their full count."""
+def for_vehicle(
+    table: DataFrame, vehicle_id: str, limit: int = MAX_LISTED
+) -> tuple[DataFrame, DataFrame]:
+    """The vehicle's incidents (any case, the first ``limit`` listed) and their full count."""
     wanted = vehicle_id.strip().upper()
     mine = table.where(F.upper("vehicle_id") == wanted) if wanted else table
-    return mine.orderBy("first_trip").limit(MAX_LISTED), mine.agg(F.count(F.lit(1)).alias("count"))
+    return mine.orderBy("first_trip", "incident_id").limit(limit), mine.agg(F.count(F.lit(1)).alias("count"))
 
 
 def summaries(table: DataFrame) -> DataFrame:

@@ -161,21 +161,20 @@ def qa_counters(normalized: DataFrame, gated: DataFrame, windows: DataFrame) ->
     )
 
 
+def _newest(df: DataFrame, at: str, columns: list[str], limit: int) -> DataFrame:
+    """The newest rows; the record's key settles equal times, so the choice is always the same."""
+    key = [coerce.record_key(df).alias("_key")]
+    ordered = df.select(*columns, *key).orderBy(F.desc(at), "vehicle_id", "_key").limit(limit)
+    return ordered.drop("_key")
+
+
 def latest_telemetry(df: DataFrame, limit: int = 50) -> DataFrame:
-    return (
-        df.select("vehicle_id", "speed_mph", "gps_lat", "gps_lon", "timestamp")
-        .orderBy(F.desc("timestamp"), "vehicle_id")
-        .limit(limit)
-    )
+    return _newest(df, "timestamp", ["vehicle_id", "speed_mph", "gps_lat", "gps_lon", "timestamp"], limit)
 
 
 def device_recent(df: DataFrame, device_type: str, limit: int = 10) -> DataFrame:
-    return (
-        df.where(F.col("device_type") == device_type)
-        .select("vehicle_id", "speed_mph", "device_type", "timestamp")
-        .orderBy(F.desc("timestamp"), "vehicle_id")
-        .limit(limit)
-    )
+    mine = df.where(F.col("device_type") == device_type)
+    return _newest(mine, "timestamp", ["vehicle_id", "speed_mph", "device_type", "timestamp"], limit)
 
 
 def day_count(df: DataFrame, day: str) -> DataFrame:
@@ -185,11 +184,7 @@ def day_count(df: DataFrame, day: str) -> DataFrame:
 
 
 def recent_quarantine(df: DataFrame, limit: int = 20) -> DataFrame:
-    return (
-        df.select("rejected_at", "vehicle_id", "field", "rule", "reason")
-        .orderBy(F.desc("rejected_at"), "vehicle_id")
-        .limit(limit)
-    )
+    return _newest(df, "rejected_at", ["rejected_at", "vehicle_id", "field", "rule", "reason"], limit)
 
 
 def vehicle_slice(df: DataFrame, vehicle_id: str, after: str | None = None) -> DataFrame:

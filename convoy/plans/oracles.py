@@ -800,12 +800,12 @@ _o["lifetime_pass_ratio"] = _sql(
 )
 _o["latest_telemetry"] = _sql(
     "val",
-    f"""select vehicle_id, speed_mph, gps_lat, gps_lon, {_at('event_time')} as timestamp from val order by event_time desc, vehicle_id limit 50""",
+    f"""select vehicle_id, speed_mph, gps_lat, gps_lon, {_at('event_time')} as timestamp from val order by event_time desc, vehicle_id, event_id limit 50""",
 )
 _o["device_recent"] = _sql(
     "val",
     f"""select vehicle_id, speed_mph, device_type, {_at('event_time')} as timestamp from val
- where device_type = 'DEVICE_TYPE_SIMULATOR' order by event_time desc, vehicle_id limit 10""",
+ where device_type = 'DEVICE_TYPE_SIMULATOR' order by event_time desc, vehicle_id, event_id limit 10""",
 )
 _o["day_counts"] = _sql(
     "val", "select count(*) as events from val where cast(event_time as date) = date '2024-01-15'"
@@ -880,6 +880,18 @@ _o["retrain_decision"] = _sql(
     "sig",
     f"select {_SIGNAL}, sig.max_drift_score >= 0.5 or drifted_feature_count >= 2 as should_retrain, {_REASON.replace('max_drift_score >=', 'sig.max_drift_score >=')} as reason from sig",
 )
+_o["retrain_without_signal"] = _sql(
+    "sig",
+    """select count(*) filter (max_drift_score > 1.0) > 0 as should_retrain, 'no_evidently_signal' as reason, 0.0::double as max_drift_score,
+ count(*) filter (max_drift_score > 1.0) as drifted_feature_count from sig""",
+)
+_o["retrain_latest"] = _sql(
+    "sig",
+    f"""select coalesce(max(max_drift_score >= 0.5 or drifted_feature_count >= 2), false) as should_retrain,
+ coalesce(max({_REASON}), 'no_evidently_signal') as reason, coalesce(round(max(max_drift_score), 6), 0.0) as max_drift_score,
+ coalesce(max(drifted_feature_count), 0)::bigint as drifted_feature_count
+ from sig where generated_at = (select max(generated_at) from sig)""",
+)
 _o["retrain_runs"] = _sql(
     "sig",
     f"""select 'retrain-' || substr(sha256('retrain|' || epoch_us(generated_at)), 1, 12) as trigger_id, 'retraining_triggered' as event_type,
@@ -1036,7 +1048,7 @@ _o["quarantine_roundtrip"] = _sql(
 )
 _o["recent_quarantine"] = _sql(
     "qrec",
-    f"""select {_at('rejected_at')} as rejected_at, vehicle_id, field, rule, reason from qrec order by qrec.rejected_at desc, vehicle_id limit 20""",
+    f"""select {_at('rejected_at')} as rejected_at, vehicle_id, field, rule, reason from qrec order by qrec.rejected_at desc, vehicle_id, event_id limit 20""",
 )
 _o["frame_tables_roundtrip"] = _sql(
     "frame",

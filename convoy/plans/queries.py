@@ -490,20 +490,27 @@ def latest_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(gold.latest_telemetry(lake.telemetry_rows(validated(spark, sf))), "timestamp")
 
 
+def _lake_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The validated records in the partitioned telemetry table."""
+    path = session.new_dir(spark, "telemetry")
+    lake.append_telemetry(lake.telemetry_rows(validated(spark, sf)), path)
+    return lake.load(spark, path)
+
+
 @query
 def device_recent(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lake.telemetry_rows(validated(spark, sf))
+    rows = _lake_table(spark, sf)
     return _shown(gold.device_recent(rows, "DEVICE_TYPE_SIMULATOR"), "timestamp")
 
 
 @query
 def day_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return gold.day_count(lake.telemetry_rows(validated(spark, sf)), "2024-01-15")
+    return gold.day_count(_lake_table(spark, sf), "2024-01-15")
 
 
 @query
 def vehicle_slice(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lake.telemetry_rows(validated(spark, sf))
+    rows = _lake_table(spark, sf)
     mine = gold.vehicle_slice(rows, "VH-0000007", "2024-01-10 00:00:00")
     return mine.select("event_id", "vehicle_id", text_of("timestamp").alias("timestamp"), "speed_mph")
 
@@ -664,6 +671,22 @@ def retrain_decision(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*_signal_columns(out), "should_retrain", "reason")
 
 
+@query
+def retrain_without_signal(spark: SparkSession, sf: str) -> DataFrame:
+    """No window of this table scores above 1, so no signal is left and the decision is the default."""
+    none = signal_table(spark, sf).where("max_drift_score > 1.0")
+    out = retrain.decide_latest(none)
+    return out.select("should_retrain", "reason", "max_drift_score", "drifted_feature_count")
+
+
+@query
+def retrain_latest(spark: SparkSession, sf: str) -> DataFrame:
+    out = retrain.decide_latest(signal_table(spark, sf))
+    return out.select(
+        "should_retrain", "reason", F.round("max_drift_score", 6).alias("max_drift_score"), "drifted_feature_count"
+    )
+
+
 @query
 def retrain_runs(spark: SparkSession, sf: str) -> DataFrame:
     out = retrain.runs(retrain.decide(signal_table(spark, sf)))
@@ -1004,12 +1027,14 @@ def message_triage(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
     path = session.new_dir(spark, "commits")
     rows = lake.telemetry_rows(validated(spark, sf)).where("not map_error").drop("map_error")
-    cuts = ["2024-01-11", "2024-01-21", "2024-02-01"]
-    low = "2024-01-01"
-    for number, high in enumerate(cuts, start=1):
-        part = rows.where((F.col("event_day") >= F.lit(low).cast("date")) & (F.col("event_day") < F.lit(high).cast("date")))
+    cuts = [None, "2024-01-11", "2024-01-21", None]  # the first and the last commit are open
+    for number, (low, high) in enumerate(zip(cuts, cuts[1:]), start=1):
+        part = rows
+        if low:
+            part = part.where(F.col("event_day") >= F.lit(low).cast("date"))
+        if high:
+            part = part.where(F.col("event_day") < F.lit(high).cast("date"))
         lake.commit(part, path, number)
-        low = high
     return lake.as_of(spark, path, 2).groupBy("device_type").agg(
         F.count(F.lit(1)).alias("records"), F.max("commit_id").cast("long").alias("newest_commit")
     )

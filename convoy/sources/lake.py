@@ -42,7 +42,9 @@ def telemetry_rows(validated: DataFrame) -> DataFrame:
     rows = validated.select(*keep, *[c.alias(f) for f, c in typed.items()], missing.alias("map_error"))
     return rows.withColumns(
         {
-            "device_type": F.coalesce("device_type", F.lit("DEVICE_TYPE_UNSPECIFIED")),
+            "device_type": F.when(~coerce.is_blank(F.col("device_type")), F.col("device_type")).otherwise(
+                "DEVICE_TYPE_UNSPECIFIED"
+            ),
             "event_day": F.to_date("timestamp"),
         }
     )
@@ -148,14 +150,30 @@ def dead_letter(rejected: DataFrame, path: str, execution_id: str) -> None:
 
 
 def write_gold(stats: DataFrame, path: str) -> None:
-    """Feature statistics as Parquet (also the feature store's input) and as JSON."""
-    stats.write.mode("overwrite").parquet(os.path.join(path, "feature_statistics"))
-    stats.write.mode("overwrite").json(os.path.join(path, "feature_statistics_json"))
+    """Feature statistics as Parquet (also the feature store's input) and as JSON.
+
+    They carry the time they were computed at, and the JSON is made from the written table, so they
+    are worked out once.
+    """
+    table = os.path.join(path, "feature_statistics")
+    stamped = stats if "computed_at" in stats.columns else stats.withColumn("computed_at", F.current_timestamp())
+    stamped.write.mode("overwrite").parquet(table)
+    written = stats.sparkSession.read.schema(stamped.schema).parquet(table)
+    written.write.mode("overwrite").json(os.path.join(path, "feature_statistics_json"))
 
 
-def load(spark: SparkSession, path: str, fixture: str | None = None) -> DataFrame:
-    """A lake table, or a Parquet or CSV file in its place."""
+def load(
+    spark: SparkSession, path: str, fixture: str | None = None, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """A lake table, or a Parquet or CSV file in its place.
+
+    A CSV file's columns get the types of ``schema``, by default those of the telemetry table; columns
+    that neither names stay text.
+    """
     source = fixture or path
     if source.endswith(".csv"):
-        return spark.read.option("header", True).csv(source)
+        raw = spark.read.option("header", True).csv(source)
+        types = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        known = {f.name: f.dataType for f in types} if types else {**_TELEMETRY_TYPES, "timestamp": "timestamp"}
+        return raw.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c) for c in raw.columns])
     return spark.read.parquet(source)
