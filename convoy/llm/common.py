@@ -12,21 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from convoy.session import new_dir
+from convoy.session import new_dir as scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; whatever stands there goes when the session ends."""
-    path = new_dir(spark, name)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: one fixed result, and no lineage before it."""
     path = scratch(df.sparkSession, name)

@@ -135,6 +135,8 @@ def exact_dedup(
         .dropDuplicates(["digest"])
         .select("digest", F.col("text").alias("first_text"))
     )
+    # Written first, so that the join below is a plain one, whose hot digests the runtime splits.
+    named = stored(named, "dedup-named")
     checked = members.join(named, "digest").select(
         "digest",
         "doc_id",
@@ -147,6 +149,7 @@ def exact_dedup(
     sizes = checked.groupBy(*group).agg(
         F.min(_order(F.col("doc_id"), F.col("row"))).alias("first"), F.count("*").alias("group_size")
     )
+    sizes = stored(sizes, "dedup-sizes")
     copies = (
         checked.alias("c")
         .join(
