@@ -27,7 +27,7 @@ from convoy.functions.coerce import computed_once
 from convoy.llm.common import text_or_empty
 
 MAX_ROWS = 20_000
-TREES, DEPTH, BINS = 40, 3, 32
+TREES, DEPTH, BINS = 20, 3, 32
 HELD_OUT = 2
 Comparison = tuple[int, bool, float]  # statistic, whether at most (or above), bound
 
@@ -77,10 +77,9 @@ class Rules:
                 test = value <= bound if below else value > bound
                 holds = test if holds is None else holds & test
             terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
-        # Added up in pairs: a sum of hundreds of terms in a row is too deep for the optimizer.
-        while len(terms) > 1:
-            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
+        # Added up as an array: a sum of hundreds of terms is too deep an expression.
+        total = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, b: a + b)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def score(self, matrix: np.ndarray) -> np.ndarray:
         total = np.full(len(matrix), self.intercept)
@@ -164,7 +163,7 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30
     return scaled, float(bias - (scaled * mean).sum())
 
 
-def fit_rules(matrix: np.ndarray, labels: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = 2e-4,
+def fit_rules(matrix: np.ndarray, labels: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = 5e-3,
               seed: int = 6) -> Rules:
     """The ensemble of a sample: ``matrix`` has a column for each of ``NAMES``, ``labels`` are 0 and 1."""
     if not len(labels):
