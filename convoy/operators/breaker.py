@@ -12,6 +12,7 @@ import bisect
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,50 @@ def step(before: Breaker, at_us: int, trip: bool, cfg: BreakerSettings) -> Step:
     return Step(Breaker(HALF_OPEN, 0, successes), False, False)
 
 
+class Replay(NamedTuple):
+    """What every event of a run of one vehicle does: state codes, opening times, transitions."""
+
+    prior: np.ndarray
+    after: np.ndarray
+    opened_us: np.ndarray
+    tripped: np.ndarray
+    recovered: np.ndarray
+
+
+def replay_run(
+    state: Breaker, times: np.ndarray, trips: np.ndarray, cfg: BreakerSettings
+) -> tuple[Replay, Breaker]:
+    """Replay events in order, jumping from one change of state to the next.
+
+    A closed breaker stays so up to the next trip, an open one up to the first event after its
+    cooldown; the events in between are filled as slices.
+    """
+    n = len(times)
+    out = Replay(*(np.full(n, STATE_CODES[CLOSED], np.int8) for _ in range(2)), np.zeros(n, np.int64),
+                 np.zeros(n, bool), np.zeros(n, bool))
+    trip_at = np.flatnonzero(trips)
+    cooldown = int(cfg.cooldown_seconds * 1_000_000)
+    i = 0
+    while i < n:
+        if state.kind == CLOSED:
+            k = np.searchsorted(trip_at, i)
+            j = int(trip_at[k]) if k < len(trip_at) else n
+        elif state.kind == OPEN:
+            j = i + int(np.searchsorted(times[i:], state.opened_us + cooldown))
+            out.prior[i:j] = out.after[i:j] = STATE_CODES[OPEN]
+            out.opened_us[i:j] = state.opened_us
+        else:
+            j = i
+        if j < n:
+            done = step(state, int(times[j]), bool(trips[j]), cfg)
+            out.prior[j], out.after[j] = STATE_CODES[state.kind], STATE_CODES[done.after.kind]
+            out.opened_us[j] = done.after.opened_us
+            out.tripped[j], out.recovered[j] = done.tripped, done.recovered
+            state = done.after
+        i = j + 1
+    return out, state
+
+
 class Exit(NamedTuple):
     """How a part ends when entered in ``kind`` (open: with cooldown ending by ``upto_us``)."""
 
@@ -242,7 +287,7 @@ def timeline(decided: DataFrame, cfg: BreakerSettings = BreakerSettings()) -> Da
         T.StructField("tripped", T.BooleanType()),
         T.StructField("recovered", T.BooleanType()),
     ]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
+    names = pa.array([k for k, _ in sorted(STATE_CODES.items(), key=lambda x: x[1])])
     keep = decided.columns
     group = ["vehicle_id", scan.PART]
 
@@ -252,21 +297,32 @@ def timeline(decided: DataFrame, cfg: BreakerSettings = BreakerSettings()) -> Da
         current, state = None, Breaker()
         for rows in batches:
             times = rows["event_time"].cast(pa.timestamp("us", "UTC")).cast(pa.int64())
-            columns = [rows[c].to_pylist() for c in (*group, *_ENTRIES.names[2:], "trip")]
-            out: list[tuple] = []
-            for vehicle, part, kind, opened, successes, trip, at in zip(*columns, times.to_pylist()):
-                if (vehicle, part) != current:
-                    current = (vehicle, part)
-                    state = Breaker() if kind is None else Breaker(kind, opened, successes)
-                done = step(state, at, trip, cfg)
-                since = done.after.opened_us if done.after.kind == OPEN else None
-                out.append((state.kind, done.after.kind, since, done.tripped, done.recovered))
-                state = done.after
-            if out:
-                new = [pa.array(v, k) for v, k in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(rows[c] for c in keep), *new], [*keep, *(f.name for f in added)]
-                )
+            if not len(rows):
+                continue
+            times = times.to_numpy()
+            trips = rows["trip"].to_numpy(zero_copy_only=False).astype(bool)
+            vehicles = rows["vehicle_id"].dictionary_encode().indices.to_numpy()
+            parts = rows[scan.PART].to_numpy()
+            new = np.flatnonzero((vehicles[1:] != vehicles[:-1]) | (parts[1:] != parts[:-1])) + 1
+            runs = []
+            for begin, end in zip([0, *new], [*new, len(rows)], strict=True):
+                key = tuple(rows[c][int(begin)].as_py() for c in group)
+                if key != current:
+                    entry = [rows[c][int(begin)].as_py() for c in _ENTRIES.names[2:]]
+                    current, state = key, Breaker() if entry[0] is None else Breaker(*entry)
+                done, state = replay_run(state, times[begin:end], trips[begin:end], cfg)
+                runs.append(done)
+            prior, after, opened, tripped, recovered = (np.concatenate(x) for x in zip(*runs, strict=True))
+            new_columns = [
+                names.take(pa.array(prior)),
+                names.take(pa.array(after)),
+                pa.array(opened, mask=after != STATE_CODES[OPEN]),
+                pa.array(tripped),
+                pa.array(recovered),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(rows[c] for c in keep), *new_columns], [*keep, *(f.name for f in added)]
+            )
 
     replayed = cut(
         entered.repartition(*group)

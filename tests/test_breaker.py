@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import settings as hyp
@@ -237,3 +238,24 @@ def test_notifications_follow_the_route(spark):
     page = got["pagerduty"].pagerduty
     assert page.dedup_key == table.first().incident_id and page.payload.severity == "critical"
     assert page.payload.summary.startswith("[UPDATED x1] Circuit breaker still open")
+
+
+@pytest.mark.parametrize("probe", [True, False])
+@pytest.mark.parametrize("needed", [1, 3])
+def test_replay_by_jumps_equals_single_steps(probe, needed):
+    rng = np.random.default_rng(needed)
+    cfg = BreakerSettings(cooldown_seconds=5e-5, half_open_successes=needed, probe_on_advance=probe)
+    for start in (breaker.Breaker(), breaker.Breaker(breaker.OPEN, 10, 0), breaker.Breaker(breaker.HALF_OPEN, 0, 0)):
+        times = np.sort(rng.integers(20, 2000, 300))
+        trips = rng.uniform(size=300) < 0.1
+        got, last = breaker.replay_run(start, times, trips, cfg)
+        state = start
+        for i in range(300):
+            done = breaker.step(state, int(times[i]), bool(trips[i]), cfg)
+            codes = breaker.STATE_CODES
+            assert (got.prior[i], got.after[i]) == (codes[state.kind], codes[done.after.kind])
+            assert (got.tripped[i], got.recovered[i]) == (done.tripped, done.recovered)
+            if done.after.kind == breaker.OPEN:
+                assert got.opened_us[i] == done.after.opened_us
+            state = done.after
+        assert last == state
