@@ -222,7 +222,9 @@ def correlated_events(
             "drift_count"
         ),
     )
-    tagged = scan.split_in_order(batches.unionByName(reports), ["vehicle_id"], ORDER, parts)
+    tagged = scan.split_in_order(
+        batches.unionByName(reports), ["vehicle_id"], ORDER, parts, settle=True
+    )
     latest = {f"_{c}": F.col(c) for c in ("rolling_rate", "batch_count", "streak")}
     held = scan.running(tagged, ["vehicle_id"], ORDER, lasts=latest)
     return held.withColumns(

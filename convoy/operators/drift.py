@@ -58,7 +58,7 @@ def two_sample(
         .groupBy(*keys, value)
         .agg(F.count_if(is_current).alias("_a"), F.count_if(~F.col(is_current)).alias("_b"))
     )
-    tagged = scan.split_in_order(counts, keys, [value])
+    tagged = scan.split_in_order(counts, keys, [value], settle=True)
     upto = scan.running(
         tagged,
         keys,

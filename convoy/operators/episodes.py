@@ -57,7 +57,7 @@ def _effective_resolves(tokens: DataFrame, actions: DataFrame) -> DataFrame:
         F.col("event_time").alias("recovery"),
         F.lit(None).cast("timestamp").alias("opened"),
     )
-    tagged = scan.split_in_order(asks.unionByName(recoveries), ["vehicle_id"], ORDER)
+    tagged = scan.split_in_order(asks.unionByName(recoveries), ["vehicle_id"], ORDER, settle=True)
     seen = scan.running(tagged, ["vehicle_id"], ORDER, lasts={"_last": F.col("recovery")})
     live = F.col("opened").isNotNull() & (F.col("_last").isNull() | (F.col("_last") <= F.col("opened")))
     return seen.where(live).select("vehicle_id", *ORDER)
@@ -77,7 +77,7 @@ def episodes(timeline: DataFrame, actions: DataFrame | None = None) -> DataFrame
             {"tripped": F.lit(False), "closing": F.lit("manual")}
         )
         marked = marked.unionByName(manual, allowMissingColumns=True)
-    tagged = scan.split_in_order(marked, ["vehicle_id"], ORDER)
+    tagged = scan.split_in_order(marked, ["vehicle_id"], ORDER, settle=True)
     closed = F.col("closing").isNotNull().cast("long")
     numbered = scan.running(tagged, ["vehicle_id"], ORDER, sums={"_closings": closed})
     at = F.struct(*ORDER)

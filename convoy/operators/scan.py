@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from convoy.session import cut
+
 PART = "_part"
 # Rows sampled for each splitter; what comes to the driver is this times the number of parts.
 SAMPLED = 20
@@ -42,13 +44,16 @@ def _tree(value: Column, splitters: list[Column], low: int) -> Column:
 
 
 def split_in_order(
-    df: DataFrame, keys: list[str], order: list[str], parts: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], parts: int | None = None, settle: bool = False
 ) -> DataFrame:
     """Tag each row with its part, a range of (keys, order), and bring parts together.
 
     ``order`` must be unique within a key. The sample is the rows of least hash, so it is the same
-    whenever the rows are.
+    whenever the rows are. Drawing it reads the input once before the split does; ``settle`` writes
+    an input that is costly to make, and narrow, to the shared folder first.
     """
+    if settle:
+        df = cut(df)
     by = [*keys, *order]
     if parts is None:
         parts = PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -188,7 +193,7 @@ def exact_quantiles(
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     )
-    tagged = split_in_order(counts, keys, [value])
+    tagged = split_in_order(counts, keys, [value], settle=True)
     ranked = running(tagged, keys, [value], sums={"_upto": F.col("_n")}, totals={"_size": "_upto"})
     first, after = F.col("_upto") - F.col("_n"), F.col("_upto")
 

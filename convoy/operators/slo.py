@@ -102,7 +102,7 @@ def open_breakers(timeline: DataFrame, width: str) -> DataFrame:
         .agg(F.sum(change).alias("_change"), F.count_if("tripped").alias("trips"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "_change", "trips")
     )
-    tagged = scan.split_in_order(changes, [], ["window_start"])
+    tagged = scan.split_in_order(changes, [], ["window_start"], settle=True)
     summed = scan.running(tagged, [], ["window_start"], sums={"breakers_open": F.col("_change")})
     seconds = (F.unix_micros("window_end") - F.unix_micros("window_start")) / 1e6
     return summed.select(
@@ -130,7 +130,7 @@ def sustained_alerts(sampled: DataFrame, hold: dict[str, int] | None = None) ->
     Consecutive breached samples share the count of good samples before them; each run of
     them is one aggregate row.
     """
-    tagged = scan.split_in_order(sampled, ["metric"], ["at"])
+    tagged = scan.split_in_order(sampled, ["metric"], ["at"], settle=True)
     good = (~F.col("breached")).cast("long")
     runs = scan.running(tagged, ["metric"], ["at"], sums={"_run": good})
     held = F.unix_micros("last_breached") - F.unix_micros("active_since")
