@@ -7,16 +7,19 @@ candidate and is scored exactly, in double precision, on the original vectors.
 
 Vectors are hashed and dealt to cells by Spark; cells meet their queries in blocks of at most about
 ``block`` vectors and ``block`` queries, so that a cell that holds a third of all rows becomes many
-tasks. A block returns the best ``k`` of each of its queries and no other pairs. A query that finds
-fewer than ``k`` probes all cells of one table, that is, everything.
+tasks. A block returns the best ``k`` of each of its queries and no other pairs.
 
-Cost and recall. Neighbours at an inner product around 0.37 in 64 dimensions are barely nearer than
-chance; seven tables with 16 of 128 cells reach them with a probability of about 0.95, and look at
-three fifths of the rows for it. Close neighbours are found by far fewer probes. ``tables`` and ``probes`` set
-the trade; the tests measure recall against brute force.
+Norms. Vectors are hashed by direction alone, and dealt to bands by norm, so that a long vector
+changes nothing for the others. The ``k``-th best inner product found by the probes bounds from
+below the cosine that a neighbour in a band must have. Where the probes reach that cosine with a
+probability below ``recall``, or fewer than ``k`` were found, the query is compared with all of the
+band. So every neighbour is reached with a probability of at least ``recall``, whatever the
+dimension and the norms, up to how well turned axes stand for random ones.
 
-If the vectors' norms differ, they get one more component that makes all norms equal and leaves
-inner products with queries as they are, so nearness by angle is nearness by inner product.
+Cost. Neighbours at an inner product around 0.37 in 64 dimensions are barely nearer than
+chance; seven tables with 16 of 128 cells reach them with a probability of about 0.97, and look at
+three fifths of the rows for it. Close neighbours are found by far fewer probes. ``tables`` and
+``probes`` set the trade between probing and whole bands; the tests measure recall against brute force.
 
 Defined cases. Rows take no part whose id or vector is null, whose vector is zero, empty, or holds a
 null or a non-finite number. Vectors of different lengths count as filled up with zeros. Rows that
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 
 from convoy.llm.common import in_arrow, stored
 
+# Norms within a factor of the square root of two share a band; all shorter ones are in the last.
+BANDS = 16
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -67,6 +72,30 @@ def nearest_axes(vectors: np.ndarray, table: int, probes: int, seed: int) -> np.
     return np.argsort(-both, axis=1, kind="stable")[:, :probes].astype(np.int32)
 
 
+def reached(dim: int, tables: int, probes: int, recall: float, pairs: int = 2000) -> float:
+    """The least cosine, in steps of 1/40, from which on a row is probed with a probability of ``recall``.
+
+    Measured on random pairs of unit vectors: the cell of the one, and how many axes are nearer to the other.
+    """
+    if probes >= 2 * dim:
+        return -1.0
+    rng = np.random.default_rng([dim, pairs])
+    one, other = rng.normal(size=(2, pairs, dim))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
+    least = 1.0
+    for cosine in np.arange(40, -1, -1) / 40:
+        item = cosine * one + np.sqrt(1 - cosine * cosine) * other
+        axis = np.abs(item).argmax(axis=1)[:, None]
+        value = np.take_along_axis(one, axis, axis=1) * np.sign(np.take_along_axis(item, axis, axis=1))
+        nearer = (one > value).sum(axis=1) + (-one > value).sum(axis=1)
+        if 1 - (nearer >= probes).mean() ** tables < recall:
+            break
+        least = float(cosine)
+    return least
+
+
 def _usable(vector: Column) -> Column:
     """False for null, empty and zero vectors, and for components null, infinite or not a number."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -84,7 +113,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _hashed(rows: DataFrame, width: int, dim: int, top: float, tables: int, probes: int, seed: int) -> DataFrame:
-    """id, vector (bytes), cells: for each table the cell of the row, then those that it would probe."""
+    """id, vector (bytes), norm, band, and for each table the cell of the row and those that it would probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -92,22 +121,20 @@ def _hashed(rows: DataFrame, width: int, dim: int, top: float, tables: int, prob
                 batch = whole.slice(at, 4096)
                 vectors = _matrix(batch.column("vector"), width)
                 norms = np.sqrt((vectors * vectors).sum(axis=1))
-                asks = np.zeros((len(vectors), dim), np.float32)
-                asks[:, :width] = vectors / norms[:, None]
-                items = np.zeros((len(vectors), dim), np.float32)
-                items[:, :width] = vectors / top
-                if dim > width:
-                    items[:, width] = np.sqrt(np.maximum(0, 1 - (norms / top) ** 2))
-                own = [nearest_axes(items, t, 1, seed) for t in range(tables)]
-                probed = [nearest_axes(asks, t, probes, seed) for t in range(tables)]
+                units = np.zeros((len(vectors), dim), np.float32)
+                units[:, :width] = vectors / norms[:, None]
+                bands = np.clip(np.floor(2 * np.log2(top / norms)), 0, BANDS - 1).astype(np.int32)
+                own = [nearest_axes(units, t, 1, seed) for t in range(tables)]
+                probed = [nearest_axes(units, t, probes, seed) for t in range(tables)]
                 out = [batch.column("id")]
                 out.append(pa.array([v.tobytes() for v in vectors], pa.binary()))
+                out += [pa.array(norms), pa.array(bands)]
                 for cells in (np.concatenate(own, axis=1), np.concatenate(probed, axis=1)):
                     offsets = np.arange(len(vectors) + 1, dtype=np.int32) * cells.shape[1]
                     out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.ravel())))
-                yield pa.RecordBatch.from_arrays(out, names=["id", "vector", "cells", "probes"])
+                yield pa.RecordBatch.from_arrays(out, names=["id", "vector", "norm", "band", "cells", "probes"])
 
-    return in_arrow(rows, run, "id long, vector binary, cells array<int>, probes array<int>")
+    return in_arrow(rows, run, "id long, vector binary, norm double, band int, cells array<int>, probes array<int>")
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -142,7 +169,7 @@ def _scored(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _meet(items: DataFrame, asks: DataFrame, k: int, block: int) -> DataFrame:
     """The best of every block: ``items`` and ``asks`` have id, vector, tab and cell."""
-    # At most tables x cells rows: a fixed number, whatever the size of the corpus.
+    # At most tables x cells rows, or one for each band: a fixed number, whatever the size of the corpus.
     size = F.ceil(F.count("*") / block).cast("int")
     item_blocks = items.groupBy("tab", "cell").agg(size.alias("n_items"))
     ask_blocks = asks.groupBy("tab", "cell").agg(size.alias("n_asks"))
@@ -176,10 +203,12 @@ def search(
     seed: int = 9,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
+    recall: float = 0.9,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row for which ``queries`` holds.
 
-    ``queries`` is a condition on the column ``id``.
+    ``queries`` is a condition on the column ``id``. Every one of the ``k`` nearest is reached with a
+    probability of at least ``recall``.
     """
     vector = F.col(vector_column).cast("array<double>")
     rows = (
@@ -189,11 +218,10 @@ def search(
         .agg(F.min("vector").alias("vector"))
     )
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    width, low, high = rows.agg(F.max(F.size("vector")), F.min(norm), F.max(norm)).first()
+    width, high = rows.agg(F.max(F.size("vector")), F.max(norm)).first()
     if width is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    wide = width + (high - low > 1e-5 * high)
-    dim = 1 << (wide - 1).bit_length()
+    dim = 1 << (width - 1).bit_length()
     probes = min(probes, 2 * dim)
     hashed = stored(_hashed(rows, width, dim, high, tables, probes, seed), "hashed-vectors")
     items = hashed.select("id", "vector", F.posexplode("cells").alias("tab", "cell"))
@@ -203,11 +231,19 @@ def search(
         "tab", F.floor(F.col("tab") / probes).cast("int")
     )
     found = stored(_ranked(_meet(items, asks, k, block), k), "neighbours")
-    # Queries that are short of k look everywhere: every cell of the first table.
-    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = asked.join(full, asked["id"] == full["query_id"], "left_anti")
-    all_cells = F.explode(F.sequence(F.lit(0), F.lit(2 * dim - 1)))
-    everywhere = short.select("id", "vector", F.lit(0).alias("tab"), all_cells.alias("cell"))
-    rest = _ranked(_meet(items.where("tab = 0"), everywhere, k, block), k)
-    out = ["query_id", "rank", "vec_id", "score"]
-    return found.join(full, "query_id", "left_semi").select(out).unionByName(rest.select(out))
+    # A band in which a neighbour may stand at a cosine that the probes are not sure to reach is looked
+    # at as a whole, as are all bands by queries that are short of k.
+    worst = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("worst"))
+    longest = F.lit(float(high)) * F.pow(F.lit(2.0), -F.col("cell") / 2)
+    unsure = F.col("worst") < reached(dim, tables, probes, recall) * F.col("norm") * longest
+    every_band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+    whole = (
+        asked.join(worst, asked["id"] == worst["query_id"], "left")
+        .select("id", "vector", "norm", "worst", F.lit(0).alias("tab"), every_band.alias("cell"))
+        .where(F.col("worst").isNull() | unsure)
+        .select("id", "vector", "tab", "cell")
+    )
+    banded = hashed.select("id", "vector", F.lit(0).alias("tab"), F.col("band").alias("cell"))
+    out = ["query_id", "vec_id", "score"]
+    both = found.select(out).unionByName(_meet(banded, whole, k, block).select(out))
+    return _ranked(both, k).select("query_id", "rank", "vec_id", "score")

@@ -71,6 +71,32 @@ def test_recall_with_unequal_norms(spark):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("scales", ["one row", "half to one and a half", "log-normal", "hubs"])
+def test_recall_in_64_dimensions_with_unequal_norms(spark, scales):
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(2000, 64))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    if scales == "one row":
+        matrix[7] *= 3
+    elif scales == "half to one and a half":
+        matrix *= rng.uniform(0.5, 1.5, (2000, 1))
+    elif scales == "log-normal":
+        matrix *= rng.lognormal(0, 1, (2000, 1))
+    else:
+        matrix[::100] *= 50
+    vectors = dict(enumerate(matrix))
+    got = by_query(neighbours.search(frame(spark, vectors), F.col("id") % 40 == 1, k=20).collect())
+    want = brute(vectors, range(1, 2000, 40), 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_reached_cosine():
+    assert neighbours.reached(64, 7, 128, 0.9) == -1.0
+    few, many = neighbours.reached(64, 7, 4, 0.9), neighbours.reached(64, 7, 16, 0.9)
+    assert 0 < many < few < 1 and neighbours.reached(64, 7, 16, 0.99) > many
+
+
 def test_fewer_than_k_and_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 9), (1, [0.5, 0.5], 9), (1, [0.5, 0.5], 9), (2, None, 9), (3, [0.0, 0.0], 9), (4, [nan, 1.0], 9),
