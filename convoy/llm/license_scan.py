@@ -1,12 +1,14 @@
 """Licence scans with a positional index of rare words.
 
 The index holds, for every licence notice, where each of its words stands. Words weigh by their
-inverse document frequency over all documents scanned. A file is looked up by its licence words of
-highest weight: each place of such a word, together with each posting of it, proposes a notice at
-a relative position; positions that agree within a few words (names, years and wrapped lines shift
-them) are taken together, and the weight of the notice's words found there, out of all its indexed
-words, is the score. A notice counts if its score reaches the threshold and its mandatory key
-phrases stand at that place.
+inverse document frequency over all documents scanned. A file is looked up by each notice's words of
+highest weight, as many as it cannot do without: a place that lacks them all stays below the
+threshold. Each place of such a word proposes the notice at a relative position. Around the
+proposed positions all indexed words of the notice are looked up in the whole file; positions that
+agree within a few words (names, years and wrapped lines shift them) are taken together, and the
+weight of the notice's words found there, out of all its indexed words, is the score. A notice
+counts if its score reaches the threshold and its mandatory key phrases stand at that place. What
+else the file holds, other notices included, changes neither.
 
 Beside that, all places of the base phrases are listed, whatever their surroundings.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -69,7 +72,6 @@ NOTICES = [
      ["unencumbered software", "public domain"]),
 ]
 THRESHOLD = 0.7
-RARE_PER_FILE = 24
 RARE_PER_NOTICE = 12
 SLACK = 6
 
@@ -86,47 +88,72 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Postings of the notices' rare words, by weight."""
+    """Postings of the notices' rare words, and which of them propose a notice."""
 
     idf: dict[bytes, float]
     threshold: float = THRESHOLD
     slack: int = SLACK
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
+    postings: list[dict[bytes, list[int]]] = field(default_factory=list)
+    proposers: list[list[bytes]] = field(default_factory=list)
     mass: list[float] = field(default_factory=list)
     lengths: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        for number, (_, text, _) in enumerate(NOTICES):
+        for _, text, _ in NOTICES:
             words = text.encode().split()
             rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:RARE_PER_NOTICE]
             self.mass.append(sum(self.idf[w] for w in rare))
             self.lengths.append(len(words))
-            for place, word in enumerate(words):
-                if word in rare:
-                    self.postings[word].append((number, place))
+            self.postings.append({w: [i for i, word in enumerate(words) if word == w] for w in rare})
+            # Without the first words, what is left weighs less than the threshold.
+            left, first = self.mass[-1], 0
+            while first < len(rare) and left >= self.threshold * self.mass[-1] - 1e-6:
+                left -= self.idf[rare[first]]
+                first += 1
+            self.proposers.append(rare[:first])
         self.phrases = [[b" " + p.encode() + b" " for p in phrases] for _, _, phrases in NOTICES]
-        self.vocabulary = frozenset(self.postings)
+        self.vocabulary = frozenset(w for postings in self.postings for w in postings)
 
     def matches(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
         """(label, score, first word, last word) of every notice found, its best place each."""
         present = self.vocabulary.intersection(words)
         if not present:
             return []
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:RARE_PER_FILE])
-        proposed: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        places: dict[bytes, list[int]] = {w: [] for w in present}
         for place, word in enumerate(words):
-            if word in rare:
-                for number, at in self.postings[word]:
-                    proposed[number].append((place - at, word))
+            if word in places:
+                places[word].append(place)
         out = []
-        for number, votes in proposed.items():
-            if sum(self.idf[w] for w in {w for _, w in votes}) < self.threshold * self.mass[number]:
+        for number, postings in enumerate(self.postings):
+            if sum(self.idf[w] for w in postings if w in places) < self.threshold * self.mass[number] - 1e-6:
                 continue
-            best = self._best(number, votes, words)
+            votes = self._votes(number, places)
+            best = self._best(number, votes, words) if votes else None
             if best is not None:
                 out.append((NOTICES[number][0], *best))
         return sorted(out)
 
+    def _votes(self, number: int, places: dict[bytes, list[int]]) -> list[tuple[int, bytes]]:
+        """(relative position, word) of the notice's words, near the positions that are proposed."""
+        postings = self.postings[number]
+        proposed = sorted(
+            {place - at for w in self.proposers[number] for at in postings[w] for place in places.get(w, ())}
+        )
+        near: list[list[int]] = []
+        for offset in proposed:
+            if near and offset - self.slack <= near[-1][1] + 1:
+                near[-1][1] = offset + self.slack
+            else:
+                near.append([offset - self.slack, offset + self.slack])
+        votes = []
+        for word, posted in postings.items():
+            found = places.get(word, [])
+            for at in posted:
+                for low, high in near if found else ():
+                    inside = found[bisect_left(found, low + at) : bisect_right(found, high + at)]
+                    votes.extend((place - at, word) for place in inside)
+        return votes
+
     def _best(self, number: int, votes: list[tuple[int, bytes]], words: list[bytes]) -> tuple[float, int, int] | None:
         """The place of most weight whose key phrases stand there; the first one among equals."""
         votes.sort()

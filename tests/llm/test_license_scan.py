@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -61,6 +62,38 @@ def test_scattered_words_and_missing_phrases(index):
     assert labels(index, "nothing to see here") == []
 
 
+@pytest.mark.parametrize("noise", ["", " zzz" * 40, " the license of this software is free to use and copy" * 40])
+def test_a_document_that_holds_all_notices(noise):
+    vocabulary = {w for _, text, _ in license_scan.NOTICES for w in text.encode().split()}
+    for weights in ({w: 5.0 for w in vocabulary}, {w: 1.0 + len(w) for w in vocabulary}):
+        index = license_scan.Index(weights)
+        for held in (license_scan.NOTICES, license_scan.NOTICES[::-1], [license_scan.NOTICES[i] for i in (0, 8, 10)]):
+            text = noise.join(f" {text} " for _, text, _ in held)
+            found = {m[0]: m[1] for m in index.matches(license_scan.words_of(text.encode()))}
+            assert all(found.get(label) == pytest.approx(1.0) for label, _, _ in held)
+
+
+def test_matches_are_those_of_a_scan_of_every_word():
+    """Against all votes of all indexed words, without proposals, on random words of the notices."""
+    rng = random.Random(4)
+    vocabulary = sorted({w for _, text, _ in license_scan.NOTICES for w in text.encode().split()})
+    index = license_scan.Index({w: rng.choice([1.0, 2.5, 6.0]) for w in vocabulary})
+    seen = 0
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 12)):
+            notice = rng.choice(license_scan.NOTICES)[1].encode().split()
+            words += [w for w in notice if rng.random() > 0.08] + rng.choices(vocabulary, k=rng.randrange(15))
+        want = []
+        for number, postings in enumerate(index.postings):
+            votes = [(i - at, w) for i, w in enumerate(words) for at in postings.get(w, ())]
+            best = index._best(number, votes, words)
+            want += [(license_scan.NOTICES[number][0], *best)] if best else []
+        assert index.matches(words) == sorted(want)
+        seen += len(want)
+    assert seen > 100
+
+
 def test_frame(spark, odd, none):
     rows = {r.doc_id: r for r in license_scan.scan(odd).collect()}
     assert rows[1].n_words == rows[2].n_words == 0 and rows[1].places == [] and rows[1].matches == []
