@@ -1,12 +1,16 @@
 """Main text of web pages by two passes over their blocks.
 
 A page is cut into blocks at block-level tags; scripts, styles, comments and the like are left out
-with all they hold. The first pass judges each block on its own. Blocks inside navigation, headers,
-footers, sidebars, forms, adverts, notices, reader comments and the like (by tag, role, class or
-id) are boilerplate. A page that marks its article (``article``, ``main``) has decided for the
+with all they hold. The first pass judges each block on its own. Blocks inside navigation, footers
+and asides are boilerplate, and so are those inside headers, forms and containers that role, class
+or id name as sidebars, adverts, notices, reader comments and the like. Such a name or form says
+nothing on ``article`` and ``main``, nor on a container that holds most of what the page marks as
+its article or, where it marks none and inside the article, most of its dense text and of its text
+at all; reader comments must hold all of it. Names of a state (``with-sidebar``, ``comments-open``)
+say nothing either. A page that marks its article (``article``, ``main``) has decided for the
 blocks in it, unless links make up most of one, and against those outside. On other pages density
 of stop words, length and density of links decide: dense and long is text, links or a copyright
-line are not, and what is short or in between stays open. In the second pass an open block takes
+line are not, and what is short or in between stays open, links or not. In the second pass an open block takes
 the label of its nearest decided neighbours; where the two sides differ, the nearer one's, and at
 equal distances it is dropped unless a heading stands before text.
 
@@ -47,7 +51,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
 # Containers of boilerplate, by tag and by words in class, id and role.
-BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside button menu dialog".split())
+SUSPECT_TAGS = frozenset("form fieldset".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay "
     "cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu breadcrumb breadcrumbs "
@@ -55,10 +60,18 @@ BOILER_WORDS = frozenset(
     "respond share sharing social related recommended newsletter subscribe subscription signup login search "
     "masthead skip contentinfo complementary dialog alertdialog".split()
 )
+# Words of reader comments, and words before and after which a word names a state of the page.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+STATE_BEFORE = frozenset("with without no not has have hide show".split())
+STATE_AFTER = frozenset("open opened closed enabled disabled allowed on off".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-LEGAL = re.compile(r"©|\(c\)|copyright|all rights reserved", re.IGNORECASE)
+# A copyright line, not a sentence that speaks of copyright.
+LEGAL = re.compile(
+    r"\s*(?:copyright\W*)?©|\s*(?:copyright\W*|\(c\)\s*)+(?:\d{4}\b|\(c\))|.*\ball rights reserved\W*\Z",
+    re.IGNORECASE | re.DOTALL,
+)
 # Frequent function words of six languages.
 STOP = frozenset(
     "a an and are as at be been but by for from had has have he her his i if in is it its not of on or she that the "
@@ -83,13 +96,38 @@ class Block:
     boiler: bool
     article: bool
     heading: bool
+    suspect: int = -1  # the innermost container under suspicion
+
+
+@dataclass
+class Suspect:
+    """A container that its name or tag makes boilerplate, unless it turns out to hold the page's text."""
+
+    parent: int
+    article: bool
+    readers: bool
+    text: int = 0
+    dense: int = 0
+    boiler: bool = True
 
 
-def _marks(attributes: str) -> bool:
-    """Whether class, id or role name a boilerplate container."""
+def _marks(attributes: str) -> frozenset[str]:
+    """The words in class, id and role that name a boilerplate container."""
+    found = set()
     for _, double, single, bare in ATTRIBUTE.findall(attributes):
-        value = CAMEL.sub(" ", double or single or bare).lower()
-        if any(w in BOILER_WORDS for w in WORDS.findall(value)):
+        for name in CAMEL.sub("-", double or single or bare).lower().split():
+            words = WORDS.findall(name)
+            for i, word in enumerate(words):
+                state = STATE_AFTER.intersection(words[i + 1 :]) or STATE_BEFORE.intersection(words[:i])
+                if word in BOILER_WORDS and not state:
+                    found.add(word)
+    return frozenset(found)
+
+
+def _is_comment(attributes: str) -> bool:
+    """Whether an article is a reader's comment by a class of that very name."""
+    for kind, double, single, bare in ATTRIBUTE.findall(attributes):
+        if kind.lower() == "class" and READERS.intersection((double or single or bare).lower().split()):
             return True
     return False
 
@@ -97,7 +135,8 @@ def _marks(attributes: str) -> bool:
 def blocks_of(page: str) -> tuple[list[Block], bool]:
     """The page's blocks in order, and whether the page marks its article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside boilerplate, inside the article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, inside boilerplate, inside the article, suspect
+    suspects: list[Suspect] = []
     parts: list[str] = []
     links: list[str] = []
     anchors, heading, marked = 0, False, False
@@ -106,9 +145,9 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         nonlocal heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            boiler, article = stack[-1][1:] if stack else (False, False)
+            boiler, article, suspect = stack[-1][1:] if stack else (False, False, -1)
             linked = len(" ".join(html.unescape("".join(links)).split()))
-            out.append(Block(text, linked, boiler, article, heading))
+            out.append(Block(text, linked, boiler, article, heading, suspect))
         parts.clear()
         links.clear()
         heading = False
@@ -131,9 +170,12 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if name == "a":
             anchors = max(0, anchors + (-1 if ending else 1))
         if name in INLINE:
-            if not ending and name != "img" and attributes and _marks(attributes):
+            named = _marks(attributes) if not ending and name != "img" and attributes else None
+            if named:
                 close()
-                stack.append((name, True, stack[-1][2] if stack else False))
+                boiler, article, suspect = stack[-1][1:] if stack else (False, False, -1)
+                suspects.append(Suspect(suspect, article, named <= READERS))
+                stack.append((name, boiler, article, len(suspects) - 1))
             elif ending and stack and stack[-1][0] == name:
                 close()
                 stack.pop()
@@ -148,23 +190,70 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
                     break
             anchors = 0 if not stack else anchors
             continue
-        boiler, article = stack[-1][1:] if stack else (False, False)
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()  # an open paragraph ends where the next begins
-            boiler, article = stack[-1][1:] if stack else (False, False)
+        boiler, article, suspect = stack[-1][1:] if stack else (False, False, -1)
+        outer, named = article, frozenset()
         article = article or name in ARTICLE
         marked = marked or name in ARTICLE
-        if name in BOILER_TAGS or (name == "header" and not article):
-            boiler = True
-        elif name not in ("html", "body") and attributes and _marks(attributes):
+        if name in ARTICLE:
+            doubtful = readers = name == "article" and bool(attributes) and _is_comment(attributes)
+        else:
+            if name not in ("html", "body") and attributes:
+                named = _marks(attributes)
+            doubtful = bool(named) or name in SUSPECT_TAGS or (name == "header" and not article)
+            readers = bool(named) and named <= READERS
+        if name in BOILER_TAGS:
             boiler = True
-        stack.append((name, boiler, article))
+        elif doubtful:
+            suspects.append(Suspect(suspect, outer, readers))
+            suspect = len(suspects) - 1
+        stack.append((name, boiler, article, suspect))
         heading = name in HEADINGS
     add(page[at:])
     close()
+    _resolve(out, suspects, marked)
     return out, marked
 
 
+def _resolve(blocks: list[Block], suspects: list[Suspect], marked: bool) -> None:
+    """Settle which suspects are boilerplate, and mark the blocks in them."""
+    if not suspects:
+        return
+    judge = not marked or any(s.article for s in suspects)
+    text = dense = 0
+    for block in blocks:
+        if block.boiler or (marked and not block.article):
+            continue
+        size = len(block.text) - block.linked
+        thick = size if judge and is_dense(block) else 0
+        text, dense = text + size, dense + thick
+        if block.suspect >= 0:
+            suspects[block.suspect].text += size
+            suspects[block.suspect].dense += thick
+    for suspect in reversed(suspects):  # a container stands before those in it
+        if suspect.parent >= 0:
+            suspects[suspect.parent].text += suspect.text
+            suspects[suspect.parent].dense += suspect.dense
+    for suspect in suspects:
+        around = marked and not suspect.article  # of the article, if anything of it
+        held, whole = (suspect.text, text) if around else (suspect.dense, dense)
+        most = held == whole > 0 if suspect.readers else 2 * held > whole
+        most = most and 2 * suspect.text > text
+        suspect.boiler = not most or (suspect.parent >= 0 and suspects[suspect.parent].boiler)
+    for block in blocks:
+        block.boiler = block.boiler or (block.suspect >= 0 and suspects[block.suspect].boiler)
+
+
+def is_dense(block: Block) -> bool:
+    """Whether a block is text by its length, its stop words and its links."""
+    if len(block.text) < SHORT or block.linked > LINKS * len(block.text):
+        return False
+    words = block.text.lower().split()
+    dense = sum(w.strip(".,;:!?()\"'") in STOP for w in words) / len(words)
+    return dense >= DENSE or (len(block.text) >= LONG and (dense >= SOME or not block.linked))
+
+
 def judged(block: Block, marked: bool) -> bool | None:
     """First pass: text, boilerplate, or open."""
     share = block.linked / len(block.text)
@@ -172,17 +261,9 @@ def judged(block: Block, marked: bool) -> bool | None:
         return False
     if marked:
         return block.article and not (share > LINKS and not block.heading and len(block.text) < LONG)
-    if share > LINKS or (len(block.text) < LONG and LEGAL.search(block.text)):
+    if share > LINKS or (len(block.text) < LONG and LEGAL.match(block.text)):
         return False
-    if block.heading:
-        return None
-    if len(block.text) < SHORT:
-        return None if not block.linked else False
-    words = block.text.lower().split()
-    dense = sum(w.strip(".,;:!?()\"'") in STOP for w in words) / len(words)
-    if dense >= DENSE or (len(block.text) >= LONG and (dense >= SOME or not block.linked)):
-        return True
-    return None
+    return True if not block.heading and is_dense(block) else None
 
 
 def inherited(labels: list[bool | None], headings: list[bool]) -> list[bool]:

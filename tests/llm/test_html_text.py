@@ -40,6 +40,47 @@ def test_page_without_article():
     assert html_text.main_text(page) == f"On rivers {text} A short line. {text}"
 
 
+TEXT = LONG.strip()
+NAV = "<ul><li><a href=/>Home</a><li><a href=/n>News</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout with-sidebar'><article><p>{LONG}</p></article><div class=sidebar>{LONG}</div></div>",
+        f"<article class='post comments-open'><p>{LONG}</p></article>",
+        f"<main class='no-sidebar'><p>{LONG}</p></main><footer>{LONG}</footer>",
+        f"<form id=aspnetForm><div class=nav>x</div><article><p>{LONG}</p></article></form>",
+        f"<form><main><div class='post social'><p>{LONG}</p></div><form>Your name<input></form></main></form>",
+        f"<div class='search page'>{NAV}<p>{LONG}</p><div class=comments><p>I like the rivers.</p></div></div>",
+        f"<div class=pageHasBanner>{NAV}<p>{LONG}</p></div>",
+        f"<article><p>{LONG}</p></article><section class=comments><article class=comment>{LONG * 3}</article></section>",
+        f"<article><p>{LONG}</p><article class=comment><p>{LONG * 3}</p></article></article>",
+        f"{NAV}<p>{LONG}</p><div class=comments><p>{LONG * 3}</p></div>",
+        f"{NAV}<p>{LONG}</p><div class=cookie-notice><p>We and others use the cookies that you have to accept on this "
+        "page, and it is for the good of all.</p></div>",
+    ],
+)
+def test_names_of_layouts_do_not_drop_the_page(page):
+    assert html_text.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Copyright law protects the work of authors in most of the states that have signed it.",
+     "See <a href=/r>rivers</a> for what they are.", "(c) The third of the points that we make.",
+     "The copyright was sold."],
+)
+def test_short_paragraphs_with_a_link_or_the_word_copyright(line):
+    want = re.sub("<[^>]+>", "", line)
+    assert html_text.main_text(f"{NAV}<p>{LONG}</p><p>{line}</p><p>{LONG}</p>{NAV}") == f"{TEXT} {want} {TEXT}"
+
+
+@pytest.mark.parametrize("line", ["© 2020 Them", "Copyright (c) 2019 by them", "(c) 2011 Us", "Them. All rights reserved."])
+def test_copyright_lines(line):
+    assert html_text.main_text(f"{NAV}<p>{LONG}</p><p>{line}</p>") == TEXT
+
+
 def test_second_pass():
     t, f, n = True, False, None
     assert html_text.inherited([n, t, n, n, f, n], [False] * 6) == [t, t, t, f, f, f]
