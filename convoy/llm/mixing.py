@@ -67,28 +67,20 @@ def targets(sources: DataFrame, share: float, epochs: float, weights: Sequence[f
     )
 
 
-def mix(
-    docs: DataFrame,
-    share: float = 1.5,
-    epochs: float = 2.0,
-    weights: Sequence[float] = WEIGHTS,
-    seed: str = "mix",
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    source_column: str = "source",
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, repeats, taken.
-
-    ``repeats`` is how often the document stands in the mix, never above ``epochs`` rounded up.
-    """
+def _sized(docs: DataFrame, seed: str, id_column: str, text_column: str, source_column: str, *more: Column) -> DataFrame:
+    """doc_id, source, size, draw and bin of every document, and ``more`` columns."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
         n_words(text_or_empty(text_column)).alias("size"),
+        *more,
     ).withColumn("draw", key)
-    sized = stored(sized.withColumn("bin", F.substring("draw", 1, BIN_DIGITS)), "mix-sizes")
+    return sized.withColumn("bin", F.substring("draw", 1, BIN_DIGITS))
+
 
+def _plan(sized: DataFrame, share: float, epochs: float, weights: Sequence[float]) -> DataFrame:
+    """For every bin of a source what the source takes, and how many words stand before the bin."""
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     sources = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, epochs, weights)
     whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
@@ -97,19 +89,21 @@ def mix(
     )
     before = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size")
     same_source = F.col("b.source").eqNullSafe(F.col("s.source"))
-    plan = (
+    return (
         bins.withColumn("before", before)
         .alias("b")
         .join(sources.alias("s"), same_source)
         .select("b.source", "bin", "bin_size", "before", "source_size", "target", "whole", "rest")
     )
+
+
+def _drawn(sized: DataFrame, plan: DataFrame, out: Sequence[str]) -> DataFrame:
+    """Columns ``out`` of the rows of ``sized`` and of their plan, one of them ``repeats``."""
     same_bin = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bin") == F.col("p.bin"))
-    placed = sized.alias("d").join(plan.alias("p"), same_bin).select(
-        "doc_id", "d.source", "size", "draw", "d.bin", "bin_size", "before", "source_size", "target", "whole", "rest"
-    )
+    planned = ["bin_size", "before", "source_size", "target", "whole", "rest"]
+    placed = sized.alias("d").join(plan.alias("p"), same_bin).select("d.*", *[f"p.{c}" for c in planned])
     inside = F.col("before") + F.col("bin_size") <= F.col("rest")
     outside = F.col("before") >= F.col("rest")
-    out = ["doc_id", "source", "size", "source_size", "target", "repeats"]
     settled = placed.where(inside | outside).withColumn("repeats", F.col("whole") + inside.cast("long"))
     # The bin in which the rest runs out: the document that crosses it is taken if that ends nearer.
     in_bin = Window.partitionBy("source", "bin").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,5 +113,47 @@ def mix(
         .withColumn("drawn", drawn)
         .withColumn("repeats", F.col("whole") + (F.col("drawn") + F.col("size") / 2 <= F.col("rest")).cast("long"))
     )
-    both = settled.select(out).unionByName(edge.select(out))
+    return settled.select(*out).unionByName(edge.select(*out))
+
+
+def mix(
+    docs: DataFrame,
+    share: float = 1.5,
+    epochs: float = 2.0,
+    weights: Sequence[float] = WEIGHTS,
+    seed: str = "mix",
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, repeats, taken.
+
+    ``repeats`` is how often the document stands in the mix, never above ``epochs`` rounded up.
+    """
+    sized = stored(_sized(docs, seed, id_column, text_column, source_column), "mix-sizes")
+    out = ["doc_id", "source", "size", "source_size", "target", "repeats"]
+    both = _drawn(sized, _plan(sized, share, epochs, weights), out)
     return both.withColumn("taken", F.col("repeats") * F.col("size"))
+
+
+def mixed(
+    docs: DataFrame,
+    share: float = 1.5,
+    epochs: float = 2.0,
+    weights: Sequence[float] = WEIGHTS,
+    seed: str = "mix",
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it.
+
+    A row's repeats are worked out on the row itself and never looked up by its id, which other
+    rows may share. ``docs`` must read the same each time, as a written table does.
+    """
+    named = (seed, id_column, text_column, source_column)
+    plan = stored(_plan(_sized(docs, *named), share, epochs, weights), "mix-plan")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = _drawn(_sized(docs, *named, row), plan, ["row", "repeats"]).where("repeats > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))
+    return taken.select("row", copies.alias("copy")).select("row.*")

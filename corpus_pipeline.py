@@ -8,7 +8,6 @@ Parquet to the shared folder and reads it again for the next, so a lost executor
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from convoy.llm import exact_dedup, jaccard_join, mixing, quality
 from convoy.llm.common import stored, table
@@ -33,9 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mix(docs).where("repeats > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_n"))
-    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns)
+    return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

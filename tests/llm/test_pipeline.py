@@ -8,7 +8,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from convoy.llm import quality
+from convoy.llm import mixing, quality
 from convoy.llm.common import stored
 from convoy.llm.queries import vocabulary
 from tests.llm.test_jaccard_join import brute
@@ -67,3 +67,34 @@ def test_no_documents(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_null_and_repeated_ids(spark, sf):
+    """Rows that share an id are kept and drawn one by one, whatever their source."""
+    said = [f"{i} " + " ".join(f"w{i}x{j}" for j in range(5 + i % 40)) for i in range(120)]
+    rows = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else i, said[i], "abc"[i % 4 % 3], i) for i in range(120)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, source string, place long"), "odd-ids")
+    mixed = mixing.mix(docs).collect()
+    got = corpus_pipeline.mix_sources(spark, docs, sf)
+    assert got.columns == docs.columns
+    times = Counter(r.place for r in got.collect())
+    # Which of two rows equal in id, source and size is drawn is open; how many are is not.
+    own, want = Counter(), Counter()
+    for doc_id, text, source, place in rows:
+        own[doc_id, source, len(text.split()), times[place]] += 1
+    for r in mixed:
+        want[r.doc_id, r.source, r.size, r.repeats] += 1
+    assert own == want
+    for source in "abc":
+        taken = sum(times[place] * len(text.split()) for _, text, of, place in rows if of == source)
+        target = next(r.target for r in mixed if r.source == source)
+        assert abs(taken - target) <= 45
+
+    near = " ".join(f"n{j}" for j in range(80))
+    rows = [(1, near, 0), (1, near, 1), (2, near + " end", 2), (None, said[50], 3), (None, said[50], 4), (1, said[60], 5),
+            (3, "short", 6), (3, "short", 7), (None, said[70], 8)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, place long"), "odd-ids")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(
+        [(1, near), (0, said[50]), (1, said[60]), (3, "short"), (0, said[70])]
+    )
