@@ -56,7 +56,99 @@ select doc_id, source, size, source_size, target,
 from drawn
 """
 
+OP12 = r"""
+with d as (
+    select row_number() over () as row, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+),
+b as (
+    select item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+),
+windows as (
+    select distinct item_id, array_to_string(w[i:least(i + 9, len(w))], ' ') as t, least(len(w), 10) as n
+    from (select *, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)
+),
+places as (
+    select row, i, n, array_to_string(w[i:i + n - 1], ' ') as t
+    from (select *, unnest(generate_series(1, len(w) - n + 1)) as i from d, (select distinct n from windows) where len(w) >= n)
+),
+found as (select p.row, p.i, p.n, q.item_id from places p join windows q on p.t = q.t and p.n = q.n),
+words as (
+    select row, count(distinct place) as n_hit
+    from (select row, unnest(generate_series(i, i + n - 1)) as place from (select distinct row, i, n from found))
+    group by row
+),
+items as (
+    select row, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct row, item_id, item_id::varchar as id from found) group by row
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (row) left join items using (row)
+"""
+
+OP13 = r"""
+with recursive turns as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as seq
+    from conversations where conv_id is not null
+),
+-- CRC-32 of the decimal id, bit by bit.
+crc as (
+    select conv_id, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(generate_series(1, len(conv_id::varchar)),
+            lambda i: ord(substr(conv_id::varchar, i::int, 1))::bigint)),
+        lambda c, x: list_reduce(
+            [xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+            lambda v, z: xor(v >> 1, (v & 1) * 3988292384::bigint))) as c
+    from (select distinct conv_id from turns)
+),
+heads as (select conv_id, conv_id - conv_id % 100 as base, xor(c, 4294967295::bigint) % 6 as h from crc),
+rebuilt as (
+    select h.conv_id, t.seq as place, t.role, t.text from heads h join turns t on t.conv_id = h.base and t.seq < h.h
+    union all
+    select h.conv_id, t.seq + 10, t.role, t.text from heads h join turns t on t.conv_id = h.conv_id and t.seq >= h.h
+),
+prefixes as (
+    select conv_id, length(text) as chars, row_number() over w as depth,
+        sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '|') over w) as node
+    from rebuilt window w as (partition by conv_id order by place)
+    union all
+    select conv_id, 0, 0, '' from heads
+),
+lengths as (select conv_id, max(depth) as n from prefixes group by conv_id),
+nodes as (
+    select node, depth, min(conv_id) as conv_id, count(*) as n_convs, max(chars) as chars,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = n), '')) as ends_sha256
+    from prefixes join lengths using (conv_id) group by node, depth
+),
+links as (
+    select distinct a.node, b.node as parent
+    from prefixes a join prefixes b on a.conv_id = b.conv_id and a.depth = b.depth + 1
+),
+below as (
+    select distinct a.node as top, b.node
+    from prefixes a join prefixes b on a.conv_id = b.conv_id and a.depth <= b.depth
+),
+children as (select parent as node, count(*) as n_children from links group by parent),
+sums as (
+    select top as node, count_if(n_children is null) as n_leaves, sum((n_convs - 1) * chars)::bigint as saved_tokens
+    from below join nodes using (node) left join children using (node) group by top
+)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children,
+    n_leaves, saved_tokens, n.ends_sha256
+from nodes n join sums using (node) left join children using (node) left join links using (node)
+left join nodes p on p.node = links.parent
+"""
+
 ORACLES = {
     "op8_exact_dedup": OP8,
     "op10_mixing": OP10,
+    "op12_decontaminate": OP12,
+    "op13_prefix_trie": OP13,
 }
