@@ -7,15 +7,17 @@ ordered by cap per weight.
 
 A source's target is then met by whole and fractional repetitions: every document is repeated
 ``floor(target / size of the source)`` times, and documents drawn in a seeded order are repeated
-once more until their words fill the rest. The order is the MD5 of seed and ``doc_id``. Its leading
-hexadecimal digits cut a source into 4,096 bins whose totals are summed before any shuffle; only
-the one bin in which the rest runs out is ordered by document, so a source that holds a third of
-all rows is never sorted as a whole.
+once more until their words fill the rest. The order is the MD5 of seed and ``doc_id``, then a hash
+of the row. Its leading hexadecimal digits cut a source into 4,096 bins whose totals are summed
+before any shuffle; in the one bin in which the rest runs out, hashes and sizes alone are ordered to
+find the last document that is taken. That leaves one row per source, and documents are compared
+with it where they are: they are never moved, and a source that holds a third of them is not sorted.
 
 Defined cases. Null text has size 0. A null source is a source of its own, after all others. Rows
-that repeat ``doc_id`` are drawn one by one. Documents of size 0 take nothing; if all have size 0,
-all targets are 0. An empty table gives no rows. Columns of the input other than the three named
-are not looked at.
+without an id are drawn by the hash of the row; rows that repeat ``doc_id`` one by one, and rows
+that agree in id, source and text as one, together taken or not. Documents of size 0 take nothing;
+if all have size 0, all targets are 0. An empty table gives no rows. Columns of the input other
+than the three named are not looked at.
 """
 
 from __future__ import annotations
@@ -67,53 +69,73 @@ def targets(sources: DataFrame, share: float, epochs: float, weights: Sequence[f
     )
 
 
-def _sized(docs: DataFrame, seed: str, id_column: str, text_column: str, source_column: str, *more: Column) -> DataFrame:
-    """doc_id, source, size, draw and bin of every document, and ``more`` columns."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select(
+def _keys(seed: str, id_column: str, text_column: str, source_column: str) -> dict[str, Column]:
+    """Where a document stands in its source's order: source, draw, tie, and the bin of the draw."""
+    doc_id = F.col(id_column).cast("string")
+    tie = F.xxhash64(doc_id, text_or_empty(text_column), F.col(source_column).cast("string"))
+    named = F.coalesce(doc_id, F.concat(F.lit("null:"), tie.cast("string")))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), named).cast("binary"))
+    return {"source": F.col(source_column).cast("string"), "draw": draw, "tie": tie}
+
+
+def _sized(docs: DataFrame, id_column: str, text_column: str, keys: dict[str, Column]) -> DataFrame:
+    return docs.select(
         F.col(id_column).alias("doc_id"),
-        F.col(source_column).cast("string").alias("source"),
         n_words(text_or_empty(text_column)).alias("size"),
-        *more,
-    ).withColumn("draw", key)
-    return sized.withColumn("bin", F.substring("draw", 1, BIN_DIGITS))
+        *[c.alias(n) for n, c in keys.items()],
+    )
 
 
 def _plan(sized: DataFrame, share: float, epochs: float, weights: Sequence[float]) -> DataFrame:
-    """For every bin of a source what the source takes, and how many words stand before the bin."""
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    """One row per source: source_size, target, whole, the bin where the rest runs out (``edge``), and the
+    last document of that bin that is taken (``last``)."""
+    sized = sized.withColumn("bin", F.substring("draw", 1, BIN_DIGITS))
+    bins = stored(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     sources = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, epochs, weights)
     whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
     sources = sources.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long")).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
     before = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size")
-    same_source = F.col("b.source").eqNullSafe(F.col("s.source"))
-    return (
-        bins.withColumn("before", before)
-        .alias("b")
-        .join(sources.alias("s"), same_source)
-        .select("b.source", "bin", "bin_size", "before", "source_size", "target", "whole", "rest")
+    placed = bins.withColumn("before", before).alias("b").join(sources.alias("s"), _same("b", "s"))
+    beyond = F.col("before") + F.col("bin_size") > F.col("rest")
+    ends = stored(
+        placed.groupBy("s.source", "source_size", "target", "whole", "rest").agg(
+            F.min(F.when(beyond, F.col("bin"))).alias("edge"), F.min(F.when(beyond, F.col("before"))).alias("before")
+        ),
+        "mix-edges",
     )
-
-
-def _drawn(sized: DataFrame, plan: DataFrame, out: Sequence[str]) -> DataFrame:
-    """Columns ``out`` of the rows of ``sized`` and of their plan, one of them ``repeats``."""
-    same_bin = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bin") == F.col("p.bin"))
-    planned = ["bin_size", "before", "source_size", "target", "whole", "rest"]
-    placed = sized.alias("d").join(plan.alias("p"), same_bin).select("d.*", *[f"p.{c}" for c in planned])
-    inside = F.col("before") + F.col("bin_size") <= F.col("rest")
-    outside = F.col("before") >= F.col("rest")
-    settled = placed.where(inside | outside).withColumn("repeats", F.col("whole") + inside.cast("long"))
-    # The bin in which the rest runs out: the document that crosses it is taken if that ends nearer.
-    in_bin = Window.partitionBy("source", "bin").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = F.col("before") + F.coalesce(F.sum("size").over(in_bin), F.lit(0))
-    edge = (
-        placed.where(~(inside | outside))
+    # Only hashes and sizes of the bins in which the rests run out are put in order.
+    in_edge = (
+        sized.alias("d")
+        .join(ends.alias("e"), _same("d", "e") & (F.col("d.bin") == F.col("e.edge")))
+        .groupBy("e.source", "rest", "before", "draw", "tie")
+        .agg(F.sum("size").alias("size"))
+    )
+    so_far = Window.partitionBy("source").orderBy("draw", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = F.col("before") + F.coalesce(F.sum("size").over(so_far), F.lit(0))
+    last = (
+        in_edge.where(F.col("before") <= F.col("rest"))
         .withColumn("drawn", drawn)
-        .withColumn("repeats", F.col("whole") + (F.col("drawn") + F.col("size") / 2 <= F.col("rest")).cast("long"))
+        # The document that crosses the rest is taken if that ends nearer.
+        .where(F.col("drawn") + F.col("size") / 2 <= F.col("rest"))
+        .groupBy("source")
+        .agg(F.max(F.struct("draw", "tie")).alias("last"))
     )
-    return settled.select(*out).unionByName(edge.select(*out))
+    plan = ends.alias("e").join(last.alias("l"), _same("e", "l"), "left")
+    return stored(plan.select("e.source", "source_size", "target", "whole", "edge", "last"), "mix-plan")
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
+def _repeats() -> Column:
+    """How often a document ``d`` stands in the mix by its source's plan ``p``."""
+    edge, last = F.col("p.edge"), F.col("p.last")
+    early = F.substring("d.draw", 1, BIN_DIGITS) < edge
+    taken = early | F.coalesce(F.struct("d.draw", "d.tie") <= last, F.lit(False))
+    return F.col("p.whole") + F.when(edge.isNull(), 1).when(taken, 1).otherwise(0)
 
 
 def mix(
@@ -130,9 +152,10 @@ def mix(
 
     ``repeats`` is how often the document stands in the mix, never above ``epochs`` rounded up.
     """
-    sized = stored(_sized(docs, seed, id_column, text_column, source_column), "mix-sizes")
-    out = ["doc_id", "source", "size", "source_size", "target", "repeats"]
-    both = _drawn(sized, _plan(sized, share, epochs, weights), out)
+    sized = stored(_sized(docs, id_column, text_column, _keys(seed, id_column, text_column, source_column)), "mix-sizes")
+    plan = _plan(sized, share, epochs, weights)
+    placed = sized.alias("d").join(plan.alias("p"), _same("d", "p"))
+    both = placed.select("doc_id", "d.source", "size", "source_size", "target", _repeats().alias("repeats"))
     return both.withColumn("taken", F.col("repeats") * F.col("size"))
 
 
@@ -151,9 +174,10 @@ def mixed(
     A row's repeats are worked out on the row itself and never looked up by its id, which other
     rows may share. ``docs`` must read the same each time, as a written table does.
     """
-    named = (seed, id_column, text_column, source_column)
-    plan = stored(_plan(_sized(docs, *named), share, epochs, weights), "mix-plan")
+    keys = _keys(seed, id_column, text_column, source_column)
+    plan = _plan(stored(_sized(docs, id_column, text_column, keys), "mix-sizes"), share, epochs, weights)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    taken = _drawn(_sized(docs, *named, row), plan, ["row", "repeats"]).where("repeats > 0")
+    placed = docs.select(row, *[c.alias(n) for n, c in keys.items()]).alias("d").join(plan.alias("p"), _same("d", "p"))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))
+    taken = placed.select("row", _repeats().alias("repeats")).where("repeats > 0")
     return taken.select("row", copies.alias("copy")).select("row.*")

@@ -64,3 +64,18 @@ def test_odd_rows(odd, none):
 def test_all_empty(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix(df).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_no_ids_and_repeated_rows(spark):
+    """Rows without an id, rows that share one and repeated rows give the same mix in any layout."""
+    rows = [(None, f"{'w ' * (i % 7)}{i}", "ab"[i % 2]) for i in range(600)]
+    rows += [(7, f"{'v ' * (i % 5)}{i}", "a") for i in range(200)] + [(8, "x y z", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clashing = df.selectExpr("*", "1 as draw", "2 as tie", "3 as size", "4 as edge", "5 as last", "6 as whole", "7 as row")
+    first = sorted(map(tuple, mixing.mixed(clashing.repartition(3)).collect()), key=repr)
+    again = sorted(map(tuple, mixing.mixed(clashing.repartition(7, "text")).collect()), key=repr)
+    assert first == again and len(first) > 0
+    taken = [len(r[1].split()) for r in first]
+    words = sum(len(r[1].split()) for r in rows)
+    assert abs(sum(taken) - 1.5 * words) <= 2 * max(len(r[1].split()) for r in rows) * 3
+    assert sum(r[0] is None for r in first) > 0
