@@ -32,6 +32,8 @@ LAST = (1 << 63) - 1
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW32 = np.uint64(0xFFFFFFFF)
+# Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 # One random odd code for every byte value, the same on all machines.
 BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -79,27 +81,32 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def word_tokens(flat: np.ndarray, offsets: np.ndarray, size: int = 1) -> Tokens:
     """Words between ASCII white space; the text holds them with one space after each."""
-    space = np.ones(len(flat) + 2, dtype=bool)
-    space[1:-1] = _IS_SPACE[flat]
-    starts = np.flatnonzero(space[:-2] & ~space[1:-1])
-    # A row's end ends its last word even if the next row goes on without a space.
-    inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(flat))]
-    inner = inner[~space[inner] & ~space[inner + 1]]
-    starts = np.union1d(starts, inner)
-    stops = np.flatnonzero(~space[1:-1] & space[2:]) + 1
-    stops = np.union1d(stops, inner)
-    lengths = stops - starts
-    ends = np.cumsum(lengths + 1)
-    begins = ends - lengths - 1
-    text = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-    letters = np.repeat(starts - begins, lengths) + _spread(begins, lengths)
-    text[_spread(begins, lengths)] = flat[letters]
-    # A word's code: its bytes as a polynomial, by sums over the flat text.
-    codes = word_codes(text, begins, lengths)
+    # A space after every row ends its last word.
+    flat = np.insert(flat, offsets[1:], np.uint8(0x20)) if len(offsets) > 1 else flat
+    offsets = offsets + np.arange(len(offsets))
+    space = _IS_SPACE[flat]
+    after_word = np.append(False, ~space[:-1]) if len(flat) else space
+    starts = np.flatnonzero(~space & ~after_word)
+    text = np.where(space, np.uint8(0x20), flat)[~space | after_word]
+    ends = np.flatnonzero(text == 0x20) + 1
+    begins = np.append(0, ends[:-1]) if len(ends) else ends
     rows = np.searchsorted(starts, offsets)
+    codes = WordCodes(text, begins, ends - begins - 1)
     return Tokens(text, rows, lambda a, b: codes[a:b], lambda t: begins[t], lambda t: ends[t] - 1, 1, codes, 1)
 
 
+class WordCodes:
+    """The words' codes, worked out when the first one is asked for."""
+
+    def __init__(self, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
+        self.words, self.codes = (text, begins, lengths), None
+
+    def __getitem__(self, which: slice | np.ndarray) -> np.ndarray:
+        if self.codes is None:
+            self.codes = word_codes(*self.words)
+        return self.codes[which]
+
+
 def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers begin, begin + 1, ... of every run."""
     total = int(lengths.sum())
@@ -110,14 +117,18 @@ def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def word_codes(text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit code per word: Horner's rule over all words of the same length at once."""
-    out = np.zeros(len(begins), np.uint64)
-    left = np.arange(len(begins))
-    step = 0
+    """A 64-bit code per word: Horner's rule over its runs of eight bytes, for all words at once."""
+    padded = np.append(text, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    out = lengths.astype(np.uint64) * _MUL
+    left, done = np.arange(len(begins)), 0
     while len(left):
-        left = left[lengths[left] > step]
-        out[left] = (out[left] * _MUL + BYTE_CODES[text[begins[left] + step]]) ^ (out[left] >> np.uint64(32))
-        step += 1
+        rest = np.minimum(lengths[left] - done, 8)
+        run = eight[begins[left] + done] & _FIRST_BYTES[rest]
+        mixed = (out[left] ^ run) * _MIX
+        out[left] = (mixed ^ (mixed >> np.uint64(31))) * _MUL
+        done += 8
+        left = left[lengths[left] > done]
     return (out ^ (out >> np.uint64(29))) * _MIX
 
 
