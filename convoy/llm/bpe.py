@@ -203,21 +203,32 @@ def _replaced(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [values], names=[*names, column])
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(batches: Batches, encoder: Encoder, text_column: str, ids_column: str) -> Batches:
+    for whole in batches:
+        for batch in slices(whole, text_column, 1 << 20):
+            texts = batch.column(text_column).cast(pa.binary())
+            ids = [encoder.encode((t.as_py() or b"").decode("utf-8", "replace")) for t in texts]
+            offsets = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum([len(i) for i in ids], out=offsets[1:])
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            yield _replaced(batch, ids_column, values)
+
+
+def _decoded(batches: Batches, words: dict[int, bytes], ids_column: str, bytes_column: str) -> Batches:
+    for batch in batches:
+        rows = (None if i is None else b"".join(map(words.__getitem__, i)) for i in _lists(batch, ids_column))
+        yield _replaced(batch, bytes_column, pa.array(rows, pa.binary()))
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """``df`` with the token ids of its texts."""
-
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared.value)
-        for whole in batches:
-            for batch in slices(whole, text_column, 1 << 20):
-                texts = batch.column(text_column).cast(pa.binary())
-                ids = [encoder.encode((t.as_py() or b"").decode("utf-8", "replace")) for t in texts]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(i) for i in ids], out=offsets[1:])
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield _replaced(batch, ids_column, values)
+    def run(batches: Batches) -> Batches:
+        yield from _encoded(batches, worker_encoder(shared.value), text_column, ids_column)
 
     return in_arrow(df, run, _with(df, ids_column, T.ArrayType(T.IntegerType())))
 
@@ -226,15 +237,28 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids", bytes
     """``df`` with the bytes that its token ids stand for."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary.words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        for batch in batches:
-            rows = (None if i is None else b"".join(map(words.__getitem__, i)) for i in _lists(batch, ids_column))
-            yield _replaced(batch, bytes_column, pa.array(rows, pa.binary()))
+    def run(batches: Batches) -> Batches:
+        yield from _decoded(batches, shared.value, ids_column, bytes_column)
 
     return in_arrow(df, run, _with(df, bytes_column, T.BinaryType()))
 
 
+def encode_decode(
+    df: DataFrame, vocabulary: Vocabulary, text_column: str = "text", ids_column: str = "ids", bytes_column: str = "decoded"
+) -> DataFrame:
+    """``decode(encode(df))`` in one pass: a task needs one Python worker with one vocabulary instead of two."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Batches) -> Batches:
+        encoder = worker_encoder(shared.value)
+        encoded = _encoded(batches, encoder, text_column, ids_column)
+        yield from _decoded(encoded, encoder.vocabulary.words, ids_column, bytes_column)
+
+    with_ids = _with(df, ids_column, T.ArrayType(T.IntegerType()))
+    fields = [f for f in with_ids if f.name != bytes_column]
+    return in_arrow(df, run, T.StructType([*fields, T.StructField(bytes_column, T.BinaryType())]))
+
+
 def _lists(batch: pa.RecordBatch, column: str) -> Iterator[list[int] | None]:
     for value in batch.column(column):
         yield value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else None

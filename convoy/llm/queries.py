@@ -37,7 +37,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """``docs`` encoded and decoded: ids and bytes, with their number and digests."""
     words = vocabulary()
     return (
-        bpe.decode(bpe.encode(docs, words), words)
+        bpe.encode_decode(docs, words)
         .withColumn("n_tokens", F.size("ids").cast("long"))
         .withColumn("ids_sha256", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256))
         .withColumn("decoded_sha256", F.sha2("decoded", 256))

@@ -64,3 +64,12 @@ def test_query(spark, sf, texts, known):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_one_pass(spark, odd):
+    both = bpe.decode(bpe.encode(odd, vocabulary()), vocabulary())
+    once = bpe.encode_decode(odd, vocabulary())
+    assert once.dtypes == both.dtypes
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, both.collect()), key=repr)
+    clashing = odd.withColumnRenamed("source", "decoded").withColumnRenamed("size", "ids")
+    assert bpe.encode_decode(clashing, vocabulary()).columns == ["doc_id", "text", "ids", "decoded"]
