@@ -9,6 +9,7 @@ from convoy.functions import coerce
 from convoy.functions import policy as rules
 from convoy.operators import scan
 from convoy.operators.breaker import ORDER
+from convoy.settings import PolicySettings
 
 MAX_LISTED = 50
 
@@ -114,6 +115,51 @@ def episodes(timeline: DataFrame, actions: DataFrame | None = None) -> DataFrame
     return table if actions is None else _acknowledged(table, actions)
 
 
+# A version of an episode row, and what orders the versions of one episode.
+EPISODE_ROW = (
+    "incident_id string, vehicle_id string, severity string, route string, reasons array<string>, rolling_rate double, "
+    "batch_count bigint, streak bigint, drift_count bigint, status string, first_trip timestamp, last_trip timestamp, "
+    "resolved_at timestamp, resolve_reason string, retrip_count bigint, open boolean, summary string, "
+    "event_time timestamp, kind int, ref string"
+)
+
+
+def versions(states: DataFrame, policy: PolicySettings = PolicySettings()) -> DataFrame:
+    """One whole episode row per trip and recovery, as the episode stands after it.
+
+    ``states`` comes from the streaming breaker, whose transitions carry their episode. The decision of
+    an episode is that of its last trip, worked out by the same expressions as everywhere.
+    """
+    changes = states.where(F.col("tripped") | F.col("recovered"))
+    at = [F.col(c).alias(f"_{c}") for c in ORDER]
+    last = changes.select(
+        "vehicle_id",
+        *at,
+        "recovered",
+        F.timestamp_micros("episode_first_us").alias("first_trip"),
+        F.timestamp_micros("episode_last_us").alias("event_time"),
+        F.col("episode_retrips").alias("retrip_count"),
+        F.col("last_rate").alias("rolling_rate"),
+        F.col("last_batches").alias("batch_count"),
+        F.col("last_streak").alias("streak"),
+        F.col("last_drift").alias("drift_count"),
+    )
+    closed = F.col("recovered")
+    return rules.decide(last, policy).select(
+        incident_id(F.col("vehicle_id"), F.col("first_trip")).alias("incident_id"),
+        "vehicle_id", "severity", "route", "reasons", "rolling_rate", "batch_count", "streak", "drift_count",
+        F.when(closed, "resolved").otherwise("open").alias("status"),
+        "first_trip",
+        F.col("event_time").alias("last_trip"),
+        F.when(closed, F.col("_event_time")).alias("resolved_at"),
+        F.when(closed, "breaker_recovered").alias("resolve_reason"),
+        "retrip_count",
+        (~closed).alias("open"),
+        rules.incident_summary(F.col("vehicle_id"), F.col("reasons"), F.col("retrip_count")).alias("summary"),
+        *[F.col(f"_{c}").alias(c) for c in ORDER],
+    )
+
+
 def _acknowledged(table: DataFrame, actions: DataFrame) -> DataFrame:
     """Apply acknowledgements; a retrip after one puts the episode back to open.
 

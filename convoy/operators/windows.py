@@ -18,8 +18,8 @@ def quarantine_rate(total: Column, quarantined: Column) -> Column:
     return F.when(total > 0, quarantined / total).otherwise(0.0)
 
 
-def outcomes(gated: DataFrame) -> DataFrame:
-    """The narrow columns a count window needs from gated records."""
+def outcomes(gated: DataFrame, *keep: str) -> DataFrame:
+    """The narrow columns a count window needs from gated records, and the columns of ``keep``."""
     vehicle = F.when(F.col("vehicle_id") == "", "unknown").otherwise(
         F.coalesce("vehicle_id", F.lit("unknown"))
     )
@@ -28,6 +28,7 @@ def outcomes(gated: DataFrame) -> DataFrame:
         F.col("event_time"),
         coerce.record_key(gated).alias("event_id"),
         (F.col("route") == "quarantine").alias("bad"),
+        *keep,
     )
 
 

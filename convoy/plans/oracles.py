@@ -715,6 +715,8 @@ for _name, _moment in (("breaker_snapshot", "2024-01-31"), ("breaker_snapshot_mi
   qualify row_number() over (partition by vehicle_id order by n desc) = 1)""",
     )
 _o["incident_episodes"] = _sql("brk_ep", f"select {_EPISODE} from brk_ep")
+_o["stream_episodes"] = _o["incident_episodes"]
+_o["stream_breaker_snapshot"] = _o["breaker_snapshot"]
 _o["incident_actions"] = _sql(
     "act_ep",
     f"""select incident_id, vehicle_id, case when not open then 'resolved' when ack <> '' then 'acknowledged' else 'open' end as status,

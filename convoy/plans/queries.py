@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convoy import session, settings
 from convoy.functions import coerce
@@ -29,7 +30,7 @@ from convoy.operators import (
 )
 from convoy.operators import guarded_sql as sql_guard
 from convoy.operators import normalize as norm
-from convoy.sources import lake, messages, tables
+from convoy.sources import lake, message_log, messages, tables
 from convoy.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1088,30 +1089,81 @@ def stream_qa(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Records of the logs arrive up to so much later than they were sent; the watermark waits for them.
+LATENESS_SECONDS = 12 * 3600
+DELAY = "1 day"
+MICRO_BATCHES = 3
+
+
+def _to_log(rows: DataFrame, at: str, key: str, path: str) -> None:
+    """``rows`` as JSON messages sent at ``at``, in an order of arrival that is not that of sending."""
+    held = [
+        F.unix_micros(F.col(c).cast("timestamp")).alias(c) if t.startswith("timestamp") else F.col(c) for c, t in rows.dtypes
+    ]
+    late = F.pmod(F.xxhash64(key), F.lit(LATENESS_SECONDS * 1_000_000))
+    records = rows.select(
+        F.col(at).cast("timestamp").alias("sent_at"),
+        F.to_json(F.struct(*held)).alias("value"),
+        (F.unix_micros(F.col(at).cast("timestamp")) + late).alias("arrival"),
+        F.col(key).cast("string").alias("key"),
+    )
+    message_log.append(records, path, F.col("key"), ["arrival", "key"])
+
+
+def _clock_on(spark: SparkSession, path: str) -> None:
+    """A record without a value, sent long after all others: it only moves the watermark."""
+    late = F.lit("2100-01-01").cast("timestamp").alias("sent_at")
+    tick = spark.range(1).select(late, F.lit(None).cast("string").alias("value"), "id")
+    message_log.append(tick, path, F.col("id"), ["id"])
+
+
+def _from_log(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """The log's rows again, as a stream of several micro-batches with ``sent_at`` as its clock."""
+    per_trigger = -(-sum(message_log.ends(path).values()) // MICRO_BATCHES)
+    messages = message_log.stream(spark, path, max(1, per_trigger), f"{path}-progress").withWatermark("sent_at", DELAY)
+    as_sent = T.StructType(
+        [T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType) else f.dataType) for f in schema]
+    )
+    rows = messages.select("sent_at", F.from_json("value", as_sent).alias("m")).select("sent_at", "m.*")
+    instants = [f.name for f in schema if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType)]
+    return rows.withColumns({c: F.timestamp_micros(c) for c in instants})
+
+
 @query
 def stream_qa_window(spark: SparkSession, sf: str) -> DataFrame:
     stateful.use_state_store(spark)
     root = session.new_dir(spark, "stream-window")
-    rows = norm.accepted(norm.normalize(_raw_stream(spark, sf)))
-    jobs.drain(jobs.gate_stream(rows, F.col("event_ts"), root, os.path.join(root, "gate-checkpoint")))
-    # The gate checks the rules once; the windows read its narrow outcomes.
-    topic = os.path.join(root, "outcomes")
-    outcomes = spark.readStream.schema(spark.read.parquet(topic).schema).parquet(topic)
-    closed = stateful.count_windows(outcomes.drop(jobs.BATCH))
-    jobs.drain(jobs.table_stream(closed, os.path.join(root, "metrics"), os.path.join(root, "checkpoint")))
+    events, log = tables.table(spark, sf, "events"), os.path.join(root, "events")
+    _to_log(events, "ts", "event_id", log)
+    records = tables.telemetry_of(_from_log(spark, events.schema, log), ("sent_at",))
+    rows = contracts.gate(norm.accepted(norm.normalize(records)))
+    closed = stateful.count_windows(windows.outcomes(rows, "sent_at"), clock="sent_at")
+    metrics = jobs.table_stream(closed, os.path.join(root, "metrics"), os.path.join(root, "checkpoint"))
+    jobs.drain_log(metrics, lambda: _clock_on(spark, log))
     return _shown(spark.read.parquet(os.path.join(root, "metrics")), "window_end")
 
 
+def _breaker_stream(spark: SparkSession, sf: str, root: str, cfg: settings.BreakerSettings) -> tuple[DataFrame, Callable]:
+    """The breaker over two live logs, of closed windows and of drift reports, and what ends their wait."""
+    stateful.use_state_store(spark)
+    closed = closed_windows(spark, sf).withColumn("name", F.concat_ws("/", "vehicle_id", "window_no"))
+    reports = tables.drift_reports(spark, sf)
+    paths = [os.path.join(root, n) for n in ("qa_metrics", "reports")]
+    _to_log(closed, "window_end", "name", paths[0])
+    _to_log(reports, "event_time", "incident_id", paths[1])
+    states = stateful.correlate(
+        _from_log(spark, closed.schema, paths[0]).drop("window_end").withColumnRenamed("sent_at", "window_end"),
+        _from_log(spark, reports.schema, paths[1]).drop("event_time").withColumnRenamed("sent_at", "event_time"),
+        cfg=cfg,
+    )
+    return states, lambda: [_clock_on(spark, p) for p in paths]
+
+
 @query
 def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
-    stateful.use_state_store(spark)
     root = session.new_dir(spark, "stream-breaker")
-    source = os.path.join(root, "qa_metrics")
-    closed_windows(spark, sf).write.parquet(source)
-    metrics = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    reports = tables.drift_reports_of(_event_stream(spark, sf))
-    states = stateful.correlate(metrics, reports, cfg=SLOW_BREAKER)
-    jobs.drain(jobs.table_stream(states, os.path.join(root, "states"), os.path.join(root, "checkpoint")))
+    states, close = _breaker_stream(spark, sf, root, SLOW_BREAKER)
+    jobs.drain_log(jobs.table_stream(states, os.path.join(root, "states"), os.path.join(root, "checkpoint")), close)
     back = spark.read.parquet(os.path.join(root, "states"))
     return back.select(
         "vehicle_id", text_of("event_time").alias("event_time"), "ref", "prior_state", "state", "tripped",
@@ -1119,6 +1171,30 @@ def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def stream_breaker_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The breakers out of the stream's own state, after it has taken in all events."""
+    root = session.new_dir(spark, "stream-snapshot")
+    checkpoint = os.path.join(root, "checkpoint")
+    states, close = _breaker_stream(spark, sf, root, SLOW_BREAKER)
+    jobs.drain_log(jobs.table_stream(states, os.path.join(root, "states"), checkpoint), close)
+    live = stateful.live_breakers(spark, checkpoint, F.lit("2024-01-31").cast("timestamp"), SLOW_BREAKER)
+    return live.select(
+        "vehicle_id", "state", F.col("state_code").cast("long").alias("state_code"), "trip_count",
+        text_of("last_event").alias("last_event"),
+    )
+
+
+@query
+def stream_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes kept by upserts from the breaker's transitions."""
+    root = session.new_dir(spark, "stream-episodes")
+    states, close = _breaker_stream(spark, sf, root, settings.BreakerSettings())
+    out = os.path.join(root, "episodes")
+    jobs.drain_log(jobs.episode_stream(states, out, os.path.join(root, "checkpoint"), compact_every=3), close)
+    return _episode_rows(jobs.episodes_so_far(spark, out))
+
+
 @query
 def stream_lake(spark: SparkSession, sf: str) -> DataFrame:
     root = session.new_dir(spark, "stream-lake")

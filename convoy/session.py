@@ -16,10 +16,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    Where that is not set, a folder beside the warehouse's tables, which all executors share too.
+    On a cluster it has to be set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # One machine: any folder of its own is shared.
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -30,6 +35,22 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly below a folder; nothing if there is no such folder."""
+    at, store = _hadoop(spark, path)
+    return [f.getPath().toString() for f in store.listStatus(at)] if store.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, store = _hadoop(spark, path)
+    store.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: one fixed result."""
     path = new_dir(df.sparkSession, "cut")

@@ -43,9 +43,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def telemetry_of(events: DataFrame) -> DataFrame:
-    derived = events.selectExpr(*[f"{expr} as {name}" for name, expr in _TELEMETRY.items()])
-    return computed_once(derived, ["event_id", "event_ts"])
+def telemetry_of(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    derived = events.selectExpr(*keep, *[f"{expr} as {name}" for name, expr in _TELEMETRY.items()])
+    return computed_once(derived, [*keep, "event_id", "event_ts"])
 
 
 # The same records as JSON text without an event id: some cut short, with words or text numbers

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from convoy.operators import contracts, windows
+from convoy.operators import contracts, episodes, windows
 from convoy.operators import normalize as norm
+from convoy.operators.breaker import ORDER
 from convoy.sources import lake
+from convoy.streaming import changelog
 
 BATCH = "batch_id"
 
@@ -103,6 +105,25 @@ def table_stream(df: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     )
 
 
+def episode_stream(states: DataFrame, out: str, checkpoint: str, compact_every: int = 100) -> DataStreamWriter:
+    """Trips and recoveries of the streaming breaker, upserted into a table of episodes.
+
+    A micro-batch reads transitions only and writes the versions they make; ``episodes_so_far`` reads
+    the table. Every ``compact_every`` micro-batches the log is made a snapshot.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        changelog.append(episodes.versions(batch), out, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            changelog.compact(batch.sparkSession, out, episodes.EPISODE_ROW, "incident_id", ORDER)
+
+    return states.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+
+
+def episodes_so_far(spark: SparkSession, out: str) -> DataFrame:
+    return changelog.read(spark, out, episodes.EPISODE_ROW, "incident_id", ORDER).drop(*ORDER)
+
+
 def drain(writer: DataStreamWriter) -> StreamingQuery:
     """Process everything available now, then stop."""
     query = writer.trigger(availableNow=True).start()
@@ -110,6 +131,26 @@ def drain(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
+def drain_log(writer: DataStreamWriter, close: Callable[[], None] | None = None) -> StreamingQuery:
+    """Process all that message logs hold, then stop.
+
+    ``close`` adds the records that only move the clock on, once everything before them is through, so
+    that state held for late records is let go.
+    """
+    query = writer.start()
+    try:
+        # A source that was restarted repeats its last place first, which looks like the end.
+        query.processAllAvailable()
+        query.processAllAvailable()
+        if close:
+            close()
+            query.processAllAvailable()
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def pass_ratio_stream(gated: DataFrame, out: str, checkpoint: str, width: str = "5 minutes") -> DataStreamWriter:
     """Validated and quarantined records per event-time window, however late they come.
 

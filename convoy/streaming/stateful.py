@@ -1,21 +1,37 @@
-"""Keyed state: count windows, and the breaker with its episodes, per vehicle."""
+"""Keyed state in event-time order: count windows, and the breaker with its episodes, per vehicle.
+
+Rows come in any order, within a micro-batch and across them. Two stateful steps put them right:
+
+1. ``Hold`` keeps the rows of one (vehicle, range of event time) as state. When the watermark has passed
+   the range's end, an event-time timer lets them go as one packed row: sorted arrays. A vehicle that
+   sends a third of all rows is spread over its ranges here, where sorting and Python objects cost.
+2. A fold per vehicle takes the packed rows in the order of their ranges. Ranges that one micro-batch
+   lets go end after the watermark of the one before, so order holds across micro-batches too.
+   It carries a few numbers per vehicle and works on whole arrays: from one change of state to the
+   next, not from row to row.
+
+What a task holds is bounded by what the source lets into a micro-batch and by the ranges that the
+watermark's delay keeps open. Rows that come later than the delay are dropped by the engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from convoy.functions import policy as rules
-from convoy.operators.breaker import ORDER, Breaker, step
+from convoy.operators.breaker import CLOSED, OPEN, STATE_CODES, Breaker, replay_run
 from convoy.settings import BreakerSettings, PolicySettings, QaSettings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RELEASED = "released_at"
 
 
 def use_state_store(spark) -> None:
@@ -23,45 +39,73 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """One vehicle's rows of one micro-batch, whose size the trigger limits."""
-    return pd.concat(list(rows)).sort_values(by)
+# --- Rows held until the watermark ---------------------------------------------------------------
 
 
-class CountWindows(StatefulProcessor):
-    """Counts outcomes of a vehicle and emits a row when a window is full.
+class Hold(StatefulProcessor):
+    """Holds the rows of a (vehicle, range) and lets them go sorted, as one row of arrays.
 
-    The state is three numbers, not the outcomes themselves.
+    A row without ``by[-1]`` only moves the clock and is not held.
     """
 
-    def __init__(self, qa: QaSettings) -> None:
-        self.qa = qa
+    def __init__(self, columns: list[str], types: list[str], by: list[str]) -> None:
+        self.columns, self.types, self.by = columns, types, by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "window_no bigint, total int, quarantined int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        window_no, total, quarantined = self.open.get() if self.open.exists() else (0, 0, 0)
-        closed = []
-        batch = _in_order(rows, ["event_time", "event_id"])
-        for bad, at in zip(batch["bad"].tolist(), batch["event_time"].tolist()):
-            total, quarantined = total + 1, quarantined + int(bad)
-            if total == self.qa.window_size:
-                rate = quarantined / total
-                closed.append(
-                    (
-                        key[0], window_no, total, quarantined, round(rate, 6),
-                        rate > self.qa.rate_threshold, at,
-                    )
-                )
-                window_no, total, quarantined = window_no + 1, 0, 0
-        self.open.update((window_no, total, quarantined))
-        yield pd.DataFrame(closed, columns=COUNT_WINDOW.names)
+        self.handle = handle
+        fields = ", ".join(f"{c} array<{t}>" for c, t in zip(self.columns, self.types, strict=True))
+        self.held = handle.getListState("held", fields)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        some = False
+        for part in rows:
+            part = part[part[self.by[-1]].notna()]
+            if len(part):
+                # One state entry per batch of rows, not per row.
+                self.held.appendValue(tuple(part[c].tolist() for c in self.columns))
+                some = True
+        if some:
+            self.handle.registerTimer(int(key[1]))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        parts = list(self.held.get())
+        rows = pd.DataFrame({c: [v for p in parts for v in p[k]] for k, c in enumerate(self.columns)})
+        rows = rows.sort_values(self.by)
+        self.held.clear()
+        packed = {c: [rows[c].tolist()] for c in self.columns}
+        yield pd.DataFrame({"vehicle_id": [key[0]], RELEASED: [pd.Timestamp(int(key[1]), unit="ms")], **packed})
 
     def close(self) -> None:
         pass
 
 
+def in_ranges(rows: DataFrame, types: dict[str, str], by: list[str], width_seconds: int, clock: str) -> DataFrame:
+    """Packed rows (vehicle_id, released_at, one array per column of ``types``), ``by`` in order inside.
+
+    ``rows`` has ``at_us`` (microseconds of event time); ``clock`` is its column with a watermark.
+    """
+    width = width_seconds * 1000
+    ends = (F.floor(F.col("at_us") / 1000 / width) + 1) * width
+    schema = f"vehicle_id string, {RELEASED} timestamp, " + ", ".join(f"{c} array<{t}>" for c, t in types.items())
+    return (
+        rows.select("vehicle_id", clock, *types, ends.cast("long").alias("range_ms"))
+        .groupBy("vehicle_id", "range_ms")
+        .transformWithStateInPandas(
+            Hold(list(types), list(types.values()), by), schema, outputMode="Append", timeMode="EventTime",
+            eventTimeColumnName=RELEASED,
+        )
+    )
+
+
+def _packed(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[np.ndarray]:
+    """The arrays of a vehicle's ranges one after the other, in the order of the ranges."""
+    parts = pd.concat(list(rows)).sort_values(RELEASED)
+    return [np.concatenate([np.asarray(v) for v in parts[c]]) for c in columns]
+
+
+# --- Count windows -------------------------------------------------------------------------------
+
 COUNT_WINDOW = T.StructType(
     [
         T.StructField("vehicle_id", T.StringType()),
@@ -75,13 +119,74 @@ COUNT_WINDOW = T.StructType(
 )
 
 
-def count_windows(outcomes: DataFrame, qa: QaSettings = QaSettings()) -> DataFrame:
-    """Streaming counterpart of the batch count windows."""
-    return outcomes.groupBy("vehicle_id").transformWithStateInPandas(
-        CountWindows(qa), COUNT_WINDOW, outputMode="Append", timeMode="None"
+class CountWindows(StatefulProcessor):
+    """Closes a window for every ``window_size`` outcomes of a vehicle.
+
+    The state is three numbers: the open window's number, its outcomes so far, and those quarantined.
+    """
+
+    def __init__(self, qa: QaSettings) -> None:
+        self.qa = qa
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "window_no bigint, total int, quarantined int")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        window_no, total, quarantined = self.open.get() if self.open.exists() else (0, 0, 0)
+        at_us, bad = _packed(rows, ["at_us", "bad"])
+        size = self.qa.window_size
+        upto = np.append(quarantined, quarantined + np.cumsum(bad.astype(np.int64)))
+        closing = np.arange(size - total - 1, len(bad), size)
+        counts = np.diff(np.append(0, upto[closing + 1]))
+        rates = counts / size
+        self.open.update(
+            (window_no + len(closing), (total + len(bad)) % size, int(upto[-1] - (upto[closing[-1] + 1] if len(closing) else 0)))
+        )
+        yield pd.DataFrame(
+            {
+                "vehicle_id": key[0],
+                "window_no": window_no + np.arange(len(closing)),
+                "total": size,
+                "quarantined": counts,
+                "quarantine_rate": [round(r, 6) for r in rates.tolist()],
+                "exceeded": rates > self.qa.rate_threshold,
+                "window_end": pd.to_datetime(at_us[closing].astype(np.int64), unit="us"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def count_windows(
+    outcomes: DataFrame, qa: QaSettings = QaSettings(), width_seconds: int = 3600, clock: str = "event_time"
+) -> DataFrame:
+    """Streaming counterpart of the batch count windows.
+
+    ``outcomes`` has vehicle_id, event_time, event_id and bad, and a watermark on ``clock``, which is
+    not behind ``event_time``. A row without event_id only moves the clock.
+    """
+    # Numbers are ordered as such, other ids as text.
+    kind = "bigint" if dict(outcomes.dtypes)["event_id"] in ("bigint", "int") else "string"
+    rows = outcomes.select(
+        "vehicle_id", clock, F.unix_micros("event_time").alias("at_us"), F.col("event_id").cast(kind).alias("id"), "bad"
     )
+    held = in_ranges(rows, {"at_us": "bigint", "id": kind, "bad": "boolean"}, ["at_us", "id"], width_seconds, clock)
+    return held.groupBy("vehicle_id").transformWithStateInPandas(
+        CountWindows(qa), COUNT_WINDOW, outputMode="Append", timeMode="EventTime"
+    )
+
 
+# --- The breaker and its episodes ----------------------------------------------------------------
 
+_EVENT = {
+    "at_us": "bigint", "kind": "int", "ref": "string", "quarantine_rate": "double", "exceeded": "boolean",
+    "drift_count": "bigint",
+}
+# The episode a transition belongs to, as it stands after it; null for other events.
+EPISODE = [
+    "episode_first_us", "episode_last_us", "episode_retrips", "last_rate", "last_batches", "last_streak", "last_drift",
+]
 _CORRELATED = T.StructType(
     [
         T.StructField("vehicle_id", T.StringType()),
@@ -99,76 +204,141 @@ _CORRELATED = T.StructType(
         T.StructField("trip_count", T.LongType()),
         T.StructField("first_trip", T.TimestampType()),
         T.StructField("retrip_count", T.LongType()),
+        *[T.StructField(c, T.DoubleType() if c == "last_rate" else T.LongType()) for c in EPISODE],
     ]
 )
-
+# The state variable that ``live_breakers`` reads.
+BREAKER = "breaker"
 _STATE = (
-    "rates array<double>, streak bigint, kind string, opened_us bigint, successes int, "
-    "trip_count bigint, first_trip_us bigint, retrip_count bigint"
+    "rates array<double>, streak bigint, kind string, opened_us bigint, successes int, trip_count bigint, "
+    "last_us bigint, " + ", ".join(f"{c} {'double' if c == 'last_rate' else 'bigint'}" for c in EPISODE)
 )
+_NAMES = np.array([k for k, _ in sorted(STATE_CODES.items(), key=lambda x: x[1])], dtype=object)
+
+
+def _rolled(rates: list[float], new: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean rate over the last ``reach`` windows and how many there are, after every new window."""
+    known = np.concatenate([np.zeros(reach - len(rates)), rates, new])
+    total = np.zeros(len(new))
+    # Oldest first, as the batch job adds them.
+    for back in range(reach - 1, -1, -1):
+        total = total + known[reach - back : reach - back + len(new)]
+    seen = np.minimum(len(rates) + 1 + np.arange(len(new)), reach)
+    return total / seen, seen
+
+
+def _streaks(streak: int, exceeded: np.ndarray) -> np.ndarray:
+    """Consecutive exceeded windows up to every window."""
+    place = np.arange(len(exceeded))
+    last_good = np.maximum.accumulate(np.where(exceeded, -1 - streak, place))
+    return place - last_good
 
 
 class Correlator(StatefulProcessor):
-    """Rolling quality, breaker and open episode of a vehicle over QA batches and incidents."""
+    """Rolling quality, breaker and open episode of a vehicle over QA batches and drift reports."""
 
     def __init__(self, policy: PolicySettings, cfg: BreakerSettings) -> None:
         self.policy, self.cfg = policy, cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", _STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        start = ([], 0, "closed", 0, 0, 0, None, 0)
-        rates, streak, kind, opened, successes, trips, first, retrips = (
-            self.held.get() if self.held.exists() else start
+        self.held = handle.getValueState(BREAKER, _STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = self.held.get() if self.held.exists() else ([], 0, CLOSED, 0, 0, 0, 0, *[None] * len(EPISODE))
+        rates, streak, kind_now, opened, successes, trips, _, *episode = state
+        at_us, kind, ref, rate, exceeded, drift = _packed(rows, list(_EVENT))
+        at_us, drift = at_us.astype(np.int64), drift.astype(np.int64)
+        batch = kind.astype(int) == 0
+        known = list(rates)
+        means, seen = _rolled(known, rate[batch].astype(float), self.policy.window_batches)
+        streaks = _streaks(streak, exceeded[batch].astype(bool))
+        # What stood before the first new window, and then after each one.
+        before = _mean(known), len(known), streak
+        latest = np.cumsum(batch)
+        mean, count, run = (np.append(b, new)[latest] for b, new in zip(before, (means, seen, streaks), strict=True))
+        p = self.policy
+        trip = ((count >= p.window_batches) & (mean > p.rate_threshold)) | (drift >= p.drift_min_features)
+        trip |= run >= p.consecutive_max
+        done, after = replay_run(Breaker(kind_now, opened, successes), at_us, trip, self.cfg)
+        marks, episode, standing = _episodes(episode, at_us, done, mean, count, run, drift)
+        trip_count = trips + np.cumsum(done.tripped)
+        rates = [*known, *rate[batch].astype(float).tolist()][-p.window_batches :]
+        self.held.update(
+            (rates, int(run[-1]), after.kind, int(after.opened_us), int(after.successes), int(trip_count[-1]),
+             int(at_us[-1]), *episode)
         )
-        rates, breaker, out = list(rates), Breaker(kind, opened, successes), []
-        for row in _in_order(rows, ORDER).itertuples(index=False):
-            if row.kind == 0:
-                rates = [*rates, row.quarantine_rate][-self.policy.window_batches :]
-                streak = streak + 1 if row.exceeded else 0
-            total = 0.0
-            for rate in rates:
-                total += rate
-            mean = total / len(rates) if rates else 0.0
-            drift = int(row.drift_count)
-            trip = (
-                (len(rates) >= self.policy.window_batches and mean > self.policy.rate_threshold)
-                or drift >= self.policy.drift_min_features
-                or streak >= self.policy.consecutive_max
-            )
-            at_us = int(row.event_time.value // 1000)
-            result = step(breaker, at_us, trip, self.cfg)
-            if result.recovered:
-                first, retrips = None, 0
-            if result.tripped:
-                trips += 1
-                first, retrips = (at_us, 0) if first is None else (first, retrips + 1)
-            out.append(
-                (
-                    key[0], row.event_time, row.kind, row.ref, mean, len(rates), streak, drift,
-                    breaker.kind, result.after.kind, result.tripped, result.recovered, trips,
-                    pd.Timestamp(first, unit="us") if first is not None else pd.NaT, retrips,
-                )
-            )
-            breaker = result.after
-        self.held.update((rates, streak, *breaker, trips, first, retrips))
-        yield pd.DataFrame(out, columns=_CORRELATED.names)
+        out = pd.DataFrame(
+            {
+                "vehicle_id": key[0],
+                "event_time": pd.to_datetime(at_us, unit="us"),
+                "kind": kind.astype(np.int32),
+                "ref": ref,
+                "rolling_rate": mean,
+                "batch_count": count.astype(np.int64),
+                "streak": run.astype(np.int64),
+                "drift_count": drift,
+                "prior_state": _NAMES[done.prior],
+                "state": _NAMES[done.after],
+                "tripped": done.tripped,
+                "recovered": done.recovered,
+                "trip_count": trip_count,
+                "first_trip": pd.to_datetime(pd.Series(standing[0], dtype="Int64"), unit="us"),
+                "retrip_count": standing[1],
+            }
+        )
+        yield pd.concat([out, marks], axis=1)
 
     def close(self) -> None:
         pass
 
 
+def _mean(rates: list[float]) -> float:
+    total = 0.0
+    for rate in rates:
+        total += rate
+    return total / len(rates) if rates else 0.0
+
+
+def _episodes(episode: list, at_us: np.ndarray, done: Any, *figures: np.ndarray) -> tuple[pd.DataFrame, list, tuple[list, list]]:
+    """The episode at every transition, the one open at the end, and first trip and retrips after every event.
+
+    Only transitions are looped over; a breaker that stays open costs nothing here.
+    """
+    marks: dict[str, list] = {c: [None] * len(at_us) for c in EPISODE}
+    changes, firsts, retrips = [0], [episode[0]], [episode[2] or 0]
+    for i in np.flatnonzero(done.tripped | done.recovered).tolist():
+        if done.tripped[i]:
+            at = int(at_us[i])
+            known = [f[i].item() for f in figures]
+            again = episode[0] is not None
+            episode = [episode[0] if again else at, at, episode[2] + 1 if again else 0, *known]
+        for c, value in zip(EPISODE, episode, strict=True):
+            marks[c][i] = value
+        if done.recovered[i]:
+            episode = [None] * len(EPISODE)
+        changes.append(i)
+        firsts.append(episode[0])
+        retrips.append(episode[2] or 0)
+    lengths = np.diff([*changes, len(at_us)])
+    spread = [v for v, n in zip(firsts, lengths, strict=True) for _ in range(n)]
+    again = [v for v, n in zip(retrips, lengths, strict=True) for _ in range(n)]
+    frame = pd.DataFrame({c: pd.Series(v, dtype="Float64" if c == "last_rate" else "Int64") for c, v in marks.items()})
+    return frame, episode, (spread, again)
+
+
 def correlate(
     windows: DataFrame,
     incidents: DataFrame,
     policy: PolicySettings = PolicySettings(),
     cfg: BreakerSettings = BreakerSettings(),
+    width_seconds: int = 86_400,
 ) -> DataFrame:
-    """Streaming counterpart of the batch breaker: one row per evaluated event.
+    """Streaming counterpart of the batch breaker: one row per evaluated event, in event-time order.
 
-    The policy's reasons, severity and route are projected after the state operator by the
-    same column expressions the batch job uses.
+    Both inputs are streams with a watermark, on ``window_end`` and ``event_time``; the engine goes by
+    the slower one, so a range is evaluated when both have passed it. Rows without ``window_no`` or
+    ``incident_id`` only move the clock. The policy's reasons, severity and route are projected after
+    the state operator by the column expressions that the batch job uses.
     """
     batches = windows.select(
         "vehicle_id",
@@ -186,15 +356,42 @@ def correlate(
         F.col("incident_id").alias("ref"),
         F.lit(0.0).alias("quarantine_rate"),
         F.lit(False).alias("exceeded"),
-        rules.incident_drift_count(F.col("observed_value"), F.col("drifted_features")).alias(
-            "drift_count"
-        ),
+        rules.incident_drift_count(F.col("observed_value"), F.col("drifted_features")).alias("drift_count"),
     )
-    evaluated = (
-        batches.unionByName(reports)
-        .groupBy("vehicle_id")
-        .transformWithStateInPandas(
-            Correlator(policy, cfg), _CORRELATED, outputMode="Append", timeMode="None"
-        )
+    rows = batches.unionByName(reports).withColumn("at_us", F.unix_micros("event_time"))
+    held = in_ranges(rows, _EVENT, ["at_us", "kind", "ref"], width_seconds, "event_time")
+    evaluated = held.groupBy("vehicle_id").transformWithStateInPandas(
+        Correlator(policy, cfg), _CORRELATED, outputMode="Append", timeMode="EventTime"
     )
     return rules.decide(evaluated, policy)
+
+
+def live_breakers(spark, checkpoint: str, as_of: Column, cfg: BreakerSettings = BreakerSettings()) -> DataFrame:
+    """The breaker of every vehicle out of the running stream's state, as of an instant after its last event.
+
+    Read from the checkpoint by the engine's state reader; the cooldown is applied at reading time.
+    """
+    operators = spark.read.format("state-metadata").load(checkpoint).where(F.col("operatorProperties").contains(f'"{BREAKER}"'))
+    operator = operators.agg(F.max("operatorId")).first()[0]
+    state = (
+        spark.read.format("statestore")
+        .option("operatorId", operator)
+        .option("stateVarName", BREAKER)
+        .load(checkpoint)
+        .select(F.col("key.vehicle_id").alias("vehicle_id"), "value.*")
+    )
+    cooled = F.unix_micros(as_of) - F.col("opened_us") >= F.lit(int(cfg.cooldown_seconds * 1_000_000))
+    shown = F.when((F.col("kind") == OPEN) & cooled, "half_open").otherwise(F.col("kind"))
+    code = F.lit(None).cast("int")
+    for name, value in STATE_CODES.items():
+        code = F.when(F.col("state") == name, value).otherwise(code)
+    return state.where(F.col("last_us") <= F.unix_micros(as_of)).withColumn("state", shown).select(
+        "vehicle_id",
+        "state",
+        code.alias("state_code"),
+        "trip_count",
+        F.timestamp_micros("last_us").alias("last_event"),
+        F.when(F.col("kind") == OPEN, F.timestamp_micros("opened_us")).alias("opened_at"),
+    )
+
+

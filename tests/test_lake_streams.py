@@ -5,12 +5,12 @@ import time
 from pyspark.sql import functions as F
 
 from convoy import session
-from convoy.operators import breaker, contracts, frames, gold, windows
+from convoy.operators import contracts, frames, gold
 from convoy.operators import normalize as norm
 from convoy.plans import queries as q
 from convoy.settings import FEATURES
 from convoy.sources import lake, messages, tables
-from convoy.streaming import jobs, stateful
+from convoy.streaming import jobs
 
 
 def test_partitions_and_pruning(spark, sf):
@@ -82,33 +82,6 @@ def split_events(spark, sf, days=("2024-01-01", "2024-01-11", "2024-01-21", "202
     return events, stream
 
 
-def test_stream_windows_and_breaker_equal_the_batch(spark, sf):
-    stateful.use_state_store(spark)
-    events, stream = split_events(spark, sf)
-    root = session.new_dir(spark, "equal")
-
-    def gate(raw):
-        return contracts.gate(norm.accepted(norm.normalize(tables.telemetry_of(raw))))
-
-    closed = stateful.count_windows(windows.outcomes(gate(stream)))
-    query = jobs.drain(jobs.table_stream(closed, f"{root}/w", f"{root}/cw"))
-    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
-    batch = windows.count_windows(windows.outcomes(gate(events)))
-    got = spark.read.parquet(f"{root}/w")
-    assert got.count() > 0 and batch.select(got.columns).exceptAll(got).count() == 0
-
-    reports = tables.drift_reports_of(stream)
-    metrics = spark.readStream.schema(got.schema).parquet(f"{root}/w")
-    states = stateful.correlate(metrics.where("false"), reports, cfg=q.SLOW_BREAKER)
-    jobs.drain(jobs.table_stream(states, f"{root}/s", f"{root}/cs"))
-    quality = windows.rolling_quality(batch.where("false"))
-    want = breaker.evaluate(quality, tables.drift_reports_of(events), cfg=q.SLOW_BREAKER)
-    cols = ["vehicle_id", "event_time", "ref", "prior_state", "state", "tripped", "recovered", "trip_count", "route"]
-    back = spark.read.parquet(f"{root}/s")
-    assert back.count() == want.count()
-    assert want.select(cols).exceptAll(back.select(cols)).count() == 0
-
-
 def test_message_stream_to_topics(spark):
     root = session.new_dir(spark, "messages")
     good = {
