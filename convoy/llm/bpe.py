@@ -4,7 +4,7 @@ A text is split by the tokenizer's pattern, and every pre-token is looked up in
 minimal perfect hash over the vocabulary: pre-tokens are spread over buckets, every bucket has a
 displacement that sends its words to slots of their own, and one comparison with the word in the
 slot tells a hit from a miss. Misses are merged from single bytes: the bytes form a linked list, a
-heap yields the adjacent pair of lowest rank (leftmost among equals), and pairs that a merge has
+heap yields the adjacent pair of lowest rank (leftmost among equals), and entries that a merge has
 outdated are skipped when they come up, so a pre-token of n bytes costs O(n log n).
 
 The vocabulary, fixed in size, is broadcast. Results of recent pre-tokens are remembered in two
@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from operator import itemgetter
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from convoy.llm.common import in_arrow, slices
 
-MEMO = 1 << 18
+MEMO = 1 << 19
 CHUNK = 1 << 16
 # Odd multipliers of a 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
@@ -117,6 +117,8 @@ class Vocabulary:
         self.slots = [(words[i], ranks[words[i]]) for i in self.hash.word_at.tolist()]
         self.words = {rank: word for word, rank in ranks.items()}
         self.bytes = [ranks[bytes([b])] for b in range(256)]
+        # Ranks of pairs of tokens, and of pairs of single bytes by the bytes.
+        self.byte_pairs = {(w[0], w[1]): rank for w, rank in ranks.items() if len(w) == 2}
         self.pairs: dict[int, int] = {}
         for word, rank in ranks.items():
             for i in range(1, len(word)):
@@ -130,57 +132,80 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of ``word`` after merging adjacent pairs, lowest rank first, leftmost among equals."""
-        rank_of, n = self.pairs.get, len(word)
+        rank_of, n, push, pop = self.pairs.get, len(word), heapq.heappush, heapq.heappop
         parts = [self.bytes[b] for b in word]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # The heap entry of the pair that now stands at a place; other entries of that place are outdated.
+        standing = [-1] * n
         heap = []
-        for i in range(n - 1):
-            if (rank := rank_of(parts[i] << 32 | parts[i + 1])) is not None:
-                heap.append(rank << 32 | i)
+        for i, pair in enumerate(zip(word, word[1:])):
+            if (rank := self.byte_pairs.get(pair)) is not None:
+                standing[i] = entry = rank << 32 | i
+                heap.append(entry)
         heapq.heapify(heap)
         while heap:
-            top = heapq.heappop(heap)
-            i, rank = top & LOW32, top >> 32
-            j, left = after[i], parts[i]
-            # Outdated if the two parts that stand there now are not the pair of this rank.
-            if left < 0 or j >= n or rank_of(left << 32 | parts[j]) != rank:
+            top = pop(heap)
+            i = top & LOW32
+            if standing[i] != top:
                 continue
-            parts[i], parts[j] = rank, -1
+            rank, j = top >> 32, after[i]
+            parts[i], parts[j], standing[i], standing[j] = rank, -1, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if (new := rank_of(rank << 32 | parts[k])) is not None:
-                    heapq.heappush(heap, new << 32 | i)
+                    standing[i] = entry = new << 32 | i
+                    push(heap, entry)
             h = before[i]
-            if h >= 0 and (new := rank_of(parts[h] << 32 | rank)) is not None:
-                heapq.heappush(heap, new << 32 | h)
+            if h >= 0:
+                if (new := rank_of(parts[h] << 32 | rank)) is not None:
+                    standing[h] = entry = new << 32 | h
+                    push(heap, entry)
+                else:
+                    standing[h] = -1
         return [p for p in parts if p >= 0]
 
 
+class Memo(dict[str, tuple[int, ...]]):
+    """Ids of recent pre-tokens: two generations, of which the older one goes when the newer is full."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        known = self.older.get(word)
+        if known is None:
+            known = tuple(self.vocabulary.pre_token(word.encode()))
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        if len(word) < 64:
+            self[word] = known
+        return known
+
+
 class Encoder:
     """Encodes texts one after another, remembering recent pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.split = regex.compile(vocabulary.pattern).finditer
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        pattern = regex.compile(vocabulary.pattern)
+        self.split, self.split_whole = pattern.finditer, pattern.findall
+        self.memo = Memo(vocabulary)
+
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of ``text``, so many at a time that a list of them stays small."""
+        if len(text) <= CHUNK:
+            yield self.split_whole(text)
+            return
+        found = map(itemgetter(0), self.split(text))
+        while words := list(islice(found, CHUNK)):
+            yield words
 
     def encode(self, text: str) -> np.ndarray:
-        memo, found, pieces = self.memo, map(itemgetter(0), self.split(text)), []
-        while words := list(islice(found, CHUNK)):
-            ids: list[int] = []
-            for word in words:
-                known = memo.get(word)
-                if known is None:
-                    known = self.older.get(word) or tuple(self.vocabulary.pre_token(word.encode()))
-                    if len(memo) >= MEMO:
-                        self.older, self.memo = memo, {}
-                        memo = self.memo
-                    if len(word) < 64:
-                        memo[word] = known
-                ids += known
-            pieces.append(np.array(ids, dtype=np.int32))
+        known = self.memo.__getitem__
+        pieces = [np.fromiter(chain.from_iterable(map(known, words)), np.int32) for words in self.words(text)]
         return np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
 
 
