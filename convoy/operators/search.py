@@ -85,6 +85,21 @@ def upsert(existing: DataFrame, changes: DataFrame, key: str, version: str) -> D
     return newest.select(key, point, "_r.*")
 
 
+def vectors(df: DataFrame) -> DataFrame:
+    """(id, vector) with doubles, without rows that have no id, no vector, or one with null, NaN or infinite parts."""
+    v = F.col("vector")
+    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    typed = df.select("id", v.cast("array<double>").alias("vector"))
+    return typed.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite)
+
+
+def dimension(items: DataFrame) -> int:
+    """The length that most vectors have; the smaller one of two that are as frequent."""
+    sizes = items.groupBy(F.size("vector").alias("n")).count()
+    first = sizes.orderBy(F.desc("count"), "n").first()
+    return first["n"] if first else 0
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     """Rows of a list column as unit vectors."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
@@ -137,11 +152,15 @@ def top_k(
     Both sides have (id, vector); ``k`` is clamped to 1..10. Both are hashed into blocks, and each
     pair of blocks is one task that returns k rows per query; the best of all tasks are merged at
     the end. This is the exact search: its work is the product of both sides.
+
+    Rows without an id or a vector, with null or non-finite parts, or of another length than most items
+    take no part on either side; a zero vector scores 0.
     """
     k = max(MIN_K, min(k, MAX_K))
     take = k + 1 if exclude_self else k
-    q = queries.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    i = items.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    q, i = vectors(queries), vectors(items)
+    same = F.size("vector") == dimension(i)
+    q, i = q.where(same), i.where(same)
     schema = T.StructType(
         [
             T.StructField("query_id", q.schema["id"].dataType),

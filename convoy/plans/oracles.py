@@ -935,6 +935,15 @@ _o["open_breakers"] = _sql(
 )
 _o["latency_quantiles"] = f"""select {_at('t')} as window_start, round(p50, 6) as p50, round(p95, 6) as p95 from (
  select {_SIX.format(c='ts')} as t, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.95) as p95 from events group by 1)"""
+_LE = "[0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]::double[]"
+_o["latency_buckets"] = f"""with v as (select {_SIX.format(c='ts')} as t, value / 10e0 as s from events where value is not null),
+le as (select unnest({_LE}) as b, generate_subscripts({_LE}, 1) as i),
+h as (select t, i, b, lag(b, 1, 0e0) over (partition by t order by i) as low, n, lag(n, 1, 0) over (partition by t order by i) as n0, total
+ from (select t, i, b, count(*) filter (s <= b) as n, count(*) as total from v cross join le group by all)),
+q as (select t, p, min(total) as total, coalesce(min_by(low + (b - low) * (p * total - n0) / nullif(n - n0, 0), i) filter (n >= p * total), 10e0) as x
+ from h cross join (select unnest([0.5e0, 0.95e0]) as p) group by t, p)
+select {_at('t')} as window_start, min(total) as total, round(min(x) filter (p = 0.5e0), 6) as p50,
+ round(min(x) filter (p = 0.95e0), 6) as p95 from q group by t"""
 _o["sustained_alerts"] = _sql(
     "samp",
     f"""select case metric when 'qa_pass_ratio' then 'QAPassRateSLOBreach' when 'drift_score_avg' then 'DriftScoreElevated'

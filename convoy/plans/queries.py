@@ -748,6 +748,15 @@ def latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_shown(out, "window_start"), "window_start")
 
 
+@query
+def latency_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """The events' values, as tenths of a second, in latency buckets."""
+    events = tables.table(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("event_time"), (F.col("value") / 10).alias("seconds")
+    )
+    return _rounded(_shown(slo.bucket_latency(events, "seconds", SLOT), "window_start"), "window_start", "total")
+
+
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     ratio = slo.pass_ratio(gated(spark, sf), SLOT)
     states = session.cut(slo.open_breakers(timeline(spark, sf, SLOW_BREAKER), SLOT))

@@ -192,3 +192,17 @@ def test_statement_guard(spark):
     with pytest.raises(Exception):
         guarded_sql.query(spark).count()
 
+
+
+def test_rows_without_a_proper_vector_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, None), (5, [nan, 1.0]), (6, [1.0, None]), (7, [inf, 0.0]),
+        (8, [1.0, 0.0, 0.0]), (9, []), (None, [1.0, 0.0]), (10, [0.0, 0.0]), (11, [1.0, 1.0]),
+    ]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = search.top_k(df, df, 2, exclude_self=True).collect()
+    found = {q: [(r.item_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in {r.query_id for r in got}}
+    assert set(found) == {1, 3, 10, 11}
+    assert found[3] == [(11, 0.707107), (1, 0.0)] and found[1] == [(11, 0.707107), (3, 0.0)]
+    assert search.top_k(df.where("false"), df, 2).count() == search.top_k(df, df.where("false"), 2).count() == 0

@@ -90,3 +90,33 @@ def test_report_lines(spark):
     assert got == ["2 circuit breaker(s) OPEN", "QA pass ratio 0.5000 below 0.99 SLO"]
     calm = slo.report(df.where("metric = 'drift_score_avg'")).collect()
     assert [(r.status, r.metric) for r in calm] == [("CLEAR", "all")]
+
+
+def test_bucket_quantiles_stay_in_the_bucket_of_the_exact_ones(spark):
+    import bisect
+    import random
+
+    from pyspark.sql import functions as F
+
+    from convoy.operators import slo
+
+    rng = random.Random(8)
+    rows = [(k, i % 4, rng.lognormvariate(-2 + k, 1.5)) for k in range(4) for i in range(400)] + [(9, 0, None), (9, 0, 3.0)]
+    df = spark.createDataFrame(rows, "k int, part int, seconds double")
+    whole = slo.histogram(df, "seconds", ["k"])
+    parts = slo.merged(slo.histogram(df, "seconds", ["k", "part"]), ["k"])
+    assert whole.exceptAll(parts).count() == 0
+    got = {r.k: r for r in whole.select("k", "total", slo.bucket_quantile(0.5).alias("p50"), slo.bucket_quantile(0.95).alias("p95")).collect()}
+    assert got[9].total == 1 and 2.5 <= got[9].p50 <= 5.0
+    bounds = (0.0, *slo.LATENCY_BOUNDS)
+    for k in range(4):
+        values = sorted(v for key, _, v in rows if key == k)
+        for name, p in (("p50", 0.5), ("p95", 0.95)):
+            exact = values[-(-int(p * 1000) * len(values) // 1000) - 1]
+            at = bisect.bisect_left(slo.LATENCY_BOUNDS, exact)
+            if at == len(slo.LATENCY_BOUNDS):
+                assert got[k][name] == slo.LATENCY_BOUNDS[-1]
+            else:
+                assert bounds[at] <= got[k][name] <= bounds[at + 1]
+    lowest = df.where("k = 0").withColumn("seconds", F.lit(0.001))
+    assert slo.histogram(lowest, "seconds", ["k"]).select(slo.bucket_quantile(0.5)).first()[0] == 0.0025
