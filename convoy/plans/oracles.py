@@ -1085,6 +1085,13 @@ _o["stream_normalize"] = _sql(
     """select event_id, vehicle_id, case when issue is null then 'normalized' else 'quarantine' end as topic,
  case issue when 'empty_vehicle_id' then 'required_nonempty' when 'unparseable_timestamp' then 'iso8601' end as rule from norm""",
 )
+_o["stream_route_counts"] = _sql(
+    "norm qa",
+    """select (select count(*) from norm) as consumed, (select count(issue) from norm) as structural_failures,
+ 0::bigint as decode_failures, count(*) filter (route = 'validated') as validated,
+ count(*) filter (route = 'quarantine') as quarantined, count(*) filter (route = 'validated') as appended,
+ 0::bigint as map_errors from qa""",
+)
 _o["stream_qa"] = _sql(
     "qa",
     "select event_id, case when route = 'validated' then 'validated' else 'quarantine' end as topic, violations[1].message as reason from qa",

@@ -1079,8 +1079,7 @@ def stream_normalize(spark: SparkSession, sf: str) -> DataFrame:
     jobs.drain(
         jobs.normalize_stream(_raw_stream(spark, sf), F.col("event_ts"), root, os.path.join(root, "checkpoint"))
     )
-    good = spark.read.parquet(os.path.join(root, "normalized"))
-    bad = spark.read.parquet(os.path.join(root, "quarantine"))
+    good, bad = (jobs.committed(spark, root, n) for n in ("normalized", "quarantine"))
     return good.select("event_id", "vehicle_id", F.lit("normalized").alias("topic"), F.lit(None).cast("string").alias("rule")).unionByName(
         bad.select("event_id", "vehicle_id", F.lit("quarantine").alias("topic"), "rule")
     )
@@ -1091,8 +1090,7 @@ def stream_qa(spark: SparkSession, sf: str) -> DataFrame:
     root = session.new_dir(spark, "stream-qa")
     rows = norm.accepted(norm.normalize(_raw_stream(spark, sf)))
     jobs.drain(jobs.gate_stream(rows, F.col("event_ts"), root, os.path.join(root, "checkpoint")))
-    good = spark.read.parquet(os.path.join(root, "validated"))
-    bad = spark.read.parquet(os.path.join(root, "quarantine"))
+    good, bad = (jobs.committed(spark, root, n) for n in ("validated", "quarantine"))
     return good.select("event_id", F.lit("validated").alias("topic"), F.lit(None).cast("string").alias("reason")).unionByName(
         bad.select("event_id", F.lit("quarantine").alias("topic"), "reason")
     )
@@ -1138,6 +1136,30 @@ def _from_log(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame
     return rows.withColumns({c: F.timestamp_micros(c) for c in instants})
 
 
+@query
+def stream_route_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters observed while the records of two streams pass."""
+    root = session.new_dir(spark, "stream-counters")
+    paths = [os.path.join(root, n) for n in ("normalize", "gate", "lake")]
+    at, raw = F.col("event_ts"), _raw_stream(spark, sf)
+    accepted_rows = norm.accepted(norm.normalize(raw))
+    good = contracts.gate(accepted_rows).where("route = 'validated'")
+    jobs.drain(jobs.normalize_stream(raw, at, paths[0], f"{paths[0]}-checkpoint"))
+    jobs.drain(jobs.gate_stream(accepted_rows, at, paths[1], f"{paths[1]}-checkpoint"))
+    jobs.drain(jobs.lake_stream(good, paths[2], f"{paths[2]}-checkpoint"))
+    first, routes, mapped = (jobs.committed(spark, p, "counters") for p in paths)
+    by_route = routes.agg(
+        *[F.sum(F.when(F.col("route") == r, F.col("records"))).alias(n) for r, n in (("validated", "validated"), ("quarantine", "quarantined"))]
+    )
+    totals = first.agg(*[F.sum(c).alias(c) for c in ("consumed", "structural_failures", "decode_failures")])
+    lake_totals = mapped.agg(*[F.sum(c).alias(c) for c in ("appended", "map_errors")])
+    return totals.select(
+        "*",
+        *[by_route.select(c).scalar().alias(c) for c in ("validated", "quarantined")],
+        *[lake_totals.select(c).scalar().alias(c) for c in ("appended", "map_errors")],
+    )
+
+
 @query
 def stream_qa_window(spark: SparkSession, sf: str) -> DataFrame:
     stateful.use_state_store(spark)
@@ -1209,7 +1231,7 @@ def stream_lake(spark: SparkSession, sf: str) -> DataFrame:
     root = session.new_dir(spark, "stream-lake")
     rows = contracts.gate(norm.accepted(norm.normalize(_raw_stream(spark, sf)))).where("route = 'validated'")
     jobs.drain(jobs.lake_stream(rows, root, os.path.join(root, "checkpoint")))
-    back = spark.read.parquet(os.path.join(root, "telemetry"))
+    back = jobs.committed(spark, root, "telemetry")
     return back.select(
         "event_id", "vehicle_id", text_of("timestamp").alias("timestamp"), "device_type",
         F.col("event_day").cast("string").alias("event_day"),

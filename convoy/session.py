@@ -51,6 +51,12 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    at, store = _hadoop(spark, path)
+    store.create(at, True).close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: one fixed result."""
     path = new_dir(df.sparkSession, "cut")

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: normalise, gate, fan out and append to the lake.
 
 Every ``foreachBatch`` writes below ``batch_id=N`` and overwrites, so a batch that is replayed
-after a failure replaces its own output.
+after a failure replaces its own output. Jobs with several sinks mark a batch once all of them hold it.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from convoy import session
 from convoy.operators import contracts, episodes, windows
 from convoy.operators import normalize as norm
 from convoy.operators.breaker import ORDER
@@ -33,14 +34,42 @@ def _write(df: DataFrame, path: str, batch_id: int, by: list[str] | None = None)
     )
 
 
+def _commits(out: str) -> str:
+    return os.path.join(out, "_commits")
+
+
+def committed(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The rows of one sink of a job, of the micro-batches that all of its sinks hold."""
+    done = [int(os.path.basename(p)) for p in session.children(spark, _commits(out))]
+    return spark.read.parquet(os.path.join(out, name)).where(F.col(BATCH) <= max(done, default=-1))
+
+
 def _each_batch(
-    df: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None]
+    df: DataFrame,
+    out: str,
+    checkpoint: str,
+    body: Callable[[DataFrame, int], None],
+    counters: dict[str, Column],
+    told: Callable[[dict], list[tuple]],
+    schema: str,
 ) -> DataStreamWriter:
+    """Write every micro-batch by ``body``, then its counters, then the mark that makes it visible.
+
+    The counters are observed while the rows pass on their way to the sinks: no pass of their own. The
+    mark is one small file, so ``committed`` shows all sinks of a micro-batch or none of them; a
+    micro-batch that stopped half way is written again under its number.
+    """
+
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = Observation()
         # Several writes read the same batch: compute it once.
-        kept = batch.persist()
+        kept = batch.observe(seen, *[c.alias(n) for n, c in counters.items()]).persist()
         try:
             body(kept, batch_id)
+            rows = spark.createDataFrame(told(seen.get), schema).coalesce(1)
+            _write(rows, os.path.join(out, "counters"), batch_id)
+            session.touch(spark, os.path.join(_commits(out), str(batch_id)))
         finally:
             kept.unpersist()
 
@@ -58,7 +87,16 @@ def normalize_stream(
         bad = norm.structural_quarantine(batch, rejected_at)
         _write(bad, os.path.join(out, "quarantine"), batch_id)
 
-    return _each_batch(norm.normalize(raw), checkpoint, body)
+    failed = F.col("issue") == "decode_failed"
+    counters = {
+        "consumed": F.count(F.lit(1)),
+        "structural_failures": F.count_if(F.col("issue").isNotNull() & ~failed),
+        "decode_failures": F.count_if(failed),
+    }
+    schema = ", ".join(f"{n} long" for n in counters)
+    return _each_batch(
+        norm.normalize(raw), out, checkpoint, body, counters, lambda c: [tuple(c[n] for n in counters)], schema
+    )
 
 
 def gate_stream(
@@ -77,10 +115,12 @@ def gate_stream(
         records = contracts.quarantine_records(bad, rejected_at)
         _write(records, os.path.join(out, "quarantine"), batch_id)
         _write(windows.outcomes(batch), os.path.join(out, "outcomes"), batch_id)
-        counters = batch.groupBy("route").agg(F.count(F.lit(1)).alias("records"))
-        _write(counters, os.path.join(out, "counters"), batch_id)
 
-    return _each_batch(contracts.gate(normalized), checkpoint, body)
+    counters = {r: F.count_if(F.col("route") == r) for r in ("validated", "quarantine")}
+    return _each_batch(
+        contracts.gate(normalized), out, checkpoint, body, counters, lambda c: [(r, c[r]) for r in counters],
+        "route string, records long",
+    )
 
 
 def lake_stream(validated: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
@@ -90,9 +130,16 @@ def lake_stream(validated: DataFrame, out: str, checkpoint: str) -> DataStreamWr
         good = batch.where(~F.col("map_error")).drop("map_error")
         sized = good.hint("rebalance", F.col("device_type"), F.col("event_day"))
         _write(sized, os.path.join(out, "telemetry"), batch_id, ["device_type", "event_day"])
-        _write(lake.map_counters(batch), os.path.join(out, "counters"), batch_id)
 
-    return _each_batch(lake.telemetry_rows(validated), checkpoint, body)
+    counters = {
+        "consumed": F.count(F.lit(1)),
+        "appended": F.count_if(~F.col("map_error")),
+        "map_errors": F.count_if("map_error"),
+    }
+    schema = ", ".join(f"{n} long" for n in counters)
+    return _each_batch(
+        lake.telemetry_rows(validated), out, checkpoint, body, counters, lambda c: [tuple(c[n] for n in counters)], schema
+    )
 
 
 def table_stream(df: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:

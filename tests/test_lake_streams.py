@@ -2,6 +2,8 @@ import json
 import os
 import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from convoy import session
@@ -118,3 +120,30 @@ def test_windowed_ratio_stream_counts_every_record(spark, sf):
     )
     got = jobs.pass_ratio(spark, f"{root}/r")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_no_sink_is_seen_before_all_hold_the_batch(spark, sf, monkeypatch):
+    events, stream = split_events(spark, sf)
+    root = session.new_dir(spark, "atomic")
+    rows = norm.accepted(norm.normalize(tables.telemetry_of(stream)))
+    real = jobs._write
+
+    def failing(df, path, batch_id, by=None):
+        if batch_id == 1 and path.endswith("quarantine"):
+            raise RuntimeError("killed between two sinks")
+        real(df, path, batch_id, by)
+
+    monkeypatch.setattr(jobs, "_write", failing)
+    with pytest.raises(StreamingQueryException):
+        jobs.drain(jobs.gate_stream(rows, F.col("event_ts"), f"{root}/g", f"{root}/c"))
+    assert spark.read.parquet(f"{root}/g/validated").where("batch_id = 1").count() > 0
+    seen = {n: jobs.committed(spark, f"{root}/g", n).select("batch_id").distinct().collect() for n in ("validated", "quarantine")}
+    assert all([r.batch_id for r in v] == [0] for v in seen.values())
+    monkeypatch.setattr(jobs, "_write", real)
+    jobs.drain(jobs.gate_stream(rows, F.col("event_ts"), f"{root}/g", f"{root}/c"))
+    want = contracts.gate(norm.accepted(norm.normalize(tables.telemetry_of(events))))
+    for route, name in (("validated", "validated"), ("quarantine", "quarantine")):
+        assert jobs.committed(spark, f"{root}/g", name).count() == want.where(F.col("route") == route).count()
+    # Counters come from the rows on their way, batch by batch.
+    counted = jobs.committed(spark, f"{root}/g", "counters").groupBy("route").agg(F.sum("records").alias("n")).collect()
+    assert {r.route: r.n for r in counted} == {r.route: r["count"] for r in want.groupBy("route").count().collect()}
