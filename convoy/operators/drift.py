@@ -20,6 +20,8 @@ SCORED = (*FEATURES, EMBEDDING)
 
 # Rows per block of the sliding analysis; each block also holds one window of earlier rows.
 BLOCK = 20_000
+# Windows whose counts are held at once.
+CHUNK = 4_096
 
 
 def z_score(name: str) -> Column:
@@ -126,37 +128,57 @@ def _embed(x: np.ndarray) -> np.ndarray:
 
 
 def _window_statistics(values: np.ndarray, reference: np.ndarray, size: int) -> np.ndarray:
-    """KS statistic of each run of ``size`` values against the sorted reference."""
+    """KS statistic of each run of ``size`` values against the sorted reference.
+
+    The reference's values cut the line into slots: each value, and what lies between two. Inside a slot
+    the reference's distribution does not move, so the largest gap stands at a slot's end. A window's
+    counts up to every slot are kept up by adding the value that enters and taking away the one that
+    leaves, as differences of running counts; no window is sorted.
+    """
     m = len(reference)
-    at = np.searchsorted(reference, values, "right") / m
-    below = np.searchsorted(reference, values, "left") / m
-    runs = sliding_window_view(values, size)
-    order = np.argsort(runs, axis=1, kind="stable")
-    v = np.take_along_axis(runs, order, 1)
-    at = np.take_along_axis(sliding_window_view(at, size), order, 1)
-    below = np.take_along_axis(sliding_window_view(below, size), order, 1)
-    rank = np.arange(size)
-    step = v[:, 1:] != v[:, :-1]
-    edge = np.ones((len(v), 1), bool)
-    upper = np.where(np.hstack([step, edge]), np.abs((rank + 1) / size - at), 0.0)
-    lower = np.where(np.hstack([edge, step]), np.abs(rank / size - below), 0.0)
-    return np.maximum(upper.max(1), lower.max(1))
+    points, counts = np.unique(reference, return_counts=True)
+    # Slot 2i is below point i and above the one before, slot 2i + 1 the point itself.
+    slot = np.searchsorted(points, values, "left") + np.searchsorted(points, values, "right")
+    n_slots = 2 * len(points) + 1
+    upto = np.repeat(np.append(0, np.cumsum(counts)), 2)[1:]
+    out = np.empty(max(0, len(values) - size + 1))
+    for at in range(0, len(out), CHUNK):
+        mine = slot[at : at + CHUNK + size - 1]
+        entered = np.zeros((len(mine) + 1, n_slots), np.int32)
+        np.cumsum(mine[:, None] <= np.arange(n_slots), axis=0, out=entered[1:])
+        held = entered[size:] - entered[: len(entered) - size]
+        out[at : at + len(held)] = np.abs(held * m - upto * size).max(axis=1) / (m * size)
+    return out
+
+
+def result_fields(numeric_ids: bool) -> list[tuple[str, pa.DataType]]:
+    """The columns of a scored window."""
+    fields = [
+        ("window_no", pa.int64()),
+        ("window_end", pa.timestamp("us", "UTC")),
+        ("last_event", pa.int64() if numeric_ids else pa.string()),
+    ]
+    for name in SCORED:
+        fields += [(f"{name}_score", pa.float64()), (f"{name}_p", pa.float64())]
+    fields += [
+        ("drifted_features", pa.list_(pa.string())),
+        ("drifted_count", pa.int64()),
+        ("cosine_similarity", pa.float64()),
+        ("euclidean_distance", pa.float64()),
+        ("centroid_drift", pa.bool_()),
+        ("breached", pa.bool_()),
+        ("rising", pa.bool_()),
+    ]
+    return fields
 
 
-def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> DataFrame:
-    """Score every sliding window of live rows against the frozen baseline.
+def result_ddl(numeric_ids: bool) -> str:
+    return ", ".join(f"{n} {_DDL[str(t)]}" for n, t in result_fields(numeric_ids))
 
-    ``numbered`` comes from ``drift_sequence``. The baseline is read once: it has
-    ``drift.baseline`` rows (200) whatever the table's size. The live rows are cut into blocks
-    that overlap by one window, so the shuffle moves each row about once, not once per window.
-    One output row per window, at the row that closes it.
-    """
+
+def scorer(base: np.ndarray, numeric_ids: bool, drift: DriftSettings):
+    """What scores a block of live rows (pos, event_time, event_id, features, _own) against ``base``."""
     size, stride, m = drift.window, drift.stride, drift.baseline
-    key = numbered.schema["event_id"].dataType
-    frozen = numbered.where("phase = 'baseline'").select(*FEATURES).limit(m).toArrow()
-    base = np.column_stack([frozen[f].to_numpy() for f in FEATURES]) if len(frozen) else None
-    if base is None or len(base) < m:
-        base = np.empty((0, len(FEATURES)))
     z_base = _embed(base)
     references = [np.sort(base[:, i]) for i in range(len(FEATURES))]
     references.append(np.sort(np.linalg.norm(z_base, axis=1)))
@@ -164,6 +186,8 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
     steps = math.lcm(size, m)
     critical = round(critical_statistic(size, m, drift.alpha) * steps)
 
+    empty = pa.schema(result_fields(numeric_ids)).empty_table()
+
     def score(block: pa.Table) -> pa.Table:
         rows = block.sort_by("pos")
         x = np.column_stack([rows[f].to_numpy() for f in FEATURES])
@@ -211,29 +235,25 @@ def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> Data
         columns["rising"] = (breached & ~earlier)[emit]
         return pa.table(columns).cast(empty.schema)
 
-    fields = [
-        ("window_no", pa.int64()),
-        ("window_end", pa.timestamp("us", "UTC")),
-        ("last_event", pa.string() if isinstance(key, T.StringType) else pa.int64()),
-    ]
-    for name in SCORED:
-        fields += [(f"{name}_score", pa.float64()), (f"{name}_p", pa.float64())]
-    fields += [
-        ("drifted_features", pa.list_(pa.string())),
-        ("drifted_count", pa.int64()),
-        ("cosine_similarity", pa.float64()),
-        ("euclidean_distance", pa.float64()),
-        ("centroid_drift", pa.bool_()),
-        ("breached", pa.bool_()),
-        ("rising", pa.bool_()),
-    ]
-    empty = pa.schema(fields).empty_table()
-    ddl = ", ".join(
-        f"{n} {_DDL[str(t)]}" for n, t in fields
-    )
+    return score
+
+
+def windows(numbered: DataFrame, drift: DriftSettings = DriftSettings()) -> DataFrame:
+    """Score every sliding window of live rows against the frozen baseline.
+
+    ``numbered`` comes from ``drift_sequence``. The baseline is read once: it has
+    ``drift.baseline`` rows (200) whatever the table's size. The live rows are cut into blocks
+    that overlap by one window, so the shuffle moves each row about once, not once per window.
+    One output row per window, at the row that closes it.
+    """
+    numeric_ids = not isinstance(numbered.schema["event_id"].dataType, T.StringType)
+    frozen = numbered.where("phase = 'baseline'").select(*FEATURES).limit(drift.baseline).toArrow()
+    base = np.column_stack([frozen[f].to_numpy() for f in FEATURES]) if len(frozen) else None
+    if base is None or len(base) < drift.baseline:
+        base = np.empty((0, len(FEATURES)))
     live = numbered.where("phase = 'live'").select("pos", "event_time", "event_id", *FEATURES)
-    haloed, group = scan.with_halo(live, [], "pos", size - 1 + stride, BLOCK)
-    return haloed.groupBy(*group).applyInArrow(score, ddl)
+    haloed, group = scan.with_halo(live, [], "pos", drift.window - 1 + drift.stride, BLOCK)
+    return haloed.groupBy(*group).applyInArrow(scorer(base, numeric_ids, drift), result_ddl(numeric_ids))
 
 
 _DDL = {

@@ -859,6 +859,7 @@ _o["embedding_centroids"] = _sql(
  {_COS} < 0.85 or {_EUC} > 2.0 as drift_detected from cent""",
 )
 _o["drift_windows"] = _windows_out("dw")
+_o["stream_drift"] = _o["drift_windows"]
 _o["drift_windows_tumbling"] = _windows_out("tw")
 _o["drift_windows_shifted"] = _windows_out("sw")
 _o["drift_incidents"] = _sql(

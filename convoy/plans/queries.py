@@ -31,7 +31,7 @@ from convoy.operators import (
 from convoy.operators import guarded_sql as sql_guard
 from convoy.operators import normalize as norm
 from convoy.sources import lake, message_log, messages, tables
-from convoy.streaming import jobs, stateful
+from convoy.streaming import drift_stream, jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1226,6 +1226,21 @@ def stream_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return _episode_rows(jobs.episodes_so_far(spark, out))
 
 
+@query
+def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sliding drift window of records as they come."""
+    stateful.use_state_store(spark)
+    root = session.new_dir(spark, "stream-drift")
+    events, log = tables.table(spark, sf, "events"), os.path.join(root, "events")
+    _to_log(events, "ts", "event_id", log)
+    records = tables.telemetry_of(_from_log(spark, events.schema, log), ("sent_at",))
+    good = contracts.gate(norm.accepted(norm.normalize(records))).where("route = 'validated'")
+    scored = drift_stream.windows(good.select("sent_at", "event_time", "event_id", *settings.FEATURES), clock="sent_at")
+    written = jobs.table_stream(scored, os.path.join(root, "windows"), os.path.join(root, "checkpoint"))
+    jobs.drain_log(written, lambda: _clock_on(spark, log))
+    return _window_rows(spark.read.parquet(os.path.join(root, "windows")))
+
+
 @query
 def stream_lake(spark: SparkSession, sf: str) -> DataFrame:
     root = session.new_dir(spark, "stream-lake")

@@ -9,12 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoy import session
-from convoy.operators import breaker, episodes, windows
+from convoy.operators import breaker, drift, episodes, windows
 from convoy.operators.breaker import ORDER
 from convoy.plans import queries as q
-from convoy.settings import BreakerSettings
+from convoy.settings import FEATURES, BreakerSettings, DriftSettings
 from convoy.sources import message_log
-from convoy.streaming import changelog, jobs, stateful
+from convoy.streaming import changelog, drift_stream, jobs, stateful
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 CFG = BreakerSettings(cooldown_seconds=3 * 3600.0, half_open_successes=2)
@@ -202,3 +202,29 @@ def test_rolling_and_streaks_over_pieces():
             got_means += mean.tolist()
             got_streaks += runs.tolist()
     assert got_means == pytest.approx(means) and got_streaks == streaks
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_drift_windows_of_late_records(spark, text_ids, monkeypatch):
+    rng = random.Random(3)
+    made = []
+    for i in range(900):
+        at = START + timedelta(minutes=rng.randrange(5 * 24 * 60 // 10) * 10)
+        late = at > START + timedelta(days=3)
+        made.append((f"r{i:04d}" if text_ids else i, at, *[rng.gauss(30.0 * late * (f % 2), 5.0) for f in range(4)]))
+    kind = "string" if text_ids else "long"
+    rows = spark.createDataFrame(made, f"event_id {kind}, event_time timestamp, " + ", ".join(f"{f} double" for f in FEATURES))
+    small = DriftSettings(warmup=30, baseline=60, window=12, stride=3)
+    monkeypatch.setattr(drift_stream, "BLOCK", 50)
+    stateful.use_state_store(spark)
+    root = session.new_dir(spark, "drift")
+    q._to_log(rows, "event_time", "event_id", f"{root}/log")
+    back = q._from_log(spark, rows.schema, f"{root}/log")
+    scored = drift_stream.windows(back, small, clock="sent_at", width_seconds=7200)
+    query = jobs.drain_log(jobs.table_stream(scored, f"{root}/out", f"{root}/check"), lambda: q._clock_on(spark, f"{root}/log"))
+    assert with_data(query) >= 3
+    got = q._window_rows(spark.read.parquet(f"{root}/out"))
+    want = q._window_rows(drift.windows(windows.drift_sequence(rows, small), small))
+    assert got.count() == want.count() == (900 - 90 - 12) // 3 + 1
+    assert want.exceptAll(got).count() == 0
+    assert got.where("rising").count() > 0
