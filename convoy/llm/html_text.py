@@ -7,12 +7,14 @@ or id name as sidebars, adverts, notices, reader comments and the like. Such a n
 nothing on ``article`` and ``main``, nor on a container that holds most of what the page marks as
 its article or, where it marks none and inside the article, most of its dense text and of its text
 at all; reader comments must hold all of it. Names of a state (``with-sidebar``, ``comments-open``)
-say nothing either. A page that marks its article (``article``, ``main``) has decided for the
-blocks in it, unless links make up most of one, and against those outside. On other pages density
-of stop words, length and density of links decide: dense and long is text, links or a copyright
-line are not, and what is short or in between stays open, links or not. In the second pass an open block takes
-the label of its nearest decided neighbours; where the two sides differ, the nearer one's, and at
-equal distances it is dropped unless a heading stands before text.
+say nothing either. A page that marks its article (``article``, ``main``) has decided against the blocks outside it. Inside
+it and on other pages density of stop words, length and density of links decide: dense and long is
+text, links or a copyright line are not, and what is short or in between stays open, links or not.
+Inside a marked article links decide only against items of a list, and no copyright line does. In the
+second pass an open block takes the label of its nearest decided neighbours among the blocks that no
+container has decided. Where the two sides differ, it takes the nearer one's, and at equal distances
+it is dropped unless a heading stands before text; inside a marked article it is dropped only if both
+sides are.
 
 White space inside a block becomes one space, blocks are trimmed and joined by one space in page
 order. Nothing else is dropped or cut.
@@ -38,7 +40,8 @@ from convoy.llm.common import in_arrow, slices
 # Elements whose content is no text of the page.
 HIDDEN = "script|style|noscript|template|svg|math|object|iframe|canvas|audio|video|select|textarea|title"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    # Comments may be empty at once, and foreign elements may close themselves; other elements may not.
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:svg|math)\b[^>]*/>|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
@@ -50,6 +53,7 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
+LISTED = frozenset(("li", "dd", "dt"))
 # Containers of boilerplate, by tag and by words in class, id and role.
 BOILER_TAGS = frozenset("nav footer aside button menu dialog".split())
 SUSPECT_TAGS = frozenset("form fieldset".split())
@@ -96,6 +100,7 @@ class Block:
     boiler: bool
     article: bool
     heading: bool
+    listed: bool = False  # an item of a list
     suspect: int = -1  # the innermost container under suspicion
 
 
@@ -147,7 +152,8 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if text:
             boiler, article, suspect = stack[-1][1:] if stack else (False, False, -1)
             linked = len(" ".join(html.unescape("".join(links)).split()))
-            out.append(Block(text, linked, boiler, article, heading, suspect))
+            listed = any(s[0] in LISTED for s in stack)
+            out.append(Block(text, linked, boiler, article, heading, listed, suspect))
         parts.clear()
         links.clear()
         heading = False
@@ -257,17 +263,22 @@ def is_dense(block: Block) -> bool:
 def judged(block: Block, marked: bool) -> bool | None:
     """First pass: text, boilerplate, or open."""
     share = block.linked / len(block.text)
-    if block.boiler:
+    if block.boiler or (marked and not block.article):
         return False
     if marked:
-        return block.article and not (share > LINKS and not block.heading and len(block.text) < LONG)
-    if share > LINKS or (len(block.text) < LONG and LEGAL.match(block.text)):
+        # Inside the article links decide in lists only; a paragraph that is one link is text.
+        if share > LINKS and block.listed and not block.heading and len(block.text) < LONG:
+            return False
+    elif share > LINKS or (len(block.text) < LONG and LEGAL.match(block.text)):
         return False
     return True if not block.heading and is_dense(block) else None
 
 
-def inherited(labels: list[bool | None], headings: list[bool]) -> list[bool]:
-    """Second pass: open blocks take the label of their nearest decided neighbours."""
+def inherited(labels: list[bool | None], headings: list[bool], marked: bool = False) -> list[bool]:
+    """Second pass: open blocks take the label of their nearest decided neighbours.
+
+    Inside a marked article an open block goes only where it stands between two blocks that go.
+    """
     n = len(labels)
     before, after = [-1] * n, [n] * n
     last = -1
@@ -287,9 +298,11 @@ def inherited(labels: list[bool | None], headings: list[bool]) -> list[bool]:
         if label is not None:
             out.append(label)
             continue
-        left = labels[before[i]] if before[i] >= 0 else False
-        right = labels[after[i]] if after[i] < n else False
-        if left == right:
+        left = labels[before[i]] if before[i] >= 0 else marked
+        right = labels[after[i]] if after[i] < n else marked
+        if marked:
+            out.append(left or right)
+        elif left == right:
             out.append(left)
         elif headings[i]:
             out.append(right)
@@ -301,8 +314,10 @@ def inherited(labels: list[bool | None], headings: list[bool]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     blocks, marked = blocks_of(page or "")
-    labels = inherited([judged(b, marked) for b in blocks], [b.heading for b in blocks])
-    return " ".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
+    # What its container decides tells nothing about the blocks beside the container.
+    near = [b for b in blocks if not b.boiler and (b.article or not marked)]
+    kept = inherited([judged(b, marked) for b in near], [b.heading for b in near], marked)
+    return " ".join(b.text for b, keep in zip(near, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame, html_column: str = "html", text_column: str = "text") -> DataFrame:

@@ -112,3 +112,38 @@ def test_query(spark, sf):
         body = re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id], re.DOTALL)[1]
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]+>", " ", body)).split())
         assert r.n_chars == len(r.text)
+
+
+def test_empty_comments_and_self_closed_elements_hide_nothing_after_them():
+    page = "<article><p>one <svg/> two</p><!--><p>three</p><svg class='i'/><p>four</p><!---><p>five</p><!-- a --!><p>six</p></article>"
+    assert html_text.main_text(page) == "one two three four five six"
+    # A script does not close itself, whatever its tag says.
+    assert html_text.main_text("<article><p>a</p><script/>var x</script><p>b</p></article>") == "a b"
+
+
+def test_links_in_a_marked_article():
+    page = (
+        "<article><p>Short start.</p><p><a href='/x'>All of this paragraph is one link</a></p><p>" + "the word of it and " * 12
+        + "</p><ul><li><a href='/1'>First other page</a></li><li><a href='/2'>Second other page</a></li></ul><p>End.</p></article>"
+    )
+    text = html_text.main_text(page)
+    assert text.startswith("Short start. All of this paragraph is one link the word") and text.endswith("End.")
+    assert "other page" not in text
+
+
+def test_pages_without_their_mark(spark):
+    """Density and neighbours alone find the article that the mark tells, but for bare legal lines in it."""
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(rows) == 250
+    decided = 0
+    for r in rows:
+        known = html_text.main_text(r.html)
+        blocks, marked = html_text.blocks_of(re.sub(r"(?i)(</?)(article|main)\b", r"\1div", r.html))
+        assert not marked
+        decided += sum(html_text.judged(b, False) is None for b in blocks if not b.boiler)
+        found = html_text.main_text(re.sub(r"(?i)(</?)(article|main)\b", r"\1div", r.html))
+        assert found == known or "All rights reserved." in known, r.page_id
+    # The second pass has had much to decide.
+    assert decided > 500
