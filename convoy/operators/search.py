@@ -207,9 +207,14 @@ def _search_grid(
     return left.cogroup(right).applyInArrow(search, schema)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """Search embedded chunks for each question; hits carry their text and score."""
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, k: int = 4, find: Callable[[DataFrame, DataFrame, int], DataFrame] = top_k
+) -> DataFrame:
+    """Search embedded chunks for each question; hits carry their text and score.
+
+    ``find`` is the exact search, or ``cells.near`` for a share of the hits at a share of the work.
+    """
     asked = questions.select("id", hash_embedding(F.col("text")).alias("vector"))
     held = chunks.select(F.col("chunk_id").alias("id"), "vector")
-    hits = top_k(asked, held, k)
+    hits = find(asked, held, k)
     return hits.join(chunks.drop("vector"), hits["item_id"] == chunks["chunk_id"]).drop("chunk_id")

@@ -828,6 +828,13 @@ _o["incident_retention"] = _sql(
 _KS = "feature, n_current::bigint as n_current, n_reference::bigint as n_reference, round(ks_statistic, 6) as ks_statistic, drift_detected"
 _o["ks_features"] = _sql("ks_dev", f"select {_KS} from ks_dev")
 _o["ks_order_lines"] = _sql("ks_line", f"select {_KS} from ks_line")
+_o["ks_p_values"] = _sql(
+    "ks_line",
+    """select feature, round(ks_statistic, 6) as ks_statistic, round(case when lam < 0.2 then 1e0 else greatest(0e0, least(1e0,
+ 2 * list_sum(list_transform(generate_series(1, 100), lambda k: (case when k % 2 = 1 then 1e0 else -1e0 end) * exp(-2e0 * k * k * lam * lam)))
+ )) end, 9) as p_value
+ from (select *, sqrt(n_current::double * n_reference / (n_current + n_reference)) * ks_statistic as lam from ks_line)""",
+)
 _o["column_drift"] = _sql(
     "ks_half",
     "select feature, round(ks_statistic, 6) as drift_score, drift_detected from ks_half where feature <> 'embedding'",
@@ -1023,6 +1030,9 @@ _o["vector_topk"] = """select query_id, item_id, round(score, 6) as score, rank
  select q.vec_id as query_id, i.vec_id as item_id, list_cosine_similarity(q.embedding::double[], i.embedding::double[]) as score,
   row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], i.embedding::double[]), 12) desc, i.vec_id) as rank
  from embeddings q join embeddings i on q.vec_id <> i.vec_id) where rank <= 5"""
+# The share of hits that the approximate search has to find is a promise, so it is stated here.
+_o["vector_recall"] = """select count(*) as queries, count(*) * least(5, count(*) - 1) as wanted, true as recall_reached
+ from embeddings where embedding is not null"""
 _INJECTION = _q(tx.any_injection())
 _WRAPPER = _q(tx.WRAPPER.removeprefix("(?is)"))
 _o["injection_filter"] = f"""select conv_id, turn, reason is null as ok, reason,

@@ -18,6 +18,7 @@ from convoy.functions import policy as rules
 from convoy.functions import text as tx
 from convoy.operators import (
     breaker,
+    cells,
     contracts,
     drift,
     episodes,
@@ -545,10 +546,9 @@ def ks_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def ks_order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    items = tables.table(spark, sf, "lineitem")
-    long = items.select(
+def _order_line_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantity and price of returned order lines against all others."""
+    return tables.table(spark, sf, "lineitem").select(
         (F.col("l_returnflag") == "R").alias("current"),
         F.inline(
             F.array(
@@ -557,12 +557,23 @@ def ks_order_lines(spark: SparkSession, sf: str) -> DataFrame:
             )
         ),
     )
-    out = drift.two_sample(long, ["feature"], "value", "current")
+
+
+@query
+def ks_order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    out = drift.two_sample(_order_line_features(spark, sf), ["feature"], "value", "current")
     return out.select(
         "feature", "n_current", "n_reference", F.round("ks_statistic", 6).alias("ks_statistic"), "drift_detected"
     )
 
 
+@query
+def ks_p_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Significance of the same tests, from the limiting distribution."""
+    out = drift.two_sample(_order_line_features(spark, sf), ["feature"], "value", "current")
+    return out.select("feature", F.round("ks_statistic", 6).alias("ks_statistic"), F.round("p_value", 9).alias("p_value"))
+
+
 @query
 def column_drift(spark: SparkSession, sf: str) -> DataFrame:
     rows = validated(spark, sf)
@@ -896,6 +907,20 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def vector_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the search by cells finds nine in ten of the exact search's hits, over all vectors."""
+    vectors = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    exact = search.top_k(vectors, vectors, 5, exclude_self=True).select("query_id", "item_id")
+    found = cells.near(vectors, vectors, 5, recall=0.9, exclude_self=True).select("query_id", "item_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "item_id"], "left")
+    return both.agg(
+        F.countDistinct("query_id").alias("queries"),
+        F.count(F.lit(1)).alias("wanted"),
+        (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+    )
+
+
 @query
 def retrieval(spark: SparkSession, sf: str) -> DataFrame:
     questions = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")

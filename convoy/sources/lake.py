@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convoy import settings
+from convoy import session, settings
 from convoy.functions import coerce
 
 _TELEMETRY_TYPES = {
@@ -103,8 +103,14 @@ def append_frames(rows: DataFrame, path: str) -> None:
 
 
 def commit(df: DataFrame, path: str, commit_id: int, by: list[str] | None = None) -> None:
-    """Write one numbered commit. Writing the same number again replaces it."""
-    by = by or []
+    """Write one numbered commit. Writing the same number again replaces it.
+
+    A mark of its own makes it visible once all its files are there. While a commit is being written
+    again it is hidden, so no reader sees half of the old and half of the new files.
+    """
+    spark, by = df.sparkSession, by or []
+    session.delete(spark, _mark(path, commit_id))
+    session.delete(spark, os.path.join(path, f"commit_id={commit_id}"))
     out = df.withColumn("commit_id", F.lit(commit_id))
     (
         (_sized(out, by) if by else out)
@@ -113,15 +119,22 @@ def commit(df: DataFrame, path: str, commit_id: int, by: list[str] | None = None
         .partitionBy("commit_id", *by)
         .parquet(path)
     )
+    session.touch(spark, _mark(path, commit_id))
+
+
+def _mark(path: str, commit_id: int) -> str:
+    return os.path.join(path, "_commits", str(commit_id))
 
 
 def as_of(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """The table as of a commit; later commits are pruned as partitions."""
-    return spark.read.parquet(path).where(F.col("commit_id") <= version)
+    """The table as of a commit: the finished commits up to it, others are pruned as partitions."""
+    marks = [int(os.path.basename(p)) for p in session.children(spark, os.path.join(path, "_commits"))]
+    return spark.read.parquet(path).where(F.col("commit_id").isin([n for n in marks if n <= version]))
 
 
 def publish_batch(valid: DataFrame, path: str, dt: str, execution_id: str) -> None:
-    """Publish a batch under its date and execution; a repeat replaces only its own files."""
+    """Publish a batch under its date and execution; a repeat replaces its own files, with none if it is empty."""
+    session.delete(valid.sparkSession, os.path.join(path, f"dt={dt}", f"execution_id={execution_id}"))
     (
         valid.withColumns({"dt": F.lit(dt), "execution_id": F.lit(execution_id)})
         .write.mode("overwrite")

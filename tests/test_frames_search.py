@@ -206,3 +206,50 @@ def test_rows_without_a_proper_vector_take_no_part(spark):
     assert set(found) == {1, 3, 10, 11}
     assert found[3] == [(11, 0.707107), (1, 0.0)] and found[1] == [(11, 0.707107), (3, 0.0)]
     assert search.top_k(df.where("false"), df, 2).count() == search.top_k(df, df.where("false"), 2).count() == 0
+
+
+def clustered(spark, n, centres=40, dim=16, seed=5):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    heart = rng.normal(size=(centres, dim))
+    # One cluster holds a third of all vectors.
+    home = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, centres, n))
+    made = heart[home] + 0.25 * rng.normal(size=(n, dim))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(made)]
+    rows += [(n, None), (n + 1, [float("nan")] * dim), (None, [1.0] * dim), (n + 2, [1.0] * (dim + 1))]
+    return spark.createDataFrame(rows, "id long, vector array<double>"), made
+
+
+def test_search_by_cells_reaches_its_recall_in_few_cells(spark):
+    import numpy as np
+
+    from convoy.operators import cells
+
+    df, made = clustered(spark, 3_000)
+    fitted = cells.fit(df)
+    assert len(fitted.centres) == 54 and fitted.probes(10, 0.9) < 20
+    got = cells.near(df, df, 10, recall=0.9, cells=fitted, exclude_self=True, query_block=200, item_block=150).collect()
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -np.inf)
+    want = {q: set(row) for q, row in enumerate(np.argsort(-scores, axis=1, kind="stable")[:, :10].tolist())}
+    hits = sum(r.item_id in want[r.query_id] for r in got)
+    assert len(got) == 30_000 and hits >= 0.9 * 30_000
+    assert {r.query_id for r in got} == set(range(3_000))
+    assert all(abs(r.score - scores[r.query_id, r.item_id]) < 1e-9 for r in got[:500])
+    # Blocks of other sizes find the same.
+    again = cells.near(df, df, 10, recall=0.9, cells=fitted, exclude_self=True).collect()
+    assert {(r.query_id, r["rank"], r.item_id) for r in again} == {(r.query_id, r["rank"], r.item_id) for r in got}
+
+
+def test_search_by_cells_of_odd_tables(spark):
+    from convoy.operators import cells
+
+    df, _ = clustered(spark, 5, centres=2)
+    none = df.where("false")
+    assert cells.near(none, df, 3).count() == cells.near(df, none, 3).count() == 0
+    assert cells.near(df, df, 3, recall=1.0, exclude_self=True).count() == 15
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "id long, vector array<double>")
+    got = cells.near(same, same, 2, recall=1.0).collect()
+    assert {(r.query_id, r.item_id) for r in got} == {(q, i) for q in range(6) for i in (0, 1)}

@@ -147,3 +147,27 @@ def test_no_sink_is_seen_before_all_hold_the_batch(spark, sf, monkeypatch):
     # Counters come from the rows on their way, batch by batch.
     counted = jobs.committed(spark, f"{root}/g", "counters").groupBy("route").agg(F.sum("records").alias("n")).collect()
     assert {r.route: r.n for r in counted} == {r.route: r["count"] for r in want.groupBy("route").count().collect()}
+
+
+def test_a_repeat_without_rows_leaves_nothing_published(spark):
+    path = session.new_dir(spark, "publish")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    lake.publish_batch(rows, path, "2024-01-01", "one")
+    lake.publish_batch(rows.limit(1), path, "2024-01-01", "two")
+    lake.publish_batch(rows.where("false"), path, "2024-01-01", "one")
+    assert [r.execution_id for r in spark.read.parquet(path).select("execution_id").collect()] == ["two"]
+
+
+def test_a_running_commit_is_not_seen(spark):
+    path = session.new_dir(spark, "commit-marks")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    lake.commit(rows, path, 1)
+    lake.commit(rows, path, 2)
+    assert lake.as_of(spark, path, 2).count() == 4 and lake.as_of(spark, path, 1).count() == 2
+    # Files of a third commit lie there, its mark does not.
+    rows.withColumn("commit_id", F.lit(3)).write.mode("append").partitionBy("commit_id").parquet(path)
+    assert lake.as_of(spark, path, 9).count() == 4
+    lake.commit(rows.limit(1), path, 3)
+    assert lake.as_of(spark, path, 9).count() == 5
+    lake.commit(rows.where("false"), path, 2)
+    assert sorted(r.commit_id for r in lake.as_of(spark, path, 9).select("commit_id").distinct().collect()) == [1, 3]
