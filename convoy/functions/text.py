@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convoy.functions.coerce import strip
 
@@ -45,30 +50,27 @@ def without_wrappers(question: Column) -> Column:
     return strip(F.regexp_replace(strip(question), WRAPPER, ""))
 
 
+def _embedded(texts: pa.Array) -> pa.Array:
+    """The embeddings of a batch: digests are chained text by text, all else is one flat array."""
+    digests = []
+    for text in texts.drop_null().to_pylist():
+        digest = hashlib.sha256(text.encode()).digest()
+        for _ in range(-(-DIM // 8)):
+            digest = hashlib.sha256(digest).digest()
+            digests.append(digest)
+    rows = np.frombuffer(b"".join(digests), dtype=">u4").reshape(-1, -(-DIM // 8) * 8)[:, :DIM]
+    values = rows / 4294967295.0 * 2.0 - 1.0
+    values /= np.sqrt((values * values).sum(axis=1, keepdims=True))
+    known = texts.is_valid().to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.append(0, np.cumsum(known * DIM)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=pa.array(~known))
+
+
 def hash_embedding(text: Column) -> Column:
     """Deterministic unit vector from a chain of SHA-256 digests of the text; null for a null text.
 
-    Every digest after the first gives eight big-endian 32-bit numbers, scaled to [-1, 1].
+    Every digest after the first gives eight big-endian 32-bit numbers, scaled to [-1, 1]. A chain of
+    digests has no vectorised form in SQL functions, where it takes strings and nested lambdas, so
+    Arrow batches are worked on.
     """
-    rounds = -(-DIM // 8)
-
-    def link(digests: Column, _: Column) -> Column:
-        return F.concat(digests, F.array(F.sha2(F.unhex(F.element_at(digests, -1)), 256)))
-
-    first = F.array(F.sha2(text.cast("binary"), 256))
-    chain = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, link), 2, rounds)
-
-    def numbers(digest: Column) -> Column:
-        words = [F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("double") for j in range(8)]
-        return F.array(*[w / 4294967295.0 * 2.0 - 1.0 for w in words])
-
-    values = F.slice(F.flatten(F.transform(chain, numbers)), 1, DIM)
-    # A one-element array binds the values and their norm, so that neither is worked out again.
-    bound = F.transform(
-        F.array(values),
-        lambda v: F.struct(
-            v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)).alias("norm")
-        ),
-    )
-    unit = F.transform(bound, lambda b: F.transform(b["v"], lambda x: x / b["norm"]))
-    return F.when(text.isNotNull(), unit[0])
+    return F.arrow_udf(_embedded, T.ArrayType(T.DoubleType()))(text.cast("string"))

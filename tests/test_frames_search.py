@@ -63,6 +63,15 @@ def direct_embedding(text):
     return [v / norm for v in values]
 
 
+def test_hash_embedding_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "")], "id long, text string")
+    got = {r.id: r.vector for r in search.embed(df).collect()}
+    assert got[1] is None and got[3] is None
+    assert np.allclose(got[2], direct_embedding("a")) and np.allclose(got[4], direct_embedding(""))
+    assert search.embed(df.where("text is null")).where("vector is not null").count() == 0
+    assert search.embed(df.where("false")).count() == 0
+
+
 def test_hash_embedding(spark):
     texts = ["", "abc", "é 日本", "x" * 5000]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
