@@ -169,19 +169,17 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    names = docs.columns
     verdict = exact_dedup(docs, id_column, text_column)
-    verdict = (
-        verdict.where("kept")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.max("group_size").alias("_size"))
+    verdict = verdict.where("kept").groupBy("doc_id", "text_sha256").agg(F.max("group_size").alias("size"))
+    # The row goes as one value, so none of its columns can clash with what is added here.
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"),
+        F.col(id_column).alias("id"),
+        F.sha2(normalised(text_or_empty(text_column)).cast("binary"), 256).alias("sha"),
     )
-    keyed = docs.withColumn("_sha", F.sha2(normalised(text_or_empty(text_column)).cast("binary"), 256))
-    kept = keyed.alias("d").join(
-        verdict.alias("v"), F.col(f"d.`{id_column}`").eqNullSafe(F.col("v._id")) & (F.col("d._sha") == F.col("v._sha"))
-    )
-    columns = [F.col(f"d.`{n}`").alias(n) for n in names]
+    same = F.col("d.id").eqNullSafe(F.col("v.doc_id")) & (F.col("d.sha") == F.col("v.text_sha256"))
+    kept = keyed.alias("d").join(verdict.alias("v"), same)
     # Only a row of a group can have a second row with its own id and text.
-    alone = kept.where("_size = 1").select(columns)
-    several = kept.where("_size > 1").select(*columns, F.col("d._sha").alias("_sha")).dropDuplicates([id_column, "_sha"])
-    return alone.unionByName(several.select(names))
+    alone = kept.where("size = 1").select("row.*")
+    several = kept.where("size > 1").select("row", "id", "sha").dropDuplicates(["id", "sha"])
+    return alone.unionByName(several.select("row.*"))

@@ -335,12 +335,16 @@ def jaccard_join(
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: object) -> DataFrame:
     """The least document of every class, with the columns of ``docs``; of rows that repeat id and text, one."""
-    names = docs.columns
     firsts = jaccard_join(docs, id_column=id_column, text_column=text_column, **options).where("first")
-    firsts = firsts.groupBy(F.col("doc_id").alias("_id"), F.col("alt").alias("_alt")).agg(F.count("*").alias("_rows"))
+    firsts = firsts.groupBy("doc_id", "alt").agg(F.count("*").alias("rows"))
     firsts = stored(firsts, "firsts")
-    keyed = docs.withColumn("_hash", F.xxhash64(text_or_empty(text_column))).alias("d")
-    same = F.col(f"d.`{id_column}`").eqNullSafe(F.col("_id")) & (F.col("d._hash") == F.col("_alt"))
-    alone = keyed.join(firsts.where("_rows = 1"), same, "left_semi")
-    repeated = keyed.join(firsts.where("_rows > 1"), same, "left_semi").dropDuplicates([id_column, "_hash"])
-    return alone.unionByName(repeated).select([F.col(f"`{n}`") for n in names])
+    # The row goes as one value, so none of its columns can clash with what is added here.
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"),
+        F.col(id_column).alias("id"),
+        F.xxhash64(text_or_empty(text_column)).alias("hash"),
+    ).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.hash") == F.col("f.alt"))
+    alone = keyed.join(firsts.where("rows = 1").alias("f"), same, "left_semi")
+    repeated = keyed.join(firsts.where("rows > 1").alias("f"), same, "left_semi").dropDuplicates(["id", "hash"])
+    return alone.unionByName(repeated).select("row.*")

@@ -98,3 +98,21 @@ def test_stages_with_null_and_repeated_ids(spark, sf):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(
         [(1, near), (0, said[50]), (1, said[60]), (3, "short"), (0, said[70])]
     )
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Input columns named as what the stages work with come through unchanged."""
+    from pyspark.sql import functions as F
+
+    from convoy.llm import exact_dedup, jaccard_join, mixing, quality
+
+    rows = [(i, f"some words of text {i // 2} that make up a sentence, and then another one. " * 3, "a") for i in range(8)]
+    docs = spark.createDataFrame([*rows, (None, None, None)], "doc_id long, text string, source string")
+    names = "_sha _hash _id _alt _rows _size _stat_upper id hash sha size rows row verdict log_chars upper draw tie edge last whole digest".split()
+    wide = docs.withColumns({n: F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names})
+    rules = quality.Rules([(((0, False, -1.0),), 5.0)], 0.0)
+    for stage in (exact_dedup.keep_first, jaccard_join.keep_one, mixing.mixed, lambda d: quality.accepted(d, rules)):
+        kept = stage(wide)
+        assert kept.columns == wide.columns
+        for r in kept.collect():
+            assert all(r[n] == f"{n}-{'' if r.doc_id is None else r.doc_id}" for n in names)
