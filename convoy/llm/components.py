@@ -9,12 +9,16 @@ from convoy.llm.common import discard, stored
 
 
 def _starred(links: DataFrame, large: bool) -> DataFrame:
-    """Tie every node's neighbours (the larger ones, or the smaller ones) to the least of them."""
+    """Tie every node's neighbours (the larger ones, or the smaller ones) to the least of them.
+
+    The least neighbours are written before they are joined back, so that the join reads two plain
+    shuffles and the engine can split the links of a star's centre over many tasks.
+    """
     if large:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m")), "least")
     joined = both.join(least, both["u"] == least["w"])
     if large:
         tied = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -22,7 +26,9 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
         tied = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("w").alias("u"), F.col("m").alias("v"))
         )
-    return tied.where("u != v").distinct()
+    found = stored(tied.where("u != v").distinct(), "star")
+    discard(least)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,8 +44,8 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(mark) == sign:
             break
         sign, before = tuple(mark), now
-        large = stored(_starred(before, large=True), "large-star")
-        now = stored(_starred(large, large=False), "small-star")
+        large = _starred(before, large=True)
+        now = _starred(large, large=False)
         discard(before, large)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
