@@ -1124,6 +1124,8 @@ def stream_qa(spark: SparkSession, sf: str) -> DataFrame:
 # Records of the logs arrive up to so much later than they were sent; the watermark waits for them.
 LATENESS_SECONDS = 12 * 3600
 DELAY = "1 day"
+# A vehicle sends two records a day or so here: ranges of ten days hold some twenty of them.
+RANGE_SECONDS = 10 * 86_400
 MICRO_BATCHES = 3
 
 
@@ -1193,7 +1195,7 @@ def stream_qa_window(spark: SparkSession, sf: str) -> DataFrame:
     _to_log(events, "ts", "event_id", log)
     records = tables.telemetry_of(_from_log(spark, events.schema, log), ("sent_at",))
     rows = contracts.gate(norm.accepted(norm.normalize(records)))
-    closed = stateful.count_windows(windows.outcomes(rows, "sent_at"), clock="sent_at")
+    closed = stateful.count_windows(windows.outcomes(rows, "sent_at"), width_seconds=RANGE_SECONDS, clock="sent_at")
     metrics = jobs.table_stream(closed, os.path.join(root, "metrics"), os.path.join(root, "checkpoint"))
     jobs.drain_log(metrics, lambda: _clock_on(spark, log))
     return _shown(spark.read.parquet(os.path.join(root, "metrics")), "window_end")
@@ -1211,6 +1213,7 @@ def _breaker_stream(spark: SparkSession, sf: str, root: str, cfg: settings.Break
         _from_log(spark, closed.schema, paths[0]).drop("window_end").withColumnRenamed("sent_at", "window_end"),
         _from_log(spark, reports.schema, paths[1]).drop("event_time").withColumnRenamed("sent_at", "event_time"),
         cfg=cfg,
+        width_seconds=RANGE_SECONDS,
     )
     return states, lambda: [_clock_on(spark, p) for p in paths]
 
