@@ -7,7 +7,7 @@ one summary row per (key, part) is scanned across parts, and the two are combine
 at most (number of keys + number of parts) rows.
 
 The ranges are cut at splitters from a bounded sample, and a row's part is a plain expression of
-its own values. It is the same in every pass and on every executor, so nothing has to be written
+its own values: a search in one array of splitters. It is the same in every pass and on every executor, so nothing has to be written
 down, and one shuffle by part serves both the scan of the parts and their summary.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql.window import Window, WindowSpec
 from convoy.session import cut
 
 PART = "_part"
-# Rows sampled for each splitter; what comes to the driver is this times the number of parts.
+# Rows sampled for each splitter, and at most for all of them together, which is what comes to the driver.
 SAMPLED = 20
+MOST_SAMPLED = 100_000
 # Parts per shuffle partition: more of them even out what hashing parts to partitions makes uneven.
 PARTS_PER_PARTITION = 2
 
@@ -33,14 +34,37 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name)) if isinstance(kind, T.TimestampType) else F.col(name)
 
 
-def _tree(value: Column, splitters: list[Column], low: int) -> Column:
-    """How many splitters are at or below ``value``, plus ``low``, by halving."""
-    if not splitters:
-        return F.lit(low)
-    middle = len(splitters) // 2
-    return F.when(value < splitters[middle], _tree(value, splitters[:middle], low)).otherwise(
-        _tree(value, splitters[middle + 1 :], low + middle + 1)
-    )
+def _sampled(places: DataFrame, wanted: int) -> DataFrame:
+    """About ``wanted`` rows of ``places``, or all if there are no more, chosen by hash.
+
+    The share to take comes from a count, so no task sorts or sends more than it keeps.
+    """
+    known = places.count()
+    if known <= wanted:
+        return places
+    # The hash's upper 53 bits as a number from 0 to 1.
+    at = F.shiftrightunsigned(F.xxhash64("_at"), 11).cast("double") / float(1 << 53)
+    return places.where(at < wanted / known)
+
+
+def _at_or_below(value: Column, splitters: Column, count: int) -> Column:
+    """How many of ``count`` ordered ``splitters`` are at or below ``value``: a binary search per row."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(count.bit_length()))])
+
+    def step(passed: Column, size: Column) -> Column:
+        reached = passed + size
+        return F.when((reached <= count) & (F.get(splitters, reached - 1) <= value), reached).otherwise(passed)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _part(at: Column, kind: T.StructType, splitters: list[str]) -> Column:
+    """The part of a row at ``at``, given the splitters as JSON objects in order."""
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in kind.fields])
+    # One literal once the plan is optimised, whatever the number of parts.
+    known = F.from_json(F.lit(f"[{','.join(splitters)}]"), T.ArrayType(kind))
+    # As the element of an array the place is worked out once, not at every step of the search.
+    return F.transform(F.array(at.cast(kind)), lambda v: _at_or_below(v, known, len(splitters)))[0]
 
 
 def split_in_order(
@@ -48,9 +72,9 @@ def split_in_order(
 ) -> DataFrame:
     """Tag each row with its part, a range of (keys, order), and bring parts together.
 
-    ``order`` must be unique within a key. The sample is the rows of least hash, so it is the same
-    whenever the rows are. Drawing it reads the input once before the split does; ``settle`` writes
-    an input that is costly to make, and narrow, to the shared folder first.
+    ``order`` must be unique within a key. The sample is chosen by hash, so it is the same
+    whenever the rows are. Counting and drawing it read the input before the split does; ``settle``
+    writes an input that is costly to make, and narrow, to the shared folder first.
     """
     if settle:
         df = cut(df)
@@ -58,16 +82,12 @@ def split_in_order(
     if parts is None:
         parts = PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.struct(*[_comparable(df, c).alias(c) for c in by])
-    sample = df.select(at.alias("_at")).orderBy(F.xxhash64("_at"), "_at").limit(SAMPLED * parts)
-    rows = [r["_at"] for r in sample.orderBy("_at").collect()]
-    kinds = sample.schema["_at"].dataType
-    chosen = list(dict.fromkeys(rows[i * len(rows) // parts] for i in range(1, parts))) if rows else []
-    splitters = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds.fields, strict=True)])
-        for row in chosen
-    ]
-    tagged = df.withColumn("_at", at).withColumn(PART, _tree(F.col("_at"), splitters, 0).cast("int"))
-    return tagged.drop("_at").repartition(PART)
+    sample = _sampled(df.select(at.alias("_at")), min(SAMPLED * parts, MOST_SAMPLED))
+    rows = sample.orderBy("_at").select(F.to_json("_at", {"ignoreNullFields": "false"})).collect()
+    chosen = list(dict.fromkeys(rows[i * len(rows) // parts][0] for i in range(1, parts))) if rows else []
+    if not chosen:
+        return df.withColumn(PART, F.lit(0)).repartition(PART)
+    return df.withColumn(PART, _part(at, sample.schema["_at"].dataType, chosen)).repartition(PART)
 
 
 def _within(keys: list[str], order: list[str]) -> WindowSpec:
@@ -149,9 +169,10 @@ def keyed_sequence(
     order: list[str],
     name: str = "seq",
     parts: int | None = None,
+    settle: bool = False,
 ) -> DataFrame:
-    """Dense 0-based row number per key (fleet-wide when ``keys`` is empty)."""
-    tagged = split_in_order(df, keys, order, parts)
+    """Dense 0-based row number per key (fleet-wide when ``keys`` is empty); ``settle`` as in ``split_in_order``."""
+    tagged = split_in_order(df, keys, order, parts, settle)
     numbered = running(tagged, keys, order, sums={name: F.lit(1).cast("long")})
     return numbered.withColumn(name, F.col(name) - 1).drop(PART)
 

@@ -33,14 +33,17 @@ def outcomes(gated: DataFrame, *keep: str) -> DataFrame:
 
 
 def count_windows(
-    rows: DataFrame, qa: QaSettings = QaSettings(), parts: int | None = None
+    rows: DataFrame, qa: QaSettings = QaSettings(), parts: int | None = None, settle: bool = True
 ) -> DataFrame:
     """Close a window for every ``window_size`` outcomes of a vehicle; partial ones never emit.
 
     The numbered rows are pre-aggregated per (vehicle, window) before their shuffle, so a hot
-    vehicle moves one row per window and part.
+    vehicle moves one row per window and part. The outcomes are written to the shared folder first,
+    as they are read several times; ``settle`` is false for rows that are stored already.
     """
-    numbered = scan.keyed_sequence(rows, ["vehicle_id"], ["event_time", "event_id"], parts=parts)
+    order = ["event_time", "event_id"]
+    rows = rows.select("vehicle_id", *order, "bad")
+    numbered = scan.keyed_sequence(rows, ["vehicle_id"], order, parts=parts, settle=settle)
     size = qa.window_size
     rate = quarantine_rate(F.col("total"), F.col("quarantined"))
     return (
@@ -99,10 +102,10 @@ def rolling_quality(
     return last_good.withColumn("streak", streak).drop("_last_good")
 
 
-def drift_sequence(rows: DataFrame, drift: DriftSettings = DriftSettings()) -> DataFrame:
-    """Number the rows fleet-wide; ``phase`` is warmup, baseline or live."""
+def drift_sequence(rows: DataFrame, drift: DriftSettings = DriftSettings(), settle: bool = True) -> DataFrame:
+    """Number the rows fleet-wide; ``phase`` is warmup, baseline or live. ``settle`` as in ``count_windows``."""
     rows = rows.withColumn("event_id", coerce.record_key(rows))
-    numbered = scan.keyed_sequence(rows, [], ["event_time", "event_id"])
+    numbered = scan.keyed_sequence(rows, [], ["event_time", "event_id"], settle=settle)
     start = drift.warmup + drift.baseline
     return numbered.withColumn(
         "phase",

@@ -769,9 +769,16 @@ def latency_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    ratio = slo.pass_ratio(gated(spark, sf), SLOT)
-    states = session.cut(slo.open_breakers(timeline(spark, sf, SLOW_BREAKER), SLOT))
-    score = slo.drift_score_average(drift_windows_of(spark, sf, drift=TUMBLING), drift.SCORED)
+    # Parsed and checked once, for the three measures.
+    rows = session.cut(gated(spark, sf).select("route", "vehicle_id", "event_time", "event_id", *settings.FEATURES))
+    ratio = slo.pass_ratio(rows, SLOT)
+    closed = windows.count_windows(windows.outcomes(rows), settle=False)
+    states = breaker.evaluate(windows.rolling_quality(closed), tables.drift_reports(spark, sf), cfg=SLOW_BREAKER)
+    states = session.cut(slo.open_breakers(states, SLOT))
+    numbered = windows.drift_sequence(
+        rows.where("route = 'validated'").select("event_time", "event_id", *settings.FEATURES), settle=False
+    )
+    score = slo.drift_score_average(drift.windows(numbered, drift=TUMBLING), drift.SCORED)
     return (
         slo.samples("qa_pass_ratio", ratio, "window_end", "pass_ratio")
         .unionByName(slo.samples("breakers_open", states, "window_end", "breakers_open"))

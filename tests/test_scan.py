@@ -31,6 +31,31 @@ def test_sequence_matches_a_window_when_the_hot_key_spans_parts(spark):
     assert got.count() == 900
 
 
+def test_plan_and_sample_do_not_grow_with_the_parts(spark, monkeypatch):
+    df = hot_rows(spark)
+
+    def nodes(parts):
+        plan = scan.split_in_order(df, ["k"], ["at", "id"], parts=parts)._jdf.queryExecution().optimizedPlan()
+        return [plan.apply(i).expressions().toString().count("CASE") for i in range(2)]
+
+    assert nodes(4) == nodes(400)
+    places = df.select(F.struct("k", "at", "id").alias("_at"))
+    assert 50 < scan._sampled(places, 100).count() < 200
+    assert scan._sampled(places, 5000).count() == 900
+    monkeypatch.setattr(scan, "MOST_SAMPLED", 50)
+    tagged = scan.split_in_order(df, ["k"], ["at", "id"], parts=20)
+    assert tagged.select(scan.PART).distinct().count() == 20
+
+
+def test_parts_keep_the_order_of_odd_values(spark):
+    rows = [(None, 1.5, 1), ('a"é\n', float("nan"), 2), ("", float("inf"), 3), ("b", -0.1, 4), ("b", None, 5)]
+    df = spark.createDataFrame(rows, "k string, v double, id int")
+    tagged = scan.split_in_order(df, ["k"], ["v", "id"], parts=5)
+    want = [r.id for r in df.orderBy("k", "v", "id").collect()]
+    assert [r.id for r in tagged.orderBy(scan.PART).collect()] == want
+    assert scan.split_in_order(df.where("false"), ["k"], ["v", "id"], parts=5).count() == 0
+
+
 def test_sequence_without_keys_is_dense(spark):
     got = scan.keyed_sequence(hot_rows(spark), [], ["at", "id"], parts=5).orderBy("seq").collect()
     assert [r.seq for r in got] == list(range(900))
