@@ -1,16 +1,18 @@
-"""Removal of repeated byte strings by suffix sorting.
+"""Removal of repeated byte strings by comparing windows bucket by bucket.
 
 Every byte covered by a string of ``size`` bytes that also starts earlier (in a smaller ``doc_id``,
 or in the same document further left) is removed. Whether a string repeats is judged on the input.
 
-Suffixes are grouped by their leading token: the anchor of ``repeats``, a gram of 32 bytes that a
-window of 100 bytes shares with every equal window. Spark samples splitters and deals the suffixes
-by range of (leading token, document, place); a bucket sorts its suffixes by a multikey quicksort,
-eight bytes at a time, in which neighbours that agree over the whole length are repeats; and the
-suffixes at a bucket's two ends are compared with those of other buckets.
+Suffixes are not dealt by their leading tokens, and no total suffix order is made. A window of 100
+bytes is grouped by its anchor of ``repeats``: the 32-byte gram in it whose hash is least, wherever it
+stands, which equal windows share. Spark samples splitters and deals runs of windows by range of
+(anchor's hash, document, place); a bucket splits its windows by their bytes, eight at a time, and
+windows that agree over the whole length are repeats; windows of an anchor that lies in several
+buckets are compared across them by their bytes.
 
-The quicksort works on whole arrays: at every depth the suffixes that are still tied are split by
-their next eight bytes, and those that stand alone drop out (see ``repeats.refine``).
+The split works on whole arrays, as a multikey quicksort does: at every depth the windows that are
+still tied are split by their next eight bytes, and those that stand alone drop out (see
+``repeats.refine``).
 
 Defined cases. Null text counts as empty. Texts shorter than ``size`` lose nothing. A null
 ``doc_id`` is larger than any other. Rows that repeat ``doc_id`` are ordered by a hash of their
