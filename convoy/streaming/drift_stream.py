@@ -23,8 +23,8 @@ from convoy.operators import drift as batch
 from convoy.settings import FEATURES, DriftSettings
 from convoy.streaming import stateful
 
-# Live rows per block that is scored by one task.
-BLOCK = 2_000
+# Live rows per block that is scored by one task, and blocks that are handed on at a time.
+BLOCK, BLOCKS = 2_000, 64
 FLEET = "fleet"
 
 
@@ -46,22 +46,23 @@ class Sequence(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n_features, n_columns = len(FEATURES), len(self.columns)
         held = self.held.get() if self.held.exists() else (0, *[[]] * (n_features + n_columns))
-        seen, base, tail = held[0], [list(b) for b in held[1 : 1 + n_features]], [list(t) for t in held[1 + n_features :]]
-        new = stateful._packed(rows, list(self.columns))
-        n, start = len(new[0]), self.drift.warmup + self.drift.baseline
-        first, last = (min(max(0, x - seen), n) for x in (self.drift.warmup, start))
-        for b, values in zip(base, new[2:], strict=True):
-            b.extend(values[first:last].tolist())
-        live = [np.concatenate([np.asarray(t, dtype=c.dtype), c[last:]]) for t, c in zip(tail, new, strict=True)]
-        known, total = len(tail[0]), len(live[0])
-        reach = self.drift.window - 1 + self.drift.stride
-        blocks = []
-        for at in range(known, total, BLOCK):
-            low, high = max(0, at - reach), min(at + BLOCK, total)
-            pos = max(0, seen - start) - known + low
-            blocks.append((pos, at - low, *[c[low:high].tolist() for c in live], *base))
-        self.held.update((seen + n, *base, *[c[max(0, total - reach) :].tolist() for c in live]))
-        yield pd.DataFrame(blocks, columns=self.block_columns())
+        seen, base, tail = held[0], [list(b) for b in held[1 : 1 + n_features]], held[1 + n_features :]
+        start, reach = self.drift.warmup + self.drift.baseline, self.drift.window - 1 + self.drift.stride
+        for new in _stretches(rows, list(self.columns)):
+            n = len(new[0])
+            first, last = (min(max(0, x - seen), n) for x in (self.drift.warmup, start))
+            for b, values in zip(base, new[2:], strict=True):
+                b.extend(values[first:last].tolist())
+            live = [np.concatenate([np.asarray(t, dtype=c.dtype), c[last:]]) for t, c in zip(tail, new, strict=True)]
+            known, total = len(tail[0]), len(live[0])
+            blocks = []
+            for at in range(known, total, BLOCK):
+                low, high = max(0, at - reach), min(at + BLOCK, total)
+                pos = max(0, seen - start) - known + low
+                blocks.append((pos, at - low, *[c[low:high] for c in live], *base))
+            seen, tail = seen + n, [c[max(0, total - reach) :] for c in live]
+            yield pd.DataFrame(blocks, columns=self.block_columns())
+        self.held.update((seen, *base, *[t.tolist() for t in tail]))
 
     def block_columns(self) -> list[str]:
         return ["pos", "n_before", *self.columns, *[f"base_{f}" for f in FEATURES]]
@@ -74,6 +75,14 @@ class Sequence(StatefulProcessor):
         pass
 
 
+def _stretches(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The ranges' arrays in order of time, joined to some blocks' worth of rows."""
+    parts = pd.concat(list(rows)).sort_values(stateful.RELEASED)
+    taken = np.cumsum([sum(n) for n in parts["n_rows"]]) // (BLOCK * BLOCKS)
+    for _, some in parts.groupby(taken):
+        yield stateful._joined(some, columns)
+
+
 def windows(rows: DataFrame, drift: DriftSettings = DriftSettings(), clock: str = "event_time", width_seconds: int = 3600) -> DataFrame:
     """Streaming counterpart of the batch drift windows.
 
@@ -91,22 +100,23 @@ def windows(rows: DataFrame, drift: DriftSettings = DriftSettings(), clock: str
     # A record's id is what ties are ordered by, and a record without one only moves the clock.
     ordered = ["at_us", "id"]
     held = stateful.in_ranges(narrow, sequence.columns, ordered, width_seconds, clock)
-    blocks = held.groupBy("vehicle_id").transformWithStateInPandas(
+    blocks = held.groupBy("shard").transformWithStateInPandas(
         sequence, sequence.block_schema(), outputMode="Append", timeMode="EventTime"
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in batches:
-            for block in held.to_pylist():
-                base = np.column_stack([block[f"base_{f}"] for f in FEATURES])
+            for k in range(len(held)):
+                block = {c: held[c][k].values for c in (*sequence.columns, *(f"base_{f}" for f in FEATURES))}
+                base = np.column_stack([block[f"base_{f}"].to_numpy(zero_copy_only=False) for f in FEATURES])
                 n = len(block["at_us"])
                 table = pa.table(
                     {
-                        "pos": block["pos"] + np.arange(n),
-                        "event_time": pa.array(block["at_us"], pa.int64()).cast(pa.timestamp("us", "UTC")),
-                        "event_id": pa.array(block["id"]),
-                        **{f: pa.array(block[f], pa.float64()) for f in FEATURES},
-                        "_own": np.arange(n) >= block["n_before"],
+                        "pos": held["pos"][k].as_py() + np.arange(n),
+                        "event_time": block["at_us"].cast(pa.timestamp("us", "UTC")),
+                        "event_id": block["id"],
+                        **{f: block[f] for f in FEATURES},
+                        "_own": np.arange(n) >= held["n_before"][k].as_py(),
                     }
                 )
                 yield from batch.scorer(base, numeric, drift)(table).to_batches()

@@ -12,7 +12,7 @@ from convoy import session
 from convoy.operators import breaker, drift, episodes, windows
 from convoy.operators.breaker import ORDER
 from convoy.plans import queries as q
-from convoy.settings import FEATURES, BreakerSettings, DriftSettings
+from convoy.settings import FEATURES, BreakerSettings, DriftSettings, QaSettings
 from convoy.sources import message_log
 from convoy.streaming import changelog, drift_stream, jobs, stateful
 
@@ -228,3 +228,19 @@ def test_drift_windows_of_late_records(spark, text_ids, monkeypatch):
     assert got.count() == want.count() == (900 - 90 - 12) // 3 + 1
     assert want.exceptAll(got).count() == 0
     assert got.where("rising").count() > 0
+
+
+def test_state_entries_do_not_grow_with_vehicles(spark):
+    made = [(i, f"VH-{i % 700:04d}" if i % 700 else None, START + timedelta(minutes=i), i % 3 == 0) for i in range(4_200)]
+    rows = spark.createDataFrame(made, "event_id long, vehicle_id string, event_time timestamp, bad boolean")
+    stateful.use_state_store(spark)
+    root, qa = session.new_dir(spark, "many"), QaSettings(window_size=4)
+    q._to_log(rows, "event_time", "event_id", f"{root}/log")
+    closed = stateful.count_windows(q._from_log(spark, rows.schema, f"{root}/log"), qa, 10 * 86_400, "sent_at")
+    query = jobs.drain_log(jobs.table_stream(closed, f"{root}/out", f"{root}/check"), lambda: q._clock_on(spark, f"{root}/log"))
+    held = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    # An entry and its timer for every shard in the one range there is, whatever the number of vehicles.
+    assert 0 < max(held) <= 2 * 256
+    got = spark.read.parquet(f"{root}/out")
+    assert got.count() == 700
+    assert windows.count_windows(rows, qa).select(got.columns).exceptAll(got).count() == 0
