@@ -20,8 +20,12 @@ MAX_CHARS = 1200
 MIN_K, MAX_K = 1, 10
 # ---------------------------------------------------------------------------------------
 
-# Vectors per side of one block of the search grid.
+# Vectors per side of one block of a search by cells.
 QUERY_BLOCK, ITEM_BLOCK = 4_096, 65_536
+# Bytes of vectors per side of one block of the search grid: what a task holds does not go by the table.
+QUERY_BYTES, ITEM_BYTES = 16 << 20, 32 << 20
+# Queries and items whose scores are one matrix; the first items, which set the bar, are fewer.
+QUERY_ROWS, ITEM_ROWS, FIRST_ROWS = 256, 8_192, 1_024
 
 
 def chunk_documents(docs: DataFrame, stem: str, text: str, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -109,22 +113,36 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def _best(q_m: np.ndarray, items: pa.Table, take: int) -> pa.Table:
-    """The ``take`` nearest of the items for each query row; lower ids win among equals."""
+    """The ``take`` nearest of the items for each query row; lower ids win among equals.
+
+    Items are read in the order of their ids, so a later one counts only if its score is above the
+    ``take``-th best so far: few scores pass that bar, and only those are rounded and sorted.
+    """
     items = items.sort_by("id")
     i_ids, i_m = items["id"].combine_chunks(), _matrix(items["vector"].combine_chunks())
     take, found = min(take, len(items)), []
-    for at in range(0, len(q_m), 256):
-        scores = np.round(q_m[at : at + 256] @ i_m.T, 12)
-        rows = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-        found.append(
-            pa.table(
-                {
-                    "q": np.repeat(np.arange(at, at + len(scores)), take),
-                    "item_id": i_ids.take(pa.array(rows.ravel())),
-                    "score": np.take_along_axis(scores, rows, 1).ravel(),
-                }
-            )
-        )
+    cuts = [0, *range(max(FIRST_ROWS, take), len(items), ITEM_ROWS), len(items)]
+    for at in range(0, len(q_m), QUERY_ROWS):
+        asked = q_m[at : at + QUERY_ROWS]
+        bar = np.full(len(asked), -np.inf)
+        best_q, best_i, best = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
+        for low, high in zip(cuts, cuts[1:]):
+            scores = asked @ i_m[low:high].T
+            if not low:
+                # Less than a unit of the rounding below, so that what is equal after it is not lost.
+                bar = np.partition(scores, high - take, axis=1)[:, high - take] - 1.5e-12
+            q, i = np.divmod(np.flatnonzero(scores > (bar + 4e-13)[:, None]), high - low)
+            if not len(q):
+                continue
+            q, i = np.append(best_q, q), np.append(best_i, i + low)
+            score = np.append(best, np.round(scores[q[len(best) :], i[len(best) :] - low], 12))
+            order = np.lexsort((i, -score, q))
+            q, i, score = q[order], i[order], score[order]
+            # Every query has ``take`` or more: the first items gave as many.
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            best_q, best_i, best = (x[place < take] for x in (q, i, score))
+            bar = best[take - 1 :: take]
+        found.append(pa.table({"q": best_q + at, "item_id": i_ids.take(pa.array(best_i)), "score": best}))
     return pa.concat_tables(found)
 
 
@@ -144,14 +162,15 @@ def top_k(
     k: int,
     *,
     exclude_self: bool = False,
-    query_block: int = QUERY_BLOCK,
-    item_block: int = ITEM_BLOCK,
+    query_block: int | None = None,
+    item_block: int | None = None,
 ) -> DataFrame:
     """Exact cosine top-k of every query over all items.
 
     Both sides have (id, vector); ``k`` is clamped to 1..10. Both are hashed into blocks, and each
     pair of blocks is one task that returns k rows per query; the best of all tasks are merged at
-    the end. This is the exact search: its work is the product of both sides.
+    the end. This is the exact search: its work is the product of both sides. Blocks hold as many
+    vectors as ``QUERY_BYTES`` and ``ITEM_BYTES`` allow, unless their numbers are given.
 
     Rows without an id or a vector, with null or non-finite parts, or of another length than most items
     take no part on either side; a zero vector scores 0.
@@ -159,7 +178,10 @@ def top_k(
     k = max(MIN_K, min(k, MAX_K))
     take = k + 1 if exclude_self else k
     q, i = vectors(queries), vectors(items)
-    same = F.size("vector") == dimension(i)
+    length = dimension(i)
+    same = F.size("vector") == length
+    query_block = query_block or max(1, QUERY_BYTES // (8 * max(1, length)))
+    item_block = item_block or max(1, ITEM_BYTES // (8 * max(1, length)))
     q, i = q.where(same), i.where(same)
     schema = T.StructType(
         [

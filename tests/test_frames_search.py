@@ -3,6 +3,7 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +263,37 @@ def test_search_by_cells_of_odd_tables(spark):
     same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "id long, vector array<double>")
     got = cells.near(same, same, 2, recall=1.0).collect()
     assert {(r.query_id, r.item_id) for r in got} == {(q, i) for q in range(6) for i in (0, 1)}
+
+
+def test_blocks_of_a_search_are_bounded_by_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = np.round(rng.normal(size=(300, 6)), 1)
+    m[::7] = m[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    sizes = []
+    grid = search._search_grid
+    monkeypatch.setattr(search, "ITEM_BYTES", 40 * 8 * 6)
+    monkeypatch.setattr(search, "QUERY_BYTES", 64 * 8 * 6)
+    monkeypatch.setattr(search, "_search_grid", lambda *a: sizes.append(a[4:]) or grid(*a))
+    got = {(r.query_id, r["rank"]): r.item_id for r in search.top_k(df, df, 4, exclude_self=True).collect()}
+    assert sizes == [(64, 40)]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 12)
+    for i in range(300):
+        want = [j for j in np.lexsort((np.arange(300), -scores[i])) if j != i][:4]
+        assert [got[i, k] for k in range(1, 5)] == want
+
+
+def test_bar_of_the_best_keeps_ties_by_id(monkeypatch):
+    monkeypatch.setattr(search, "FIRST_ROWS", 8)
+    monkeypatch.setattr(search, "ITEM_ROWS", 16)
+    rng = np.random.default_rng(6)
+    m = rng.integers(-1, 2, size=(200, 3)).astype(float)
+    m[:, 0] += 2
+    ids = rng.permutation(200)
+    items = pa.table({"id": ids, "vector": pa.array(m.tolist(), pa.list_(pa.float64()))})
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 12)
+    found = search._best(unit, items, 5)
+    want = [ids[np.lexsort((ids, -row))[:5]].tolist() for row in scores]
+    assert np.array(found["item_id"]).reshape(-1, 5).tolist() == want
