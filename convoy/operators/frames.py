@@ -24,7 +24,8 @@ def frames_of(telemetry: DataFrame, agents: int = 3) -> DataFrame:
     the next users' n-th records are its other agents.
 
     Each record is sent to the ``agents`` scenarios it appears in and grouped by (scenario,
-    frame), so a group never holds more than ``agents`` rows.
+    frame), so a group holds one row per slot at most. A slot's values are plain aggregates, which are
+    hashed; lists of structs would be sorted.
     """
     keep = telemetry.select(
         F.col("user_id"),
@@ -39,23 +40,25 @@ def frames_of(telemetry: DataFrame, agents: int = 3) -> DataFrame:
     numbered = scan.keyed_sequence(keep, ["user_id"], ["event_ts", "event_id"], name="frame_idx")
     spread = numbered.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(agents - 1))))
     scenario = F.col("user_id") - F.col("_slot")
-    agent = F.struct(
-        F.col("_slot").alias("slot"),
-        F.concat(F.lit("VH-"), F.lpad(F.col("user_id").cast("string"), 7, "0")).alias("agent_id"),
-        F.when(F.col("_slot") == 0, "ego").otherwise("other").alias("role"),
-        "gps_lat",
-        "gps_lon",
-        "speed_mph",
-        "brake_pressure",
-        "heading_deg",
-    )
+    values = ("gps_lat", "gps_lon", "speed_mph", "brake_pressure", "heading_deg")
+    slots = range(agents)
+    own = [F.max(F.when(F.col("_slot") == k, F.col(v))).alias(f"_{v}_{k}") for k in slots for v in values]
+    there = [F.max(F.col("_slot") == k).alias(f"_there_{k}") for k in slots]
+
+    def agent(k: int) -> Column:
+        user = (F.col("scenario") + k).cast("string")
+        return F.struct(
+            F.lit(k).alias("slot"),
+            F.concat(F.lit("VH-"), F.lpad(user, 7, "0")).alias("agent_id"),
+            F.lit("ego" if k == 0 else "other").alias("role"),
+            *[F.col(f"_{v}_{k}").alias(v) for v in values],
+        )
+
     grouped = (
         spread.groupBy(scenario.alias("scenario"), "frame_idx")
-        .agg(
-            F.max(F.when(F.col("_slot") == 0, F.col("event_ts"))).alias("timestamp"),
-            F.array_sort(F.collect_list(agent)).alias("agents"),
-        )
+        .agg(F.max(F.when(F.col("_slot") == 0, F.col("event_ts"))).alias("timestamp"), *own, *there)
         .where("timestamp is not null")
+        .withColumn("agents", F.array_compact(F.array(*[F.when(F.col(f"_there_{k}"), agent(k)) for k in slots])))
     )
     types = F.array(*[F.lit(t) for t in SCENARIO_TYPES])
     ego = F.col("agents")[0]
@@ -117,16 +120,20 @@ def lidar(physical: DataFrame, beams: int = LIDAR_BEAMS, max_range_m: float = LI
     """Range returns per other agent plus the ground ring, point count and digest."""
     others = F.filter("agents", lambda a: a["role"] != "ego")
     seen = F.transform(others, lambda a: g.range_return(a["position"], F.col("_ego")["position"]))
-    ring = F.transform(
-        F.sequence(F.lit(0), F.lit(beams - 1)),
-        lambda i: F.struct(
-            F.lit(GROUND_RANGE_M).alias("range_m"),
-            (i * F.lit(360.0 / beams)).alias("azimuth_deg"),
-            F.lit(GROUND_ELEVATION_DEG).alias("elevation_deg"),
-            F.lit(GROUND_INTENSITY).alias("intensity"),
-        ),
+    # One literal, not made again for every frame.
+    ring = F.array(
+        *[
+            F.struct(
+                F.lit(GROUND_RANGE_M).alias("range_m"),
+                F.lit(i * (360.0 / beams)).alias("azimuth_deg"),
+                F.lit(GROUND_ELEVATION_DEG).alias("elevation_deg"),
+                F.lit(GROUND_INTENSITY).alias("intensity"),
+            )
+            for i in range(beams)
+        ]
     )
-    points = F.size("returns")
+    # Counted without making the returns: where only the digest is read they are not worked out.
+    points = F.size(others) + F.lit(beams)
     return (
         physical.withColumn("_ego", _ego())
         .withColumn("returns", F.concat(seen, ring))

@@ -822,8 +822,9 @@ def frame_geometry(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def lidar_returns(spark: SparkSession, sf: str) -> DataFrame:
     rows = frames.lidar(_physics(spark, sf))
+    # No frame is without its ring. A plain posexplode filters on the size first, by making all returns twice.
     return rows.select(
-        "scenario_id", "frame_idx", F.posexplode("returns").alias("point", "r")
+        "scenario_id", "frame_idx", F.posexplode_outer("returns").alias("point", "r")
     ).select(
         "scenario_id", "frame_idx", F.col("point").cast("long").alias("point"), "r.range_m", "r.azimuth_deg",
         "r.elevation_deg", "r.intensity",

@@ -297,3 +297,20 @@ def test_bar_of_the_best_keeps_ties_by_id(monkeypatch):
     found = search._best(unit, items, 5)
     want = [ids[np.lexsort((ids, -row))[:5]].tolist() for row in scores]
     assert np.array(found["item_id"]).reshape(-1, 5).tolist() == want
+
+
+def test_frames_are_hashed_and_returns_made_when_read(spark, sf):
+    from convoy.plans import queries as q
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    physical = q._physics(spark, sf)
+    assert "collect_list" not in plan(physical)
+    lidar = frames.lidar(physical)
+    assert "ATAN2" in plan(lidar.select("returns"))
+    # Neither the digest and count nor the explosion's filter works the returns out.
+    assert "ATAN2" not in plan(lidar.select("lidar_n_points", "lidar_digest"))
+    assert not [line for line in plan(q.lidar_returns(spark, sf)).splitlines() if "Filter" in line and "ATAN2" in line]
+    row = lidar.select("lidar_n_points", F.size("returns").alias("n")).agg(F.count_if(F.col("lidar_n_points") != F.col("n")).alias("other")).first()
+    assert row.other == 0
