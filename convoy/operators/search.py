@@ -23,7 +23,8 @@ MIN_K, MAX_K = 1, 10
 # Vectors per side of one block of a search by cells.
 QUERY_BLOCK, ITEM_BLOCK = 4_096, 65_536
 # Bytes of vectors per side of one block of the search grid: what a task holds does not go by the table.
-QUERY_BYTES, ITEM_BYTES = 16 << 20, 32 << 20
+# Fewer queries than items, so that there are enough blocks for all tasks.
+QUERY_BYTES, ITEM_BYTES = 4 << 20, 32 << 20
 # Queries and items whose scores are one matrix; the first items, which set the bar, are fewer.
 QUERY_ROWS, ITEM_ROWS, FIRST_ROWS = 256, 8_192, 1_024
 
